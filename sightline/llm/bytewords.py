@@ -109,16 +109,11 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    total = np.full(n, _U(k) * _BASE, _U)
+    total = np.full(n, _U(k * int(_BASE) & (2**64 - 1)), _U)
     for j in range(k):
         total += words[j : j + n] * _WEIGHTS[j]
     return mix(total)
 
 
-def gram_hash(words: np.ndarray) -> int:
-    """The same hash for one sequence of any length up to 64."""
-    return int(ngrams(words, len(words))[0])
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .jaccard import near_duplicates
+from .quality import quality
 from .tables import table
 
 
@@ -12,7 +15,17 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {"op4_ngram_jaccard_join": op4_ngram_jaccard_join}
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_benchmark_decontamination, op9_quality_rules)}
 
 #: None of these can be told in SQL: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
