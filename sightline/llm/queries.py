@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .jaccard import near_duplicates
+from .packing import pack
 from .quality import quality
+from .sharding import reshard
 from .tables import table
 
 
@@ -15,17 +17,28 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_min_cost_flow_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The old layout is 32 shards by source, so one of them holds a third of all rows."""
+    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(32)).cast("int")
+    placed = reshard(table(spark, folder, "documents"), old)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_benchmark_decontamination, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_min_cost_flow_sharding, op7_benchmark_decontamination, op8_karmarkar_karp_packing, op9_quality_rules)}
 
 #: None of these can be told in SQL: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
