@@ -109,7 +109,7 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    total = np.full(n, _U(k * int(_BASE) & (2**64 - 1)), _U)
+    total = np.full(n, _U(int(k) * int(_BASE) & (2**64 - 1)), _U)
     for j in range(k):
         total += words[j : j + n] * _WEIGHTS[j]
     return mix(total)
