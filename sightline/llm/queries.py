@@ -6,17 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_text import main_text
 from .jaccard import near_duplicates
+from .licenses import license_digest, license_scan
 from .packing import pack
 from .quality import quality
+from .secrets import secret_digest, secret_scan
 from .sharding import reshard
 from .tables import table
+from .token_counts import token_counts
+from .urls import url_filter
+
+
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_digest(license_scan(table(spark, folder, "documents")))
+
+
+def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """A source owns its documents; what it holds in one language is a repository."""
+    return secret_digest(secret_scan(table(spark, folder, "documents"), F.col("source"), F.concat_ws("/", "source", "lang")))
+
+
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
 def op6_min_cost_flow_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """The old layout is 32 shards by source, so one of them holds a third of all rows."""
     old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(32)).cast("int")
@@ -38,7 +60,25 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op6_min_cost_flow_sharding, op7_benchmark_decontamination, op8_karmarkar_karp_packing, op9_quality_rules)}
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter(table(spark, folder, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scans,
+        op2_secret_scans,
+        op3_html_extraction,
+        op4_ngram_jaccard_join,
+        op5_token_counts,
+        op6_min_cost_flow_sharding,
+        op7_benchmark_decontamination,
+        op8_karmarkar_karp_packing,
+        op9_quality_rules,
+        op10_url_filters,
+    )
+}
 
 #: None of these can be told in SQL: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
