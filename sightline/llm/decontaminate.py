@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, ngrams, signed, text_chunks
-from .tables import cut
+from .tables import cut, in_small_batches
 
 _U = np.uint64
 #: Words of a token.
@@ -171,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, windows
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits_schema = _HITS.format(kind)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("same"), "text")
+    docs = in_small_batches(docs).select("doc_id", F.xxhash64("text").alias("same"), "text")
     windows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null").mapInArrow(_windows(size), "item string, words binary")
     windows = cut(windows.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")))
     passes = -(-windows.count() // windows_a_pass)
@@ -211,9 +211,9 @@ def _index(docs: DataFrame, listed: list) -> _Index:
     known = np.unique(np.concatenate([tokens.ravel() for _, _, tokens in groups]))
     sizes = sorted({min(SHINGLE, words.shape[1]) for _, words, _ in groups})
     counted = docs.select("text").mapInArrow(_counts(docs.sparkSession.sparkContext.broadcast(known), sizes), "token long, number long")
-    found = counted.groupBy("token").agg(F.sum("number").alias("number")).toPandas()
+    found = counted.groupBy("token").agg(F.sum("number").alias("number")).toArrow()
     counts = np.zeros(len(known), np.int64)
-    counts[np.searchsorted(known, found["token"].to_numpy(np.int64).view(_U))] = found["number"].to_numpy(np.int64)
+    counts[np.searchsorted(known, found["token"].to_numpy().view(_U))] = found["number"].to_numpy()
     return _Index(groups, [list(r["items"]) for r in listed], known, counts)
 
 

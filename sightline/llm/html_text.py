@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import in_small_batches
+
 # Element names by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -323,4 +325,4 @@ def main_text(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
         known = [(r.html, r.text) for r in rows.orderBy("rank", "html").limit(LABELLED_PAGES).collect()]
     model = pages.sparkSession.sparkContext.broadcast(ContentModel(known))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    return pages.select("page_id", "url", "html").mapInArrow(_run(model), f"page_id {kinds['page_id']}, url string, text string")
+    return in_small_batches(pages).select("page_id", "url", "html").mapInArrow(_run(model), f"page_id {kinds['page_id']}, url string, text string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, in_small_batches
 
 CAPACITY = 1024
 #: Largest piece of what is left after whole windows: small enough for near-equal sums.
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = N
         ranks = spark.sparkContext.broadcast(file.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = cut(docs.select("doc_id", "text").mapInArrow(_pieces(ranks, pattern or public_tokenizers.PATTERN, end_id, capacity, piece), rows))
+    pieces = cut(in_small_batches(docs).select("doc_id", "text").mapInArrow(_pieces(ranks, pattern or public_tokenizers.PATTERN, end_id, capacity, piece), rows))
     total = pieces.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (GROUP * capacity)))
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id())

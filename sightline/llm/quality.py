@@ -11,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, text_chunks
+from .tables import in_small_batches
 
 _U = np.uint64
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -77,9 +79,9 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def _measure(batches):
     for batch in batches:
-        at = batch.schema.get_field_index("text")
-        rest = [c for i, c in enumerate(batch.schema.names) if i != at]
-        for a, b, data, offsets in text_chunks(batch.column(at)):
+        rest = [c for c in batch.schema.names if c != "text"]
+        text = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+        for a, b, data, offsets in text_chunks(text):
             stats = [pa.array(x.astype(np.int64)) for x in _statistics(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in rest] + stats, names=rest + _STATS)
 
@@ -87,7 +89,15 @@ def _measure(batches):
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, which must not be named like a statistic, and n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words of each row's whole text (null: none). Words are runs of anything but ASCII white space."""
-    chosen = docs.select(*keep, "text")
+    return _measured(in_small_batches(docs).select(*keep, "text"))
+
+
+def rows_with_statistics(docs: DataFrame) -> DataFrame:
+    """(row, n_words, ...): each row of docs whole, as a struct, and its statistics, whatever its columns are called."""
+    return _measured(in_small_batches(docs).select(F.struct(*docs.columns).alias("row")))
+
+
+def _measured(chosen: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "text"] + [f"{s} long" for s in _STATS])
     return chosen.mapInArrow(_measure, schema)
 

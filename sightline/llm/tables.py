@@ -21,8 +21,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of this session limited to 8 MB where they could be larger: ten thousand long texts at once
+    would take a task's memory."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    if int(df.sparkSession.conf.get(name, "2147483646").rstrip("bB")) > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
+#: Most rows of keys that are broadcast (some 50 MB in memory); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 19
+
+
+def small_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A table of one or two longs a row, to be broadcast if it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in ids (doc_id); rows without an id stay. Texts are not shuffled for a small set of ids."""
+    gone = cut(ids.filter("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(small_or_shuffled(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,9 +59,9 @@ def bit_filter(keys: DataFrame, column: str, bits: int = 23) -> np.ndarray:
     """
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     words = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).view(np.uint64)
+    out[found["word"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
     return out
 
 

@@ -15,6 +15,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import in_small_batches
+
 END = 256
 #: Words that a task remembers the counts of.
 REMEMBERED = 500_000
@@ -146,4 +148,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     pieces = read_vocabulary(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_run(automaton), f"doc_id {kind}, n_words long, n_tokens long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_run(automaton), f"doc_id {kind}, n_words long, n_tokens long")
