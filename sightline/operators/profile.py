@@ -12,8 +12,13 @@ from sightline.functions.bits import hamming
 from sightline.functions.stats import at_rank, with_nearest_rank
 from sightline.operators.folds import spaced
 
-_VIDEO = Window.partitionBy("video_id")
-_LINE = _VIDEO.orderBy("idx")
+
+def _video():
+    return Window.partitionBy("video_id")
+
+
+def _line():
+    return _video().orderBy("idx")
 
 
 def normalised(frames: DataFrame, p: float = 0.99) -> DataFrame:
@@ -33,14 +38,14 @@ def bucketed(profile: DataFrame, ms: int) -> DataFrame:
 
 def with_baseline(profile: DataFrame, window: int) -> DataFrame:
     """profile with baseline, the upper median of up to `window` scores before (null for the first), and step, the distance to it."""
-    before = F.collect_list(F.col("score").cast("double")).over(_LINE.rowsBetween(-window, -1))
+    before = F.collect_list(F.col("score").cast("double")).over(_line().rowsBetween(-window, -1))
     out = profile.withColumn("baseline", at_rank(before))
     return out.withColumn("step", F.abs(F.col("score").cast("double") - F.col("baseline")).cast("float"))
 
 
 def cut_candidates(profile: DataFrame, window: int, ratio: float, least_bits: int) -> DataFrame:
     """Rows whose step is over ratio times the recording's best score and whose fingerprint moved far enough."""
-    out = with_baseline(profile, window).withColumn("_most", F.max("score").over(_VIDEO)).withColumn("_moved", hamming(F.lag("dhash").over(_LINE), F.col("dhash")))
+    out = with_baseline(profile, window).withColumn("_most", F.max("score").over(_video())).withColumn("_moved", hamming(F.lag("dhash").over(_line()), F.col("dhash")))
     threshold = (F.col("_most") * F.lit(ratio).cast("float")).cast("float")
     return out.filter((threshold > 0) & (F.col("step") > threshold) & (F.col("_moved") >= least_bits)).drop("_most", "_moved")
 
@@ -67,7 +72,7 @@ def slice_duration(sliced_rows: DataFrame, fps: float) -> DataFrame:
 def strided(profile: DataFrame, fps: float, wanted_fps: float) -> DataFrame:
     """Every step-th sample, step = fps over the wanted rate (clamped to 1..fps), rounded, at least 1."""
     step = max(1, int(fps / min(max(wanted_fps, 1.0), max(fps, 1.0)) + 0.5))
-    return profile.withColumn("_nth", F.row_number().over(_LINE) - 1).filter(F.col("_nth") % step == 0).drop("_nth")
+    return profile.withColumn("_nth", F.row_number().over(_line()) - 1).filter(F.col("_nth") % step == 0).drop("_nth")
 
 
 def totals(profile: DataFrame) -> DataFrame:
@@ -77,4 +82,4 @@ def totals(profile: DataFrame) -> DataFrame:
 
 def frame_difference(frames: DataFrame, value: Column) -> DataFrame:
     """frames with diff, the absolute change of a value since the previous sample (0 for the first)."""
-    return frames.withColumn("diff", F.abs(F.coalesce(value - F.lag(value).over(_LINE), F.lit(0.0))))
+    return frames.withColumn("diff", F.abs(F.coalesce(value - F.lag(value).over(_line()), F.lit(0.0))))

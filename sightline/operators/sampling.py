@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from sightline.functions.stats import with_nearest_rank
 
-_VIDEO = Window.partitionBy("video_id")
-_LINE = _VIDEO.orderBy("idx")
+
+def _video():
+    return Window.partitionBy("video_id")
+
+
+def _line():
+    return _video().orderBy("idx")
 
 
 def weighted(profile: DataFrame, alpha: float, subtract_floor: bool = True) -> DataFrame:
@@ -19,10 +24,10 @@ def weighted(profile: DataFrame, alpha: float, subtract_floor: bool = True) -> D
     score = profile.withColumn("_s", F.col("score").cast("double"))
     score = with_nearest_rank(score, ["video_id"], "_s", 0.5, "_floor", "idx") if subtract_floor else score.withColumn("_floor", F.lit(0.0))
     out = score.withColumn("eff", F.greatest(F.col("_s") - F.col("_floor"), F.lit(0.0)))
-    out = out.withColumn("_sum", F.sum("eff").over(_VIDEO)).withColumn("_n", F.count("*").over(_VIDEO))
+    out = out.withColumn("_sum", F.sum("eff").over(_video())).withColumn("_n", F.count("*").over(_video()))
     motion = F.when(F.col("_sum") > 0, (1 - alpha) * (F.col("eff") / F.nullif(F.col("_sum"), F.lit(0.0)))).otherwise(F.lit(0.0))
     out = out.withColumn("weight", motion + alpha / F.col("_n"))
-    return out.withColumn("cum", F.sum("weight").over(_LINE.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_floor", "_sum", "_n")
+    return out.withColumn("cum", F.sum("weight").over(_line().rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_floor", "_sum", "_n")
 
 
 def inverse_cdf_picks(weights: DataFrame, targets: DataFrame) -> DataFrame:
@@ -30,8 +35,8 @@ def inverse_cdf_picks(weights: DataFrame, targets: DataFrame) -> DataFrame:
 
     A range join within a recording; the last row's range has no end, so every target meets exactly one row.
     """
-    last = F.lead("cum").over(_LINE).isNull()
-    rows = weights.withColumn("_low", F.coalesce(F.lag("cum").over(_LINE), F.lit(float("-inf")))).withColumn("_high", F.when(last, F.lit(float("inf"))).otherwise(F.col("cum"))).withColumn("_total", F.max("cum").over(_VIDEO))
+    last = F.lead("cum").over(_line()).isNull()
+    rows = weights.withColumn("_low", F.coalesce(F.lag("cum").over(_line()), F.lit(float("-inf")))).withColumn("_high", F.when(last, F.lit(float("inf"))).otherwise(F.col("cum"))).withColumn("_total", F.max("cum").over(_video()))
     rows = rows.select("video_id", "idx", "_low", "_high", "_total")
     wanted = targets.filter("n_targets > 0").select("video_id", "n_targets", F.explode(F.sequence(F.lit(0), (F.col("n_targets") - 1).cast("int"))).alias("j"))
     met = wanted.join(rows, "video_id").withColumn("_target", (F.col("j") + 0.5) / F.col("n_targets") * F.col("_total"))
