@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sightline.plans import events, frames, reports, tables
+from sightline.plans import events, frames, more, reports, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (frames, events, reports, tables):
+for module in (frames, events, reports, tables, more):
     QUERIES |= module.Q.queries
     ORACLE_SQL |= module.Q.sql
