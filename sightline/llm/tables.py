@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application: they may have no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sightline-package-")), "sightline-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of this session limited to 8 MB where they could be larger: ten thousand long texts at once
-    would take a task's memory."""
+    """df, made ready for Python tasks: the package is sent along, and Arrow batches of this session are limited to 8 MB
+    where they could be larger, because ten thousand long texts at once would take a task's memory."""
+    ship_package(df.sparkSession)
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
     if int(df.sparkSession.conf.get(name, "2147483646").rstrip("bB")) > most:
         df.sparkSession.conf.set(name, str(most))
