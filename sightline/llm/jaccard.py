@@ -2,8 +2,8 @@
 
 A document's set is its distinct 5-word shingles. Equal sets are one node. Under one global order of shingles, rare
 ones first, two sets of similarity t share at least l of their first (n - ceil(t * n) + l) shingles, for every l: each
-set takes the l for which the estimated work is least, and a pair is verified only if it shares as many prefix shingles
-as the smaller l of the two asks for.
+set takes the l for which the estimated work is least. For a pair, whose sizes say how much it must share, the prefixes
+are shorter still, and it is verified only if it shares as many shingles of them as the smaller l of the two asks for.
 
 Only whether sets are connected matters, so groups of near copies are first tied to few common leaders (sets that
 share a minimum hash; every tie is verified exactly). The prefix join then looks only at pairs that are not connected
@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
 from .components import connected_components
-from .tables import bit_filter, cut, in_filter
+from .tables import bit_filter, cut, in_filter, in_small_batches, small_or_shuffled
 
 _U = np.uint64
 #: Places of the shingle frequency sketch: 512 KB on the driver and on each executor, whatever the input.
 SKETCH = 1 << 16
-#: Minimum hashes for the first ties.
+#: Minimum hashes for the first ties, and how many of them a tie must have in common.
 HASHES = 6
+TIE_HASHES = 2
 #: Largest number of prefix shingles that a pair is asked to share.
-MOST_SHARED = 4
-#: Most rows (of two longs) of a table that is broadcast.
-BROADCAST_ROWS = 1 << 19
+MOST_SHARED = 16
+#: Expected partners on the list of a shingle that does not stand out.
+CHANCE = 0.1
 #: Work of one verification, in prefix rows.
 VERIFY_COST = 20.0
 
@@ -104,12 +105,31 @@ def _summaries(k: int):
     return run
 
 
-def _set_rows(k: int, id_filter: np.ndarray, node_filter: np.ndarray):
-    def wanted(ids):
-        return in_filter(id_filter, mix(np.asarray(ids.fill_null(0).cast(pa.int64())).view(_U)))
+def _wanted(id_filter: np.ndarray):
+    return lambda ids: in_filter(id_filter, mix(np.asarray(ids.fill_null(0).cast(pa.int64())).view(_U)))
+
+
+def _stands_out(counts: np.ndarray) -> np.ndarray:
+    """By how much each place of the sketch is over what it holds by chance, which says nothing about a shingle."""
+    return np.maximum(counts - np.int64(counts.mean() + 4 * np.sqrt(counts.mean() + 1)), 0)
+
+
+def _uncommon_rows(k: int, sketch, id_filter: np.ndarray, node_filter: np.ndarray):
+    """(node, uncommon): how many shingles of a set do not stand out."""
 
     def run(batches):
-        for _, tokens, bounds, signs in _chunk_sets(batches, k, wanted):
+        common = _stands_out(sketch.value) > 0
+        for _, tokens, bounds, signs in _chunk_sets(batches, k, _wanted(id_filter)):
+            total = np.concatenate(([0], np.cumsum(~common[(tokens & _U(SKETCH - 1)).astype(np.int64)])))
+            keep = np.flatnonzero(in_filter(node_filter, signs) & (np.diff(bounds) > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(signs[keep])), pa.array((total[bounds[1:]] - total[bounds[:-1]])[keep])], names=["node", "uncommon"])
+
+    return run
+
+
+def _set_rows(k: int, id_filter: np.ndarray, node_filter: np.ndarray):
+    def run(batches):
+        for _, tokens, bounds, signs in _chunk_sets(batches, k, _wanted(id_filter)):
             keep = np.flatnonzero(in_filter(node_filter, signs) & (np.diff(bounds) > 0))
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(signs[keep])), pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["node", "tokens"])
@@ -124,28 +144,28 @@ def prefix_length(n: np.ndarray | int, shared: np.ndarray | int, threshold: Frac
 
 
 def choose_shared(frequency: np.ndarray, n: int, threshold: Fraction) -> int:
-    """The number of shared prefix shingles with the least estimated work for one set; frequency follows the global order.
+    """The number of shared prefix shingles with the least estimated work for one set; frequency follows the global order
+    and is 0 for shingles that do not stand out.
 
-    A longer prefix adds its posting lists to what is read; asking for l matches leaves about 1/l**2 of the candidates
-    to verify. A set can't be asked for more shared shingles than its least partner has in common with it.
+    A longer prefix adds its posting lists to what is read. Asking for l matches leaves about 1/l**2 of the candidates
+    that meet by chance; documents that share a very common shingle share its neighbours too, so common lists are not
+    thinned and a prefix that reaches them is kept short. A set can't be asked for more than its least partner shares.
     """
-    most = min(MOST_SHARED, int(-(-n * threshold.numerator // threshold.denominator)))
-    best, least = 1, None
-    for shared in range(1, most + 1):
-        read = float(frequency[: prefix_length(n, shared, threshold)].sum())
-        cost = read + VERIFY_COST * read / shared**2
-        if least is None or cost < least:
-            best, least = shared, cost
-    return best
+    most = max(1, min(MOST_SHARED, int(-(-n * threshold.numerator // threshold.denominator))))
+    asked = np.arange(1, most + 1)
+    length = prefix_length(n, asked, threshold)
+    common = np.concatenate(([0.0], np.cumsum(frequency)))[length]
+    often = np.concatenate(([0], np.cumsum(frequency > 0)))[length]
+    chance = CHANCE * (length - often)
+    work = common + chance + VERIFY_COST * (chance / asked**2 + common / np.maximum(often, 1))
+    return int(asked[np.argmin(work)])
 
 
 def _prefix_rows(k: int, threshold: Fraction, sketch, token_filter=None):
     """(token, node, n, place, shared) of each document's prefix; with a filter, only tokens in it."""
 
     def run(batches):
-        counts = sketch.value
-        # what a place of the sketch holds by chance says nothing about a shingle
-        excess = np.maximum(counts - np.int64(counts.mean() + 4 * np.sqrt(counts.mean() + 1)), 0)
+        excess = _stands_out(sketch.value)
         mixed = token_filter.value if token_filter is not None else None
         for _, tokens, bounds, signs in _chunk_sets(batches, k):
             parts = []
@@ -159,9 +179,7 @@ def _prefix_rows(k: int, threshold: Fraction, sketch, token_filter=None):
                 if often.any():
                     order = np.argsort(often, kind="stable")
                     own, often = own[order], often[order]
-                    shared = choose_shared(often.astype(np.float64) + 0.1, n, threshold)
-                else:
-                    shared = 1
+                shared = choose_shared(often, n, threshold)
                 own = own[: prefix_length(n, shared, threshold)]
                 places = np.arange(len(own), dtype=np.int32)
                 if mixed is not None:
@@ -204,33 +222,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids stay null unless linked with others. Other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = cut(docs.mapInArrow(_summaries(k), "doc_id long, n long, node long, least array<long>, sketch array<long>"))
     counts = np.zeros(SKETCH, np.int64)
     places = read.filter("n = -1").select(F.posexplode("sketch").alias("place", "number")).groupBy("place").agg(F.sum("number").alias("number")).filter("number > 0")
-    for place, number in places.toPandas().itertuples(index=False):
-        counts[place] = number
+    places = places.toArrow()
+    counts[places["place"].to_numpy()] = places["number"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
     own = read.filter("n >= 0").select("doc_id", "n", "node", "least")
     nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"))
 
+    def filters(needed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Bit sets of one document's id for each node of needed, and of the nodes."""
+        ids = needed.join(nodes, "node").select(F.col("least_id").alias("id"))
+        return bit_filter(ids.mapInArrow(_hashed, "id long"), "id"), bit_filter(needed, "node")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) that are linked; sets are worked out again for the nodes concerned alone."""
         pairs = cut(pairs)
         needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        node_filter = bit_filter(needed, "node")
-        ids = needed.join(nodes, "node").select(F.col("least_id").alias("id"))
-        found = ids.mapInArrow(_hashed, "id long")
-        sets = docs.mapInArrow(_set_rows(k, bit_filter(found, "id"), node_filter), "node long, tokens binary")
-        sets = cut(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]))
+        sets = docs.mapInArrow(_set_rows(k, *filters(needed)), "node long, tokens binary")
+        # one shuffle by node, which both joins below read
+        sets = sets.dropDuplicates(["node"])
         rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("left_tokens")), "u")
         rows = rows.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("right_tokens")), "v").select("u", "v", "left_tokens", "right_tokens")
         return cut(rows.mapInArrow(_verify(threshold), "u long, v long"))
 
-    # Ties: sets with an equal minimum hash and its first set.
+    # Ties: sets with an equal minimum hash and the most ordinary one of them. Copies differ from their source by shingles
+    # of their own, so the set with the fewest uncommon shingles is near the middle of its group and ties most of it.
     keys = nodes.select("node", "n", F.posexplode("least").alias("place", "hash")).select("node", F.xxhash64("place", "hash").alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1").select("key", "leader")
-    ties = keys.join(leaders, "key").filter("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    keys = cut(keys.join(sizes, "key"))
+    grouped = keys.select("node").distinct()
+    uncommon = docs.mapInArrow(_uncommon_rows(k, sketch, *filters(grouped)), "node long, uncommon long").groupBy("node").agg(F.min("uncommon").alias("uncommon"))
+    leaders = keys.join(uncommon, "node").groupBy("key").agg(F.min_by("node", F.struct("uncommon", "node")).alias("leader"))
+    ties = keys.join(leaders, "key").filter("node <> leader").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).count().filter(f"count >= {TIE_HASHES}").select("u", "v")
     ties = verified(ties)
     labels = cut(connected_components(ties))
 
@@ -239,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = docs.mapInArrow(_prefix_rows(k, threshold, sketch), rows).select("token", "node")
     label = _label_of(entries, labels)
     mixed = label.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
-    token_filter = spark.sparkContext.broadcast(bit_filter(mixed, "token", bits=26))
+    token_filter = spark.sparkContext.broadcast(bit_filter(mixed, "token", bits=25))
     entries = docs.mapInArrow(_prefix_rows(k, threshold, sketch, token_filter), rows).dropDuplicates(["token", "node"])
     entries = cut(_label_of(entries, labels, "n", "place", "shared"))
     sizes = entries.groupBy("token", "label").agg(F.count("*").alias("size"))
@@ -251,11 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # each pair once: the rest meet the largest, and one another in one order
         "o_label <> label and (label = largest or o_node < node)"
         f" and {q} * n >= {p} * o_n and {q} * o_n >= {p} * n"
+        # within the prefixes that these two sizes need
+        f" and greatest(place - n, o_place - o_n) < least(shared, o_shared) - ceil({p} * (n + o_n) / {p + q})"
         # what can be shared from these places on
         f" and {p + q} * (1 + least(n - place - 1, o_n - o_place - 1) + least(place, o_place)) >= {p} * (n + o_n)"
     )
     pairs = pairs.select(F.least("o_node", "node").alias("u"), F.greatest("o_node", "node").alias("v"), F.least("o_shared", "shared").alias("asked"))
-    pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("found"), F.first("asked").alias("asked")).filter("found >= asked").select("u", "v")
+    pairs = pairs.groupBy("u", "v", "asked").agg(F.count("*").alias("found")).filter("found >= asked").select("u", "v")
     links = verified(pairs)
     found = connected_components(ties.union(links))
 
@@ -276,7 +304,7 @@ def _hashed(batches):
 def _label_of(entries: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     """Entries with their node's component so far (the node itself if none). Only tied nodes are in labels.
 
-    labels is broadcast if it has BROADCAST_ROWS rows or fewer; a larger one is joined by a shuffle.
+    A small table of labels is broadcast; a larger one is joined by a shuffle.
     """
-    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+    labels = small_or_shuffled(labels)
     return entries.join(labels, entries["node"] == labels["node"], "left").select(entries["token"], entries["node"], *[entries[c] for c in more], F.coalesce(labels["component"], entries["node"]).alias("label"))

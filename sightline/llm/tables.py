@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,7 +47,8 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     where they could be larger, because ten thousand long texts at once would take a task's memory."""
     ship_package(df.sparkSession)
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    if int(df.sparkSession.conf.get(name, "2147483646").rstrip("bB")) > most:
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", df.sparkSession.conf.get(name, "1g").lower())
+    if size is None or int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] > most:
         df.sparkSession.conf.set(name, str(most))
     return df
 
