@@ -75,12 +75,13 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
 
     old_shard is an int expression from 0; old shard i and new shard i are the same files. size is the text's UTF-8 bytes
     (null: none) plus 16; slot numbers a shard's rows from 0 without gaps. The driver holds a sum for each block, never
-    documents but the reserve. A null old shard counts as shard 0; repeated rows are placed once each; other columns are
-    ignored; an empty table gives no rows.
+    documents but the reserve. A null old shard counts as shard 0; repeated rows are placed once each; row_key, if docs has
+    it, is returned too; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"))
+    key = [c for c in docs.columns if c == "row_key"]
+    slim = docs.select("doc_id", *key, (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"))
     slim = cut(slim).withColumn("uid", F.monotonically_increasing_id())
     slim = slim.withColumn("rank", F.xxhash64("uid")).withColumn("block", F.pmod(F.xxhash64("rank"), F.lit(blocks)).cast("int"))
 
@@ -109,7 +110,7 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     middle = F.col("before") + F.sum("size").over(line) - F.expr("size div 2") - 1
     placed = rest.join(F.broadcast(starts), (F.col("old_shard") == F.col("r_old")) & (F.col("block") == F.col("r_block"))).withColumn("middle", middle)
     placed = placed.join(F.broadcast(cuts), (F.col("old_shard") == F.col("c_old")) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high")))
-    placed = placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", "block", "rank", "uid")
+    placed = placed.select("doc_id", *key, "size", "text_crc32", "old_shard", "shard", "block", "rank", "uid")
 
     parts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).toPandas().sort_values(["shard", "old_shard", "block"], ignore_index=True)
     parts["offset"] = parts.groupby("shard")["rows"].cumsum() - parts["rows"]
@@ -117,7 +118,7 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     offsets = spark.createDataFrame([tuple(map(int, x)) for x in parts[["shard", "old_shard", "block", "offset"]].itertuples(index=False)], "p_shard int, p_old int, p_block int, offset long")
     within = Window.partitionBy("old_shard", "block", "shard").orderBy("rank", "uid")
     placed = placed.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(offsets), (F.col("shard") == F.col("p_shard")) & (F.col("old_shard") == F.col("p_old")) & (F.col("block") == F.col("p_block")))
-    out = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    out = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot", *key]
     fixed = slim.filter(F.col("rank") <= bound).join(F.broadcast(spark.createDataFrame(last, "h_uid long, shard int, slot long")), F.col("uid") == F.col("h_uid"))
     return placed.withColumn("slot", F.col("offset") + F.col("place")).select(*out).union(fixed.select(*out))
 
@@ -138,16 +139,32 @@ def _place_reserve(held: pd.DataFrame, parts: pd.DataFrame, shards: int) -> list
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a number of its own for each row, written once so that every use reads the same numbers."""
+    return cut(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, rows_a_file: int = 100_000) -> list[int]:
     """Writes the shards that lose or gain rows under folder (one subfolder each) and returns their numbers.
 
-    Shards whose rows all stay keep their files. docs and placed are matched by doc_id, which must be unique; a large
-    shard is written by several tasks.
+    Shards whose rows all stay keep their files, and those left without rows lose theirs. docs and placed are matched by
+    row_key if both have it (see keyed(); it is not written), else by doc_id, which must then be unique and not null
+    (ValueError). A large shard is written by several tasks. Files change when all are written, but not all at one moment.
     """
+    key = "row_key" if "row_key" in docs.columns and "row_key" in placed.columns else "doc_id"
+    for side in (docs, placed):
+        if not side.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+            raise ValueError(f"{key} must be unique and not null: give docs by keyed()")
     moved = placed.filter("shard <> old_shard")
     affected = sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct().collect())
-    rows = placed.filter(F.col("shard").isin(affected)).select(F.col("doc_id").alias("p_id"), "shard", "slot")
-    out = docs.join(rows, docs["doc_id"] == rows["p_id"]).drop("p_id")
+    rows = placed.filter(F.col("shard").isin(affected)).select(F.col(key).alias("p_key"), "shard", "slot")
+    filled = {r[0] for r in rows.select("shard").distinct().collect()}
+    # a layout that was read has these columns already
+    out = docs.drop("shard", "slot").join(rows, F.col(key) == F.col("p_key")).drop("p_key", "row_key")
     out = out.repartition(F.col("shard"), F.expr(f"slot div {rows_a_file}")).sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(folder)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    context = docs.sparkSession.sparkContext
+    for shard in set(affected) - filled:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return affected

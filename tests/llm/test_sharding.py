@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm.sharding import min_cost_flow, reshard, rewrite_affected
+from sightline.llm.sharding import keyed, min_cost_flow, reshard, rewrite_affected
 
 
 def test_flow_moves_the_fewest():
@@ -49,3 +50,27 @@ def test_small_tables(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted(x.slot for x in reshard(df, F.lit(0)).collect()) == [0, 0]
     assert reshard(df.limit(0), F.lit(0)).collect() == []
+
+
+def test_rewrite_over_a_layout(spark, tmp_path):
+    """Null and repeated ids; shard 2 keeps its files, shard 3 is emptied, rows go from 0 and 3 to 1."""
+    folder = str(tmp_path / "layout")
+    # (doc_id, text, source, old shard, new shard); equal ids and texts differ by source
+    rows = [(1, "a", "x", 0, 0), (1, "a", "y", 0, 1), (None, "n", "x", 0, 1), (None, "n", "y", 2, 2), (1, "a", "z", 2, 2), (None, None, "x", 1, 1), (4, "d", "w", 3, 1), (4, "d", "w", 3, 1)]
+    spark.createDataFrame([(*x[:4], x[4]) for x in rows], "doc_id long, text string, source string, shard int, target int").write.partitionBy("shard").parquet(folder)
+    files = lambda: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "layout" / "shard=2").iterdir() if f.suffix == ".parquet"}
+    before = files()
+    docs = keyed(spark.read.parquet(folder))
+    placed = docs.select("doc_id", "row_key", F.col("shard").alias("old_shard"), F.col("target").alias("shard"), F.lit(0).cast("long").alias("slot"))
+    assert rewrite_affected(docs, placed, folder) == [0, 1, 3]
+    back = spark.read.parquet(folder)
+    assert "row_key" not in back.columns and files() == before and not (tmp_path / "layout" / "shard=3").exists()
+    assert sorted(((x.doc_id, x.text, x.source, x.shard) for x in back.collect()), key=str) == sorted(((*x[:3], x[4]) for x in rows), key=str)
+    with pytest.raises(ValueError):
+        rewrite_affected(docs.drop("row_key"), placed, folder)
+
+
+def test_row_keys_come_back(spark):
+    docs = keyed(spark.createDataFrame([(None, "a"), (5, "b"), (5, "b"), (None, None)] * 20, "doc_id long, text string"))
+    placed = reshard(docs, F.pmod(F.col("row_key"), F.lit(3)), new_shards=4, blocks=2, reserve=2)
+    assert sorted(x.row_key for x in placed.collect()) == sorted(x.row_key for x in docs.collect())
