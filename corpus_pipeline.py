@@ -18,7 +18,7 @@ from sightline.llm.jaccard import near_duplicates
 from sightline.llm.packing import pack
 from sightline.llm.quality import base_failed, fit, rows_with_statistics, verdict
 from sightline.llm.secrets import redact, secret_scan
-from sightline.llm.tables import cut, table, without
+from sightline.llm.tables import cut, small_or_shuffled, table, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +28,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the group, once if its row is repeated. Documents without an id stay."""
-    groups = cut(near_duplicates(docs))
-    kept = without(docs, groups.filter("component_id <> doc_id").select("doc_id"))
-    twice = cut(groups.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """One row of each group of near copies stays: that with the least id, then the least text hash; rows without an id come last.
+
+    Groups are of texts, so a null or reused id neither saves a copy nor takes another text along. Texts without words
+    stay; of those with an id, a repeated row stays once.
+    """
+    rows = docs.withColumn("same", F.xxhash64("text"))
+    groups = near_duplicates(rows, id_col="same").filter("n_shingles > 0")
+    groups = cut(groups.select(F.col("doc_id").alias("same"), F.col("component_id").alias("group")).distinct())
+    texts = rows.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.count("*").alias("n"))
+    texts = groups.join(texts, "same")
+    kept = cut(texts.groupBy("group").agg(F.min(F.struct("first", "same", "n")).alias("k")).select("k.same", "k.first.doc_id", "k.n"))
+    left = without(rows, groups.join(kept, "same", "left_anti").select("same"))
+    # of a text that stays, only the rows with the id that stays
+    shared = small_or_shuffled(cut(kept.filter("n > 1").select(F.col("same").alias("k_same"), F.col("doc_id").alias("k_id"))))
+    left = left.join(shared, F.col("same") == F.col("k_same"), "left").filter(F.col("k_same").isNull() | F.col("doc_id").eqNullSafe(F.col("k_id")))
+    left = left.withColumn("grouped", F.col("k_same").isNotNull()).drop("k_same", "k_id")
+    key = ["doc_id", "same"]
+    twice = cut(left.filter("grouped or doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key))
     if twice.isEmpty():
-        return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
-    once = repeated.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(*docs.columns)))).filter("nth = 1")
-    return without(kept, twice).unionByName(once.select(*docs.columns))
+        return left.select(*docs.columns)
+    again = small_or_shuffled(twice.select(F.col("doc_id").alias("t_id"), F.col("same").alias("t_same")))
+    repeated = left.join(again, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("same") == F.col("t_same")), "left_semi")
+    once = repeated.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))).filter("nth = 1")
+    return without(left, twice).select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id"))
+    """Documents with a word inside a benchmark window go, by id and text."""
+    gone = contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id", "same")
+    return without(docs.withColumn("same", F.xxhash64("text")), gone).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def _search(index, only_hits: bool):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
-    """(doc_id, n_words, n_hit, spans, items) for each row of docs (doc_id, text) against benchmark (item_id, text).
+    """(doc_id, same, n_words, n_hit, spans, items) for each row of docs (doc_id, text) against benchmark (item_id, text).
 
     Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z in lower case. n_hit counts words inside any
     occurrence of a window, spans are their ranges (words from 0, end exclusive), items the ids with such windows as
@@ -180,9 +180,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, windows
         listed = windows.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == k).collect()
         found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(_index(docs, listed)), passes > 1), hits_schema))
     if passes == 1:
-        return found[0].drop("same")
+        return found[0]
     if not passes:
-        return docs.mapInArrow(_search(spark.sparkContext.broadcast(NOTHING), False), hits_schema).drop("same")
+        return docs.mapInArrow(_search(spark.sparkContext.broadcast(NOTHING), False), hits_schema)
     hits = found[0]
     for more in found[1:]:
         hits = hits.union(more)
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, windows
     out = own.join(hits, F.col("doc_id").eqNullSafe(F.col("h_doc")) & F.col("same").eqNullSafe(F.col("h_same")), "left")
     spans = F.coalesce("h_spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), spans.alias("spans"), F.coalesce("h_items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return out.select("doc_id", "same", "n_words", n_hit.alias("n_hit"), spans.alias("spans"), F.coalesce("h_items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def _merged(spans: str):

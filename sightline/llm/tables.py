@@ -62,10 +62,13 @@ def small_or_shuffled(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids (doc_id); rows without an id stay. Texts are not shuffled for a small set of ids."""
-    gone = cut(ids.filter("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(small_or_shuffled(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but the rows that agree with a row of keys in all of its columns, null with null. Texts are not shuffled for few keys."""
+    gone = cut(keys.select(*[F.col(c).alias(f"gone_{c}") for c in keys.columns]).distinct())
+    met = F.lit(True)
+    for c in keys.columns:
+        met = met & F.col(c).eqNullSafe(F.col(f"gone_{c}"))
+    return docs.join(small_or_shuffled(gone), met, "left_anti")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -69,3 +69,22 @@ def test_each_stage(spark, folder):
 def test_whole_run(spark, folder):
     sf_dir, _, _ = folder
     assert corpus_pipeline.run(spark, sf_dir).groupBy("doc_id").count().count() > 50
+
+
+def test_decisions_are_by_row(spark, folder):
+    """Null and reused ids: contaminated texts and copies go whatever their id is, and take no other text along."""
+    sf_dir, _, items = folder
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(*x, "en", "s", 0) for x in rows], columns)
+    told = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+
+    bad = text("p") + " " + items[0][1]
+    rows = [(None, bad), (7, bad), (7, text("q")), (None, text("r"))]
+    assert told(corpus_pipeline.decontamination_stage(spark, make(rows), sf_dir)) == sorted([(7, text("q")), (None, text("r"))], key=str)
+
+    rows = [(5, text("a")), (5, text("b")), (3, text("b")), (9, text("a")), (None, text("a")), (None, text("c")), (None, text("c") + " end"), (None, ""), (None, ""), (8, ""), (8, "")]
+    got = told(corpus_pipeline.near_duplicate_stage(spark, make(rows), sf_dir))
+    c = [x for x in got if x[1].startswith("c0")]
+    assert len(c) == 1 and c[0][1] in (text("c"), text("c") + " end")
+    assert sorted((x for x in got if x not in c), key=str) == sorted([(5, text("a")), (3, text("b")), (None, ""), (None, ""), (8, "")], key=str)
