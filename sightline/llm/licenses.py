@@ -100,7 +100,8 @@ def _matches(words: Column, hits: Column, t: Template, rare: list[int], idf: dic
     """array<struct<label,base,start,length,score>> of the places where the template stands."""
     a, b = t.key
     key = F.array(*map(F.lit, t.words[a:b]))
-    stands = lambda s: (s >= 0) & (F.slice(words, F.greatest(s, F.lit(0)) + 1 + a, b - a) == key)
+    # the key phrase lies inside the text; what comes before it in the notice may be cut off by the text's start
+    stands = lambda s: (s + a >= 0) & (F.slice(words, F.greatest(s + a, F.lit(0)) + 1, b - a) == key)
     found = F.filter(_starts(hits, t, rare), stands)
     total = sum(idf[w] for w in t.words)
     weighed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(idf[w] / total).alias("x")) for w in t.words])
@@ -108,16 +109,18 @@ def _matches(words: Column, hits: Column, t: Template, rare: list[int], idf: dic
     def score(s: Column) -> Column:
         if (a, b) == (0, len(t.words)):
             return F.lit(1.0)
-        own = F.zip_with(F.slice(words, s + 1, len(t.words)), weighed, lambda w, y: F.when(w == y["w"], y["x"]).otherwise(F.lit(0.0)))
+        before = F.array_repeat(F.lit(None).cast("string"), F.greatest(-s, F.lit(0)))
+        inside = F.slice(words, F.greatest(s, F.lit(0)) + 1, F.lit(len(t.words)) + F.least(s, F.lit(0)))
+        own = F.zip_with(F.concat(before, inside), weighed, lambda w, y: F.when(w == y["w"], y["x"]).otherwise(F.lit(0.0)))
         return F.round(F.aggregate(own, F.lit(0.0), lambda x, y: x + F.coalesce(y, F.lit(0.0))), 6)
 
-    out = F.transform(found, lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), F.lit(len(t.words)).alias("length"), score(s).alias("score")))
+    out = F.transform(found, lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.greatest(s, F.lit(0)).alias("start"), (F.lit(len(t.words)) + F.least(s, F.lit(0))).alias("length"), score(s).alias("score")))
     return F.filter(out, lambda m: m["score"] >= LEAST_SCORE)
 
 
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, matches) for each row of docs; matches are array<struct<label, base, start, length, score>> by
-    start and label, start counting words from 0.
+    start and label, start counting words from 0. A notice whose first words are cut off by the text's start begins at 0.
 
     Words are runs of ASCII letters and digits and anything beyond ASCII, A-Z in lower case. Null and empty texts have no
     words and no matches; repeated rows come back once each; other columns are ignored; an empty table gives no rows.

@@ -46,5 +46,22 @@ def test_notices(spark):
     assert spans == {"mit": (1, len(mit.words))}
 
 
+def test_key_phrase_at_word_0(spark):
+    """A notice that lacks what comes before its key phrase: the score is the weight of what stands, as where words lead the text."""
+    cut = [t for t in TEMPLATES if not t.base and t.key[0] > 0]
+    texts = [" ".join(t.words[t.key[0] :]) for t in cut]
+    docs = [(2 * i + k, ("" if k else "zz " * 40) + text) for i, text in enumerate(texts) for k in (0, 1)]
+    # the words before the key phrases are common ones
+    docs += [(1000 + i, " ".join(sorted({w for t in cut for w in t.words[: t.key[0]]}))) for i in range(300)]
+    scanned = license_scan(spark.createDataFrame(docs, "doc_id long, text string")).filter("doc_id < 1000").collect()
+    found = {(x.doc_id, m.label): m for x in scanned for m in x.matches}
+    led, first = ({(d // 2, label): m for (d, label), m in found.items() if d % 2 == k} for k in (0, 1))
+    assert {k: m.score for k, m in first.items()} == {k: m.score for k, m in led.items()}
+    assert {i for i, label in first if cut[i].label == label} == set(range(len(cut)))
+    for (i, label), m in first.items():
+        if label == cut[i].label:
+            assert (m.start, m.length) == (0, len(texts[i].split()))
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
