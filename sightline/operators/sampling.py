@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.stats import with_nearest_rank
+from sightline.operators.folds import near_duplicates_removed
 
 
 def _video():
@@ -60,6 +61,17 @@ def chosen_frames(profile: DataFrame, budget: int, alpha: float, subtract_floor:
     return cuts.unionByName(picks)
 
 
+#: Share of a step's motion (all motion over the budget) within which nothing has happened between two frames.
+MOTION_TOLERANCE = 0.1
+
+
+def chosen_without_near_duplicates(profile: DataFrame, budget: int, alpha: float, bits: int) -> DataFrame:
+    """(video_id, idx) of chosen_frames() without near duplicates; profile has dhash. Scene cuts always stay."""
+    motion = weighted(profile, alpha).select("video_id", "idx", "dhash", F.col("eff").alias("own"), F.sum("eff").over(_line().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), (F.sum("eff").over(_video()) / budget * MOTION_TOLERANCE).alias("tolerance"))
+    rows = chosen_frames(profile, budget, alpha).withColumn("forced", F.col("reason") == "scene_cut").join(motion, ["video_id", "idx"])
+    return near_duplicates_removed(rows, bits).select("video_id", "idx")
+
+
 def gap_statistics(frames: DataFrame) -> DataFrame:
     """(video_id, frames, max_gap_ms, mean_gap_ms) of chosen times; the mean is cut to whole milliseconds, both are 0 below two frames."""
     gaps = frames.withColumn("_gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("video_id").orderBy("t_ms")))

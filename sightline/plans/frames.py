@@ -170,6 +170,21 @@ def g04_near_dup(spark, folder):
     return folds.near_duplicates_removed(rows, 24, F.lit(1e9)).select("video_id", "idx")
 
 
+@Q(
+    _CHOSEN.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", {S.MARKS}, pick AS (SELECT c.video_id, c.idx, m.dhash, e.eff, e.em, e.tol, c.reason = 'scene_cut' AS forced, row_number() OVER (PARTITION BY c.video_id ORDER BY c.idx) AS rn
+ FROM chosen c JOIN (SELECT video_id, idx, eff, sum(eff) OVER (PARTITION BY video_id ORDER BY idx) AS em, total / 16 * 0.1::DOUBLE AS tol FROM s) e ON e.video_id = c.video_id AND e.idx = c.idx JOIN marks m ON m.vec_id = (c.video_id * 31 + c.idx) % 500),
+walk AS (SELECT video_id, rn, [{{'h': dhash, 'em': em, 'eff': eff}}] AS kept, idx, true AS keep FROM pick WHERE rn = 1 UNION ALL
+SELECT p.video_id, p.rn, CASE WHEN p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND p.em - k.em + k.eff <= p.tol]) = 0 THEN list_append(w.kept, {{'h': p.dhash, 'em': p.em, 'eff': p.eff}}) ELSE w.kept END, p.idx,
+ p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND p.em - k.em + k.eff <= p.tol]) = 0 FROM walk w JOIN pick p ON p.video_id = w.video_id AND p.rn = w.rn + 1)
+SELECT video_id, idx FROM walk WHERE keep"""
+)
+def g04_near_dup_chosen(spark, folder):
+    """The fold over the frames that a budget of 16 chose from whole recordings; a tenth of a step's motion is tolerated."""
+    rows = views.fingerprinted_profile(spark, folder)
+    return sampling.chosen_without_near_duplicates(rows, 16, 0.25, 24)
+
+
 @Q(f"WITH {S.MARKS} SELECT vec_id, bit_count(xor(dhash, lag(dhash) OVER (ORDER BY vec_id)))::INT AS distance FROM marks QUALIFY distance IS NOT NULL")
 def f17_hamming(spark, folder):
     """Distances between neighbours by id, met by an equality and not by a window over everything."""
