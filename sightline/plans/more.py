@@ -183,6 +183,17 @@ def f25_fragments(spark, folder):
     return rows.select("c_nationkey", F.aggregate("l", F.lit(""), glue).alias("prompt"))
 
 
+@Q("SELECT c_nationkey, string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer GROUP BY c_nationkey")
+def f25_fragments_all(spark, folder):
+    """The fragments of all customers, joined as in f25_fragments."""
+    rows = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("t")))).alias("l"))
+    rows = rows.withColumn("l", F.filter("l", lambda x: x["t"].isNotNull()))
+    # the separators are put in first (a fold would copy the growing text at each step), none before the first text
+    first = F.array_position(F.transform("l", lambda x: F.length(x["t"]) > 0), True)
+    parts = F.transform("l", lambda x, i: F.when((first == 0) | (i < first) | x["t"].rlike("^[ \n]"), x["t"]).otherwise(F.concat(F.lit("\n\n"), x["t"])))
+    return rows.select("c_nationkey", F.array_join(parts, "").alias("prompt"))
+
+
 @Q("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 100) / (event_id % 5)::DOUBLE END AS rate FROM events")
 def f28_rational(spark, folder):
     said = F.concat_ws("/", (F.col("event_id") % 100).cast("string"), (F.col("event_id") % 5).cast("string"))

@@ -97,6 +97,24 @@ def j13_permissions(spark, folder):
     return direct.union(shared).distinct().groupBy("viewer").agg(F.count("*").alias("videos"))
 
 
+@Q(
+    """WITH own AS (SELECT o_orderkey AS video, o_custkey AS viewer FROM orders WHERE o_orderstatus = 'F'),
+ws AS (SELECT o_orderkey AS video, c2.c_custkey AS viewer FROM orders JOIN customer c1 ON o_custkey = c1.c_custkey JOIN customer c2 ON c2.c_nationkey = c1.c_nationkey)
+SELECT viewer, count(*) AS videos FROM (SELECT * FROM own UNION SELECT * FROM ws) GROUP BY viewer"""
+)
+def j13_permissions_all(spark, folder):
+    """Viewers of a video: its owner if it is open, and all members of the owner's workspace (nation).
+
+    A workspace's videos are counted once and the number is given to its members (customers have one workspace at most);
+    the open videos of an owner with a workspace are among them.
+    """
+    o, c = table(spark, folder, "orders"), table(spark, folder, "customer").filter("c_nationkey is not null")
+    homes = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count_distinct("o_orderkey").alias("videos"))
+    shared = c.join(F.broadcast(homes), "c_nationkey").select(F.col("c_custkey").alias("viewer"), "videos")
+    alone = o.filter("o_orderstatus = 'F'").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    return shared.union(alone.groupBy(F.col("o_custkey").alias("viewer")).agg(F.count_distinct("o_orderkey").alias("videos")))
+
+
 @Q("SELECT o_orderkey AS tuple_id, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 def j14_roles(spark, folder):
     c = table(spark, folder, "customer").filter("c_acctbal > 0")

@@ -28,3 +28,11 @@ def test_near_duplicates_of_the_chosen_frames(spark):
     got = sorted((x.video_id, x.idx) for x in run(spark, "g04_near_dup_chosen").collect())
     assert got == sorted((v, i) for v, l in kept.items() for i, _ in l)
     assert any(i >= 40 for _, i in got)
+
+
+def test_all_customers(spark):
+    customers = views.table(spark, FOLDER, "customer")
+    prompts = run(spark, "f25_fragments_all")
+    assert prompts.agg(F.sum(F.size(F.split("prompt", "\n\n")))).first()[0] == customers.count()
+    members = customers.join(views.table(spark, FOLDER, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey").distinct(), "c_nationkey")
+    assert sorted(x.viewer for x in run(spark, "j13_permissions_all").collect()) == sorted(x.c_custkey for x in members.collect())
