@@ -64,6 +64,13 @@ def t01_event_order(spark, folder):
     return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).filter("rk <= 5").select("video_id", "rk", "event_type", "start_sec")
 
 
+@Q(_SEGMENTS + " SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, confidence DESC, event_type) AS rk, event_type, start_sec FROM seg")
+def t01_event_order_all(spark, folder):
+    """All events of each recording in order."""
+    rank = Window.partitionBy("video_id").orderBy("start_sec", F.col("confidence").desc(), "event_type")
+    return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).select("video_id", "rk", "event_type", "start_sec")
+
+
 @Q(
     f"WITH {S.EVENTS} SELECT video_id, pos, label, n > 20 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY (category IN ('alarm', 'distress')) DESC, score DESC, pos) AS nth FROM ev) WHERE nth <= 20"
 )
