@@ -12,7 +12,7 @@ import math
 import random
 import re
 from collections import Counter
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +26,67 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("head script style noscript template svg math iframe object select textarea option button canvas audio video title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+P_SCOPE = frozenset("article aside blockquote body div li main section table td th".split())
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
+_P = frozenset({"p"})
+
 #: Most labelled pages that the model is trained on.
 LABELLED_PAGES = 2_000
 
 
+# Elements whose inside is not markup.
+RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
+_WHITE = " \t\n\r\f"
+_TAG_NAME = re.compile(f"[A-Za-z][^{_WHITE}/>]*")
+_BETWEEN = re.compile(f"[{_WHITE}/]*")
+_ATTRIBUTE = re.compile(f"[^{_WHITE}/>][^{_WHITE}/>=]*")
+_EQUALS = re.compile(f"[{_WHITE}]*=[{_WHITE}]*")
+_UNQUOTED = re.compile(f"[^{_WHITE}>]*")
+_COMMENT_END = re.compile("--!?>")
+_RAW_END = {tag: re.compile(f"</{tag}(?=[{_WHITE}/>])", re.IGNORECASE) for tag in RAW}
+
+
 class _Node:
-    __slots__ = ("tag", "names", "parent", "text", "own", "total", "linked", "stops")
+    __slots__ = ("tag", "names", "parent", "own", "total", "linked", "stops")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: int):
         self.tag, self.names, self.parent = tag, names, parent
-        self.text: list[str] = []
         self.own = self.total = self.linked = self.stops = 0
 
 
-class _Tree(HTMLParser):
+class _Tree:
     """Block elements in page order, each after its parent, and the runs of text between block bounds."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.nodes = [_Node("#root", (), -1)]
         #: open elements: (tag, block node or that of the nearest block, is it hidden)
         self.open: list[tuple[str, int, bool]] = [("#root", 0, False)]
+        #: depths of the open elements of each name, so that none is searched for
+        self.depths: dict[str, list[int]] = {}
         #: (node, text) and (-1, "") at block bounds, in page order
         self.runs: list[tuple[int, str]] = []
         self.links = 0
 
+    def _deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
     def _end_to(self, depth: int) -> None:
         while len(self.open) > depth:
             tag, _, _ = self.open.pop()
+            self.depths[tag].pop()
             self.links -= tag == "a"
             if tag not in INLINE:
                 self.runs.append((-1, ""))
 
     def _close_open(self, tags, stop) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.open[depth][0]
-            if tag in tags:
-                self._end_to(depth)
-                return
-            if tag in stop:
-                return
-
-    def handle_starttag(self, tag, attrs):
+        depth = self._deepest(tags)
+        if depth and depth > self._deepest(stop - tags):
+            self._end_to(depth)
+
+    def start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
         if tag in CLOSES_P:
-            self._close_open({"p"}, {"table", "td", "th", "div", "article", "section", "main", "aside", "blockquote", "li", "body"})
+            self._close_open(_P, P_SCOPE)
         if tag in SAME:
             self._close_open(SAME[tag], SCOPE[tag])
         if tag not in INLINE:
@@ -81,28 +96,26 @@ class _Tree(HTMLParser):
         _, node, hidden = self.open[-1]
         if tag not in INLINE:
             names: list[str] = []
-            for key, value in attrs:
-                if key in ("class", "id", "role") and value:
+            for key, value in attributes:
+                if key in ("class", "id", "role"):
                     names += re.findall("[a-z]+", value.lower())
-                hidden = hidden or key == "hidden" or (key == "style" and bool(value) and bool(re.search(r"display\s*:\s*none", value)))
+                hidden = hidden or key == "hidden" or (key == "style" and bool(re.search(r"display\s*:\s*none", value)))
             self.nodes.append(_Node(tag, tuple(dict.fromkeys(names)), node))
             node = len(self.nodes) - 1
         self.links += tag == "a"
+        self.depths.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, node, hidden or tag in HIDDEN))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][0] == tag:
-                self._end_to(depth)
-                return
+    def end(self, tag: str) -> None:
+        depth = self._deepest((tag,))
+        if depth:
+            self._end_to(depth)
 
-    def handle_data(self, data):
+    def data(self, data: str) -> None:
         _, node, hidden = self.open[-1]
         if hidden:
             return
+        data = unescape(data)
         self.runs.append((node, data))
         size = len(data) - data.count(" ")
         if size and not data.isspace():
@@ -111,11 +124,73 @@ class _Tree(HTMLParser):
             own.linked += size if self.links else 0
             own.stops += sum(map(data.count, ".!?。"))
 
+    def read(self, html: str) -> _Tree:
+        """Reads a whole page from left to right, each character once. Nothing in it is an error: what a comment, tag or
+        declaration that never ends would hold is left out, as browsers do."""
+        at, size = 0, len(html)
+        while at < size:
+            mark = html.find("<", at)
+            if mark < 0:
+                self.data(html[at:])
+                break
+            if mark > at:
+                self.data(html[at:mark])
+            at = self._markup(html, mark)
+        return self
+
+    def _markup(self, html: str, mark: int) -> int:
+        """Reads what begins with the < at mark; returns the place behind it."""
+        closing = html.startswith("/", mark + 1)
+        name = _TAG_NAME.match(html, mark + 1 + closing)
+        if name:
+            return self._tag(html, name[0].lower(), name.end(), closing)
+        if html.startswith("!--", mark + 1):
+            if html.startswith(">", mark + 4) or html.startswith("->", mark + 4):
+                return html.index(">", mark) + 1
+            found = _COMMENT_END.search(html, mark + 4)
+            return found.end() if found else len(html)
+        if html[mark + 1 : mark + 2] in ("!", "?", "/"):
+            end = html.find(">", mark)
+            return end + 1 if end >= 0 else len(html)
+        self.data("<")
+        return mark + 1
+
+    def _tag(self, html: str, tag: str, at: int, closing: bool) -> int:
+        attributes: list[tuple[str, str]] = []
+        while True:
+            at = _BETWEEN.match(html, at).end()
+            if at >= len(html):
+                return at
+            if html[at] == ">":
+                break
+            key = _ATTRIBUTE.match(html, at)
+            at, value = key.end(), ""
+            equals = _EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote and quote in "'\"":
+                    end = html.find(quote, at + 1)
+                    if end < 0:
+                        return len(html)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    found = _UNQUOTED.match(html, at)
+                    value, at = found[0], found.end()
+            attributes.append((key[0].lower(), unescape(value)))
+        at += 1
+        if closing:
+            self.end(tag)
+            return at
+        self.start(tag, attributes)
+        if tag in RAW:  # its inside is never part of the text
+            found = _RAW_END[tag].search(html, at)
+            return found.start() if found else len(html)
+        return at
+
 
 def parse(html: str) -> _Tree:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree = _Tree().read(html)
     for node in tree.nodes:
         node.total += node.own
     for node in reversed(tree.nodes[1:]):  # children come after their parents
@@ -273,9 +348,7 @@ def labelled_pages(number: int = 400, seed: int = 11) -> list[tuple[str, str]]:
     out = []
     for _ in range(number):
         parts = [f"<h1>{some(r.randrange(2, 9))}</h1>"] + [block() for _ in range(r.choice([1, 2, 4, 9, 15]))]
-        plain = _Tree()
-        plain.feed("".join(parts))
-        plain.close()
+        plain = _Tree().read("".join(parts))
         text = joined(plain, np.ones(len(plain.nodes), bool))
         for _ in range(r.choice([0, 0, 1, 2])):
             parts.insert(r.randrange(1, len(parts) + 1), junk_inside())
@@ -315,8 +388,9 @@ def main_text(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, url, text) for each row of pages (page_id, url, html): the whole page's main text, empty if none.
 
     labelled (html, text) are pages with their main text, of which the first LABELLED_PAGES by hash train the model;
-    without it made-up pages do. Null and empty pages have an empty text, broken markup is read as far as it goes;
-    repeated rows come back once each; other columns are ignored; an empty table gives no rows.
+    without it made-up pages do. Null and empty pages have an empty text. No markup is an error: unknown
+    declarations are comments, end tags without a start are passed over, and what a comment, tag or quoted value that never
+    ends would hold is left out. Deep and long pages take time in proportion to their length. Repeated rows come back once each; other columns are ignored; an empty table gives no rows.
     """
     if labelled is None:
         known = labelled_pages()
