@@ -62,12 +62,20 @@ def small_or_shuffled(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it different from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) - len(c.lstrip("_")) for c in taken), default=0)
+    return [n if n.lower() not in taken else "_" * (longest + 1) + n for n in names]
+
+
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs but the rows that agree with a row of keys in all of its columns, null with null. Texts are not shuffled for few keys."""
-    gone = cut(keys.select(*[F.col(c).alias(f"gone_{c}") for c in keys.columns]).distinct())
+    names = unused(docs, *[f"gone_{c}" for c in keys.columns])
+    gone = cut(keys.toDF(*names).distinct())
     met = F.lit(True)
-    for c in keys.columns:
-        met = met & F.col(c).eqNullSafe(F.col(f"gone_{c}"))
+    for c, name in zip(keys.columns, names):
+        met = met & F.col(c).eqNullSafe(F.col(name))
     return docs.join(small_or_shuffled(gone), met, "left_anti")
 
 

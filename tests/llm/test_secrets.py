@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,54 @@ def test_ownership_tells_examples_from_live(spark):
     assert got[0].spans == "" and got[102].spans.startswith("assign:0:") and got[102].n_example == 1
 
 
+def test_repositories_tell_shared_examples_from_an_owners_key(spark):
+    own, shared, few = ("ghp_" + x * 6 for x in ("Own1", "Shr2", "Few3"))
+    # owners agree (two each); repositories differ: six hold one value, two the other. One owner's key is live in ten.
+    docs = [(i, f"see {shared}", f"s{i % 2}", f"l{i % 6}") for i in range(12)] + [(100 + i, few, f"s{i % 2}", "en") for i in range(12)] + [(200 + i, own, "s9", f"l{i}") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    rows = {x.doc_id: x for x in scan(df).collect()}
+    assert rows[0].spans == [] and [(s.live, s.owners, s.repositories) for s in rows[100].spans] == [(True, 2, 2)]
+    assert [(s.live, s.owners, s.repositories) for s in rows[200].spans] == [(True, 1, 10)]
+
+
+def test_common_values_meet_their_counts_by_broadcast(spark, monkeypatch):
+    from sightline.llm import secrets
+
+    text = "token=aaaaaaaa token=bbbbbbbb"
+    df = spark.createDataFrame([(i, text if i % 2 else "secret=aaaaaaaa", f"s{i % 9}", "en") for i in range(90)], "doc_id long, text string, source string, lang string")
+    want = sorted(secret_digest(scan(df)).collect())
+    monkeypatch.setattr(secrets, "COMMON_SPANS", 50)
+    assert sorted(secret_digest(scan(df)).collect()) == want
+
+
+def test_many_matches_in_linear_time(spark):
+    n, one = 200_000, "token=abcdefgh é "
+    df = spark.createDataFrame([(1, one * n, "s", "en"), (2, "x", "s", "en")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = {x.doc_id: x for x in secret_digest(scan(df)).collect()}
+    assert got[1].n_assign == n and got[1].spans.endswith(f"assign:{17 * n - 17}:{17 * n - 3}") and got[2].n_assign == 0
+    assert time.time() - began < 20
+    began = time.time()
+    assert {x.doc_id: x.text for x in redact(df, scan(df)).collect()}[1] == "[SECRET] é " * n
+    assert time.time() - began < 30
+
+
+def test_redaction_of_overlapping_spans_in_clashing_columns(spark):
+    r = random.Random(4)
+    parts = ["token = ", "secret=", "abcdef12", "0123456789abcdef" * 2, "AKIA", "ABCDEFGH1234", " ", "é", "\U0001f600", "\n", "x" * 300]
+    docs = [(i if i % 9 else None, "".join(r.choice(parts) for _ in range(r.randrange(20))), f"s{i}", "en", 1, 2, 3, 4) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, r_doc int, r_same int, _r_ranges int, same int")
+    want = []
+    for d in docs:
+        spans = sorted((int(a), int(b)) for a, b in (x.split(":")[1:] for x in filter(None, brute(d[1])[4].split(","))))
+        out, at = "", 0
+        for a, b in spans:
+            out, at = (out + d[1][at:a] + "[SECRET]" if a >= at else out), max(at, b)
+        want.append((d[0], out + d[1][at:], *d[2:]))
+    got = redact(df, scan(df))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_redaction(spark):
     secret = "0123456789abcdef" * 2 + "01"
     docs = [(1, f"é token = \"{secret}\" end", "s", "en", 7), (2, "plain api text", "s", "en", 14), (3, None, "s", "en", None), (4, f"{secret} {secret}", "s", "en", 9), (4, f"{secret} {secret}", "s", "en", 9)]
