@@ -6,7 +6,6 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from sightline.llm.jaccard import near_duplicates
 from sightline.llm.packing import pack
 from sightline.llm.quality import base_failed, fit, rows_with_statistics, verdict
 from sightline.llm.secrets import redact, secret_scan
-from sightline.llm.tables import cut, small_or_shuffled, table, without
+from sightline.llm.tables import cut, remove, shared_folder, small_or_shuffled, table, unused, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,31 +32,34 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Groups are of texts, so a null or reused id neither saves a copy nor takes another text along. Texts without words
     stay; of those with an id, a repeated row stays once.
     """
-    rows = docs.withColumn("same", F.xxhash64("text"))
-    groups = near_duplicates(rows, id_col="same").filter("n_shingles > 0")
+    same, k_same, k_id, grouped, t_id, t_same, nth, count = unused(docs, "same", "k_same", "k_id", "grouped", "t_id", "t_same", "nth", "n")
+    rows = docs.withColumn(same, F.xxhash64("text"))
+    groups = near_duplicates(rows, id_col=same).filter("n_shingles > 0")
     groups = cut(groups.select(F.col("doc_id").alias("same"), F.col("component_id").alias("group")).distinct())
-    texts = rows.groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.count("*").alias("n"))
+    texts = rows.select(F.col(same).alias("same"), "doc_id").groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.count("*").alias("n"))
     texts = groups.join(texts, "same")
     kept = cut(texts.groupBy("group").agg(F.min(F.struct("first", "same", "n")).alias("k")).select("k.same", "k.first.doc_id", "k.n"))
-    left = without(rows, groups.join(kept, "same", "left_anti").select("same"))
+    left = without(rows, groups.join(kept, "same", "left_anti").select(F.col("same").alias(same)))
     # of a text that stays, only the rows with the id that stays
-    shared = small_or_shuffled(cut(kept.filter("n > 1").select(F.col("same").alias("k_same"), F.col("doc_id").alias("k_id"))))
-    left = left.join(shared, F.col("same") == F.col("k_same"), "left").filter(F.col("k_same").isNull() | F.col("doc_id").eqNullSafe(F.col("k_id")))
-    left = left.withColumn("grouped", F.col("k_same").isNotNull()).drop("k_same", "k_id")
-    key = ["doc_id", "same"]
-    twice = cut(left.filter("grouped or doc_id is not null").groupBy(*key).count().filter("count > 1").select(*key))
+    shared = small_or_shuffled(cut(kept.filter("n > 1").select(F.col("same").alias(k_same), F.col("doc_id").alias(k_id))))
+    left = left.join(shared, F.col(same) == F.col(k_same), "left").filter(F.col(k_same).isNull() | F.col("doc_id").eqNullSafe(F.col(k_id)))
+    left = left.withColumn(grouped, F.col(k_same).isNotNull()).drop(k_same, k_id)
+    key = ["doc_id", same]
+    twice = left.filter(F.col(grouped) | F.col("doc_id").isNotNull()).groupBy(*key).agg(F.count("*").alias(count))
+    twice = cut(twice.filter(F.col(count) > 1).select(*key))
     if twice.isEmpty():
         return left.select(*docs.columns)
-    again = small_or_shuffled(twice.select(F.col("doc_id").alias("t_id"), F.col("same").alias("t_same")))
-    repeated = left.join(again, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("same") == F.col("t_same")), "left_semi")
-    once = repeated.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))).filter("nth = 1")
+    again = small_or_shuffled(twice.select(F.col("doc_id").alias(t_id), F.col(same).alias(t_same)))
+    repeated = left.join(again, F.col("doc_id").eqNullSafe(F.col(t_id)) & (F.col(same) == F.col(t_same)), "left_semi")
+    once = repeated.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(nth) == 1)
     return without(left, twice).select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark window go, by id and text."""
-    gone = contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id", "same")
-    return without(docs.withColumn("same", F.xxhash64("text")), gone).select(*docs.columns)
+    """Documents with a word inside a benchmark window go, by id and text: another text under the same id stays."""
+    (same,) = unused(docs, "same")
+    gone = contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id", F.col("same").alias(same))
+    return without(docs.withColumn(same, F.xxhash64("text")), gone).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,13 +84,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, with a table in the shared folder between them."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-pipeline-")
+    """The stages one after another over documents, with a table in the shared folder between them. A table is deleted when
+    the next one has been written; the last one stays for the result, which is worked out from it when it is read."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        if k:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -27,53 +27,44 @@ CAPACITY = 1024
 PIECE = 256
 #: Windows in a group that one call divides.
 GROUP = 128
-#: Words that a task remembers the ids of.
-REMEMBERED = 300_000
-
-# The character classes of the tokenizer's split pattern up to U+024F.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_NUMBER = "0-9²³¹¼-¾"
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0"
-_LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts by a byte-level BPE tokenizer's file, as little-endian unsigned 32-bit bytes.
 
-    Words (the pieces that the tokenizer's pattern splits a text into) recur, so their ids are remembered. Texts beyond
-    Latin letters, or that hold the special token's string (one id), go through the library as a whole.
+    A faster library with the same ranks takes Latin texts, whose characters both class alike. The tokenizer's own takes
+    all others: those beyond U+024F, those with the special token's string (one id), and those whose white space is too
+    long for the faster one's pattern.
     """
 
-    def __init__(self, ranks_file: bytes, pattern: str):
+    def __init__(self, tokenizer_file: bytes, ranks_file: bytes, pattern: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks_file.splitlines() if line)}
-        self.library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-        self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = np.array(self.library._encode_single_piece(word), "<u4").tobytes()
-            if len(self.known) < REMEMBERED:
-                self.known[word] = found
-        return found
+        self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.own = Tokenizer.from_str(tokenizer_file.decode())
 
     def __call__(self, text: str) -> bytes:
-        if _BEYOND_LATIN.search(text) or SPECIAL in text:
-            return np.array(self.library.encode(text, allowed_special="all"), "<u4").tobytes()
-        return b"".join(map(self._word, _LATIN_SPLIT.findall(text)))
+        if not _BEYOND_LATIN.search(text) and SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # the pattern's stack is too small for a very long run of white space
+                pass
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[int, Encoder] = {}
 
 
-def _pieces(ranks, pattern: str, end_id: int, capacity: int, piece: int):
+def _pieces(files, pattern: str, end_id: int, capacity: int, piece: int):
     def run(batches):
-        which = zlib.crc32(ranks.value + pattern.encode())
-        encoder = _encoders.get(which) or _encoders.setdefault(which, Encoder(ranks.value, pattern))
+        tokenizer, ranks = files.value
+        which = zlib.crc32(tokenizer + ranks + pattern.encode())
+        encoder = _encoders.get(which) or _encoders.setdefault(which, Encoder(tokenizer, ranks, pattern))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
@@ -144,37 +135,37 @@ def divide(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack_group(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", ignore_index=True)
-        length = pdf["length"].to_numpy(np.int64)
-        small = np.flatnonzero(length < capacity)
-        window = np.zeros(len(pdf), np.int64)
-        window[small] = divide(length[small], capacity)
-        used = int(window[small].max()) + 1 if len(small) else 0
-        full = np.flatnonzero(length >= capacity)
-        window[full] = used + np.arange(len(full))
-        pdf["sequence_id"] = pdf["packet"].astype(np.int64) * (1 << 32) + window
+        window = divide(pdf["length"].to_numpy(np.int64), capacity)
+        pdf["sequence_id"] = 2 * (pdf["packet"].astype(np.int64) * (1 << 32) + window)
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     return run
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None, pattern: str | None = None, end_id: int = 0, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of each row's ids and their places.
 
     A row's ids are those of its whole text (null: none) and end_id; each id lies in exactly one piece. A sequence holds
-    at most capacity ids. The vocabulary file is read on the driver and broadcast (under 1 MB). Empty texts are one piece
-    of one id; repeated rows are packed once each; other columns are ignored; an empty table gives no rows.
+    at most capacity ids; one filled by a single piece has an odd sequence_id. The tokenizer's file, and the same
+    vocabulary as ranks, are read on the driver and broadcast (under 3 MB). Empty texts are one piece of one id; repeated
+    rows are packed once each; other columns are ignored; an empty table gives no rows.
     """
     import public_tokenizers
 
-    spark = docs.sparkSession
-    with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        ranks = spark.sparkContext.broadcast(file.read())
+    files = []
+    for path in (tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")):
+        with open(path, "rb") as file:
+            files.append(file.read())
+    files = docs.sparkSession.sparkContext.broadcast(tuple(files))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = cut(in_small_batches(docs).select("doc_id", "text").mapInArrow(_pieces(ranks, pattern or public_tokenizers.PATTERN, end_id, capacity, piece), rows))
-    total = pieces.filter(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (GROUP * capacity)))
+    pieces = cut(in_small_batches(docs).select("doc_id", "text").mapInArrow(_pieces(files, pattern or public_tokenizers.PATTERN, end_id, capacity, piece), rows))
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id())
-    pieces = pieces.withColumn("packet", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    return pieces.groupBy("packet").applyInPandas(_pack_group(capacity), rows + ", sequence_id long, offset long")
+    # whole windows stay where they are; a group holds only pieces that are to be divided
+    whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", 2 * F.col("uid") + 1).withColumn("offset", F.lit(0).cast("long")).drop("uid")
+    rest = pieces.filter(F.col("length") < capacity)
+    total = rest.agg(F.sum("length")).first()[0] or 0
+    groups = max(1, round(total / (GROUP * capacity)))
+    rest = rest.withColumn("packet", F.pmod(F.xxhash64("uid"), F.lit(groups)))
+    return rest.groupBy("packet").applyInPandas(_pack_group(capacity), rows + ", sequence_id long, offset long").unionByName(whole)

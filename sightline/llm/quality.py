@@ -182,7 +182,8 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> list[Rule]:
-    """The decision list from labels (doc_id, quality: 0 is bad), learned on at most labelled_rows of them.
+    """The decision list from labels (doc_id, quality: 0 is bad), learned on at most labelled_rows of them: those with the
+    least hashes of their ids, and of an id's texts the one with the least statistics.
 
     Documents that the base rule fails anyway are left out. Null labels and ids are left out; without rows of both kinds
     the list is empty and rejects nothing.
@@ -191,8 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS)
     sample = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(order, "doc_id", "quality").limit(labelled_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     stats = text_statistics(rows, ["doc_id", "quality"]).filter(~base_failed())
-    seen = stats.select("doc_id", "quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).limit(4 * labelled_rows).toPandas()
-    seen = seen.assign(rank=mix(seen["doc_id"].to_numpy(np.int64).view(_U)) if len(seen) else []).sort_values(["rank", "doc_id", *FEATURES])
+    seen = stats.select("doc_id", "quality", F.struct(*[F.expr(e).alias(n) for n, e in FEATURES.items()]).alias("x"))
+    # at most one row for each row of the sample
+    seen = seen.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x.*").toPandas()
+    seen = seen.assign(rank=mix(seen["doc_id"].to_numpy(np.int64).view(_U)) if len(seen) else []).sort_values(["rank", "doc_id", "quality"])
     bad = seen["quality"].to_numpy() == 0
     if not len(seen) or bad.all() or not bad.any():
         return []

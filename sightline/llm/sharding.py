@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, remove
 
 #: Blocks that each old shard is counted in.
 BLOCKS = 256
@@ -163,8 +163,6 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, folder: str, rows_a_fil
     out = docs.drop("shard", "slot").join(rows, F.col(key) == F.col("p_key")).drop("p_key", "row_key")
     out = out.repartition(F.col("shard"), F.expr(f"slot div {rows_a_file}")).sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
-    context = docs.sparkSession.sparkContext
     for shard in set(affected) - filled:
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(docs.sparkSession, f"{folder}/shard={shard}")
     return affected

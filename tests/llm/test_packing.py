@@ -10,14 +10,22 @@ from sightline.llm.packing import Encoder, divide, karmarkar_karp, pack
 TEXTS = ["", " ", "a", "a  b\n\n c", "it's 'LL we'll", "é²³¼ x\x85\xa0y \t\n", "日本語 text", "x<|endoftext|>y <|endoftext", "\U0001f600", "a\x1cb \x1f c", "ǅ ɏ ɐ", "12 345a6", "...  !? ", " x   y", "\x00\r\n\r\n z  "]
 
 
+def read(name):
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 def test_ids_are_the_tokenizers(spark):
+    """On made-up texts, on very long ones and on all documents of the largest table."""
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder = Encoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    encoder = Encoder(read("byte_bpe_50k.json"), read("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(0)
-    texts = TEXTS + ["".join(r.choice("aAbé'sltd 12²\n\t .,!\x85\xa0ß") for _ in range(r.randrange(60))) for _ in range(500)]
-    texts += [x[0] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    texts = TEXTS + ["".join(r.choice("aAbé'sltd 12²\n\t .,!\x85\xa0ß日") for _ in range(r.randrange(60))) for _ in range(500)]
+    texts += [" " * 2_000_000 + "x", "a" * 300_000, "é . " * 100_000]
+    texts += [x[0] or "" for x in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    assert len(texts) > 10_000
     for text in texts:
-        assert np.frombuffer(encoder(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(encoder(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text[:200])
 
 
 def test_differencing():

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -88,3 +89,26 @@ def test_decisions_are_by_row(spark, folder):
     c = [x for x in got if x[1].startswith("c0")]
     assert len(c) == 1 and c[0][1] in (text("c"), text("c") + " end")
     assert sorted((x for x in got if x not in c), key=str) == sorted([(5, text("a")), (3, text("b")), (None, ""), (None, ""), (8, "")], key=str)
+
+
+def test_clashing_columns_empty_tables_and_rows_without_an_id(spark, folder):
+    """Columns named as the stages' own ones come out unchanged; no rows give none."""
+    sf_dir, _, items = folder
+    extra = ["same", "k_same", "grouped", "nth", "n", "gone_same", "gone_doc_id", "s_doc", "r_doc", "r_ranges", "text_hash", "uid", "n_words"]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *[f"concat('x', doc_id) as `{c}`" for c in extra])
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == df.columns, name
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, plain, sf_dir)
+    got = docs.collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted((x.doc_id, x.text) for x in plain.collect())
+    assert all(x[c] == f"x{x.doc_id}" for x in got for c in extra)
+    for start in (df.limit(0), df.withColumn("doc_id", F.lit(None).cast("long"))):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+        assert (docs.count() > 50) == bool(start.count())
+        assert (corpus_pipeline.packing_stage(spark, docs, sf_dir).count() > 50) == bool(start.count())
