@@ -1,10 +1,12 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.llm import sharding
 from sightline.llm.sharding import keyed, min_cost_flow, reshard, rewrite_affected
 
 
@@ -22,6 +24,60 @@ def test_flow_moves_the_fewest():
     assert (min_cost_flow([1, 1], [1, 1], np.array([[1.0, 2.0], [1.0, 5.0]])) * np.array([[1, 2], [1, 5]])).sum() == 3
 
 
+def test_flow_of_any_costs_has_no_cheaper_cycle():
+    r = np.random.default_rng(3)
+    for k in range(60):
+        n, m = (int(x) for x in r.integers(1, 8, 2))
+        supply = r.integers(0, 30, n).tolist()
+        demand = np.bincount(r.integers(0, m, sum(supply)), minlength=m).tolist()
+        cost = r.integers(0, 4, (n, m)).astype(float) if k % 2 else r.random((n, m))
+        flow = min_cost_flow(supply, demand, cost)
+        assert flow.min() >= 0 and flow.sum(axis=1).tolist() == supply and flow.sum(axis=0).tolist() == demand
+        # shortest paths over the residual network settle, so no change of the flow is cheaper
+        distance = np.zeros(n + m)
+        for _ in range(n + m + 1):
+            before = distance.copy()
+            distance[n:] = np.minimum(distance[n:], (distance[:n, None] + cost).min(axis=0))
+            distance[:n] = np.minimum(distance[:n], np.where(flow > 0, distance[None, n:] - cost, np.inf).min(axis=1))
+        assert np.allclose(before, distance)
+
+
+def test_flow_between_two_thousand_shards():
+    r = np.random.default_rng(0)
+    supply = [int(x) for x in r.integers(1, 10**12, 2000)]
+    demand = [sum(supply) // 2400 + (j < sum(supply) % 2400) for j in range(2400)]
+    cost = np.ones((2000, 2400))
+    cost[np.arange(2000), np.arange(2000)] = 0
+    began = time.time()
+    flow = min_cost_flow(supply, demand, cost)
+    assert time.time() - began < 60
+    assert flow.sum(axis=1).tolist() == supply and flow.sum(axis=0).tolist() == demand
+    assert (flow * (cost > 0)).sum() == sum(max(0, a - b) for a, b in zip(supply, demand))
+
+
+def test_copies_stay_together_and_hot_ones_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    rows = [(i, f"text {i % 300} " + "x" * (i % 300), i % 2) for i in range(3000)] + [(5000 + i, "hot text", 0) for i in range(1500)]
+    rows += [(9000, "very long " * 200_000, 1), (None, None, None)]
+    got = reshard(spark.createDataFrame(rows, "doc_id long, text string, old int"), F.col("old"), new_shards=5, blocks=8, reserve=4).toPandas()
+    assert len(got) == len(rows) and all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("shard"))
+    small = got[(got["size"] != 24) & (got["size"] < 10_000)]
+    together = small.groupby(["text_crc32", "old_shard"]).shard.agg(lambda x: x.value_counts().iloc[0]).sum() / len(small)
+    assert together > 0.98
+
+
+def test_rewriting_the_querys_own_layout(spark, tmp_path):
+    """Documents in files by their old shard, resharded and rewritten: each shard then holds the rows placed there."""
+    docs, folder = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), str(tmp_path / "layout")
+    docs.withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(32)).cast("int")).write.partitionBy("shard").parquet(folder)
+    layout = keyed(spark.read.parquet(folder))
+    placed = reshard(layout, F.col("shard"))
+    rewrite_affected(layout, placed, folder)
+    back = spark.read.parquet(folder)
+    assert sorted(back.select("shard", F.crc32(F.col("text").cast("binary")).alias("x")).collect()) == sorted(placed.select("shard", F.col("text_crc32").alias("x")).collect())
+    assert back.select(*docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
+
+
 def test_placement(spark, tmp_path):
     r = random.Random(1)
     rows = [(i, "é" * r.randrange(60) + "x" * r.randrange(400), "hot" if r.random() < 0.4 else "s%d" % r.randrange(20), 9) for i in range(3000)]
