@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
 from .components import connected_components
-from .tables import bit_filter, cut, in_filter, in_small_batches, small_or_shuffled
+from .tables import bit_filter, cut, in_filter, in_small_batches, joined_by_key, small_or_shuffled
 
 _U = np.uint64
 #: Places of the shingle frequency sketch: 512 KB on the driver and on each executor, whatever the input.
@@ -37,6 +37,8 @@ MOST_SHARED = 16
 CHANCE = 0.1
 #: Work of one verification, in prefix rows.
 VERIFY_COST = 20.0
+#: Sets of one shingle's list that one block of it holds.
+LIST_BLOCK = 1_000
 
 
 def _sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts[places["place"].to_numpy()] = places["number"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
     own = read.filter("n >= 0").select("doc_id", "n", "node", "least")
-    nodes = own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"))
+    nodes = cut(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("least").alias("least")))
 
     def filters(needed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Bit sets of one document's id for each node of needed, and of the nodes."""
@@ -250,13 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Ties: sets with an equal minimum hash and the most ordinary one of them. Copies differ from their source by shingles
     # of their own, so the set with the fewest uncommon shingles is near the middle of its group and ties most of it.
-    keys = nodes.select("node", "n", F.posexplode("least").alias("place", "hash")).select("node", F.xxhash64("place", "hash").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    keys = cut(keys.join(sizes, "key"))
+    keys = nodes.select("node", F.posexplode("least").alias("place", "hash")).select("node", F.xxhash64("place", "hash").alias("key"))
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
+    keys = cut(joined_by_key(keys, sizes, "key", "size").select("node", "key"))
     grouped = keys.select("node").distinct()
     uncommon = docs.mapInArrow(_uncommon_rows(k, sketch, *filters(grouped)), "node long, uncommon long").groupBy("node").agg(F.min("uncommon").alias("uncommon"))
-    leaders = keys.join(uncommon, "node").groupBy("key").agg(F.min_by("node", F.struct("uncommon", "node")).alias("leader"))
-    ties = keys.join(leaders, "key").filter("node <> leader").groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).count().filter(f"count >= {TIE_HASHES}").select("u", "v")
+    leaders = keys.join(uncommon, "node").groupBy("key").agg(F.min_by("node", F.struct("uncommon", "node")).alias("leader"), F.count("*").alias("size"))
+    ties = joined_by_key(keys, cut(leaders), "key", "size").filter("node <> leader")
+    ties = ties.groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).count().filter(f"count >= {TIE_HASHES}").select("u", "v")
     ties = verified(ties)
     labels = cut(connected_components(ties))
 
@@ -269,11 +272,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = docs.mapInArrow(_prefix_rows(k, threshold, sketch, token_filter), rows).dropDuplicates(["token", "node"])
     entries = cut(_label_of(entries, labels, "n", "place", "shared"))
     sizes = entries.groupBy("token", "label").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").select("token", "largest")
-    listed = cut(entries.join(largest, "token"))
-    rest = listed.filter("label <> largest").select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "place", "shared")])
+    largest = sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("size").alias("size")).filter("labels > 1").select("token", "largest", "size")
+    listed = cut(joined_by_key(entries, cut(largest), "token", "size"))
+    # a long list is dealt to blocks, each of which meets all of the rest
+    blocks = F.expr(f"cast(1 + size div {LIST_BLOCK} as int)")
+    rest = listed.filter("label <> largest").select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *[F.col(c).alias(f"o_{c}") for c in ("node", "label", "n", "place", "shared")])
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     p, q = threshold.numerator, threshold.denominator
-    pairs = rest.join(listed, "token").filter(
+    pairs = rest.join(listed, ["token", "block"]).filter(
         # each pair once: the rest meet the largest, and one another in one order
         "o_label <> label and (label = largest or o_node < node)"
         f" and {q} * n >= {p} * o_n and {q} * o_n >= {p} * n"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_ROWS, cut, unused
+from .tables import cut, joined_by_key, unused
 
 # Base kinds in their order, (kind, pattern, least length, group that the length and the value are of).
 BASE = (
@@ -33,9 +33,6 @@ KINDS = tuple(k for k, *_ in BASE + MORE)
 EXAMPLE_OWNERS = 3
 #: and so is one of two owners or more that is in this many repositories or more.
 EXAMPLE_REPOSITORIES = 6
-#: A value with more spans than this, or than one in BROADCAST_ROWS of all spans, meets its counts by a broadcast. There
-#: are at most BROADCAST_ROWS of these.
-COMMON_SPANS = 20_000
 #: Code points of the blocks that a text is cut into before parts of it are taken.
 BLOCK = 256
 
@@ -105,9 +102,7 @@ def secret_scan(docs: DataFrame, owner: Column, repository: Column, example_owne
     found = candidates(docs, owner, repository)
     spans = cut(placed(found.filter("size(steps) > 0")))
     counts = cut(ownership(spans))
-    common = F.broadcast(counts.filter(F.col("spans") > max(COMMON_SPANS, spans.count() // BROADCAST_ROWS)).drop("spans"))
-    own = spans.select("uid", "hash", "rank", "start", "stop")
-    counted = own.join(common, "hash").unionByName(own.join(common, "hash", "left_anti").join(counts.drop("spans"), "hash"))
+    counted = joined_by_key(spans.select("uid", "hash", "rank", "start", "stop"), counts, "hash", "spans")
     live = (F.col("owners") < example_owners) & ((F.col("owners") < 2) | (F.col("repositories") < example_repositories))
     judged = counted.withColumn("live", live).filter((F.col("rank") < len(BASE)) | F.col("live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1)

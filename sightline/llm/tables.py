@@ -77,6 +77,23 @@ def small_or_shuffled(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+#: A key with more rows than this, or than one in BROADCAST_ROWS of all rows, is a common one: see joined_by_key().
+COMMON_ROWS = 1_000
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, key: str, number: str) -> DataFrame:
+    """rows joined with keys, which has one row for each key and in `number` how many of the rows have it.
+
+    Common keys, of which there can't be more than BROADCAST_ROWS, are broadcast, so their rows stay where they are; all
+    others are joined by a shuffle.
+    """
+    total = keys.agg(F.sum(number)).first()[0] or 0
+    is_common = F.col(number) > max(COMMON_ROWS, total // BROADCAST_ROWS)
+    common = F.broadcast(keys.filter(is_common))
+    others = rows.join(F.broadcast(keys.filter(is_common).select(key)), key, "left_anti")
+    return rows.join(common, key).unionByName(others.join(keys.filter(~is_common), key))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it different from all columns of df."""
     taken = {c.lower() for c in df.columns}

@@ -58,12 +58,12 @@ def test_repositories_tell_shared_examples_from_an_owners_key(spark):
 
 
 def test_common_values_meet_their_counts_by_broadcast(spark, monkeypatch):
-    from sightline.llm import secrets
+    from sightline.llm import tables
 
     text = "token=aaaaaaaa token=bbbbbbbb"
     df = spark.createDataFrame([(i, text if i % 2 else "secret=aaaaaaaa", f"s{i % 9}", "en") for i in range(90)], "doc_id long, text string, source string, lang string")
     want = sorted(secret_digest(scan(df)).collect())
-    monkeypatch.setattr(secrets, "COMMON_SPANS", 50)
+    monkeypatch.setattr(tables, "COMMON_ROWS", 50)
     assert sorted(secret_digest(scan(df)).collect()) == want
 
 
