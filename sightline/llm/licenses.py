@@ -4,6 +4,9 @@ Templates are licence notices and phrases. Inverse document frequencies of their
 A file looks up the highest-IDF words of each template: every place of such a word says where the template would begin,
 and the places on which the rare words agree are candidates. A phrase template must then stand there word for word; a
 notice must hold its mandatory key phrase there, and its score is the share of its IDF weight that stands in place.
+
+Texts are read once. What is kept of each is which template words it holds and, if they make up any key phrase, the
+number of the template word at each place; frequencies, look-ups and scores come from that small table.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ascii_lower
+from .tables import ascii_lower, cut
 
 
 @dataclass(frozen=True)
@@ -68,11 +71,28 @@ LEAST_SCORE = 0.6
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def inverse_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """IDF of each vocabulary word over all rows of words (words array); what comes to the driver is one count a word."""
-    own = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", F.array(*map(F.lit, vocabulary))))).alias("word"))
-    counts = {r.word: r.number for r in own.groupBy("word").agg(F.count("*").alias("number")).collect()}
-    return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
+def positions(docs: DataFrame, templates: tuple[Template, ...], vocabulary: list[str]) -> DataFrame:
+    """(doc_id, n_words, present, ids), written once: the numbers (from 1) of the vocabulary words in each text, and the
+    number at each place (0: another word) of texts that hold all words of a key phrase, else null."""
+    known = F.array(*map(F.lit, vocabulary))
+    number = lambda w: F.array_position(known, w).cast("short")
+    words = docs.select("doc_id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0).alias("words"))
+    words = words.select("doc_id", "words", F.array_intersect("words", known).alias("held"))
+    may_match = F.lit(False)
+    for key in sorted({tuple(sorted(set(t.words[slice(*t.key)]), key=lambda w: (-len(w), w))) for t in templates}):
+        whole = F.lit(True)
+        for w in key:
+            whole = whole & F.array_contains("held", w)
+        may_match = may_match | whole
+    ids = F.when(may_match, F.transform("words", number))
+    return cut(words.select("doc_id", F.size("words").cast("long").alias("n_words"), F.transform("held", number).alias("present"), ids.alias("ids")))
+
+
+def inverse_frequencies(seen: DataFrame, vocabulary: list[str]) -> list[float]:
+    """IDF of each vocabulary word over all texts; what comes to the driver is one count a word."""
+    held = seen.select(F.explode(F.array_append("present", F.lit(0).cast("short"))).alias("id"))
+    counts = {r.id: r.number for r in held.groupBy("id").agg(F.count("*").alias("number")).collect()}
+    return [math.log((counts.get(0, 0) + 1) / (counts.get(k, 0) + 1)) + 1 for k in range(1, len(vocabulary) + 1)]
 
 
 def _rare(t: Template, idf: dict[str, float]) -> list[int]:
@@ -83,35 +103,35 @@ def _rare(t: Template, idf: dict[str, float]) -> list[int]:
     return [i for _, i in order[: 1 if t.base else RARE]]
 
 
-def _places(hits: Column, word: str, offset: int) -> Column:
-    own = F.filter(hits, lambda h: h["w"] == word)
-    return F.transform(own, lambda h: h["i"] - F.lit(offset))
-
+def _starts(hits: Column, own: list[tuple[int, int]]) -> Column:
+    """Where the template would begin by its rare words (number, place in the template)."""
+    def begins(k: int, i: int) -> Column:
+        return F.transform(F.filter(hits, lambda h: h["id"] == k), lambda h: h["i"] - F.lit(i))
 
-def _starts(hits: Column, t: Template, rare: list[int]) -> Column:
-    lists = [_places(hits, t.words[i], i) for i in rare]
+    lists = [begins(k, i) for k, i in own]
     if len(lists) == 1:
         return lists[0]
     pairs = [F.array_intersect(a, b) for k, a in enumerate(lists) for b in lists[k + 1 :]]
     return F.array_distinct(F.concat(*pairs))
 
 
-def _matches(words: Column, hits: Column, t: Template, rare: list[int], idf: dict[str, float]) -> Column:
+def _matches(ids: Column, hits: Column, t: Template, rare: list[int], number: dict[str, int], idf: dict[str, float]) -> Column:
     """array<struct<label,base,start,length,score>> of the places where the template stands."""
     a, b = t.key
-    key = F.array(*map(F.lit, t.words[a:b]))
+    short = lambda words: F.array(*[F.lit(number[w]).cast("short") for w in words])
+    key = short(t.words[a:b])
     # the key phrase lies inside the text; what comes before it in the notice may be cut off by the text's start
-    stands = lambda s: (s + a >= 0) & (F.slice(words, F.greatest(s + a, F.lit(0)) + 1, b - a) == key)
-    found = F.filter(_starts(hits, t, rare), stands)
+    stands = lambda s: (s + a >= 0) & (F.slice(ids, F.greatest(s + a, F.lit(0)) + 1, b - a) == key)
+    found = F.filter(_starts(hits, [(number[t.words[i]], i) for i in rare]), stands)
     total = sum(idf[w] for w in t.words)
-    weighed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(idf[w] / total).alias("x")) for w in t.words])
+    weighed = F.array(*[F.struct(F.lit(number[w]).cast("short").alias("id"), F.lit(idf[w] / total).alias("x")) for w in t.words])
 
     def score(s: Column) -> Column:
         if (a, b) == (0, len(t.words)):
             return F.lit(1.0)
-        before = F.array_repeat(F.lit(None).cast("string"), F.greatest(-s, F.lit(0)))
-        inside = F.slice(words, F.greatest(s, F.lit(0)) + 1, F.lit(len(t.words)) + F.least(s, F.lit(0)))
-        own = F.zip_with(F.concat(before, inside), weighed, lambda w, y: F.when(w == y["w"], y["x"]).otherwise(F.lit(0.0)))
+        before = F.array_repeat(F.lit(None).cast("short"), F.greatest(-s, F.lit(0)))
+        inside = F.slice(ids, F.greatest(s, F.lit(0)) + 1, F.lit(len(t.words)) + F.least(s, F.lit(0)))
+        own = F.zip_with(F.concat(before, inside), weighed, lambda w, y: F.when(w == y["id"], y["x"]).otherwise(F.lit(0.0)))
         return F.round(F.aggregate(own, F.lit(0.0), lambda x, y: x + F.coalesce(y, F.lit(0.0))), 6)
 
     out = F.transform(found, lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.greatest(s, F.lit(0)).alias("start"), (F.lit(len(t.words)) + F.least(s, F.lit(0))).alias("length"), score(s).alias("score")))
@@ -125,16 +145,19 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     Words are runs of ASCII letters and digits and anything beyond ASCII, A-Z in lower case. Null and empty texts have no
     words and no matches; repeated rows come back once each; other columns are ignored; an empty table gives no rows.
     """
-    words = docs.select("doc_id", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), 0).alias("words"))
-    idf = inverse_frequencies(words, sorted({w for t in templates for w in t.words}))
+    # short words are the common ones and so are found first
+    vocabulary = sorted({w for t in templates for w in t.words}, key=lambda w: (len(w), w))
+    number = {w: k for k, w in enumerate(vocabulary, 1)}
+    seen = positions(docs, templates, vocabulary)
+    idf = dict(zip(vocabulary, inverse_frequencies(seen, vocabulary)))
     rare = [_rare(t, idf) for t in templates]
-    anchors = F.array(*map(F.lit, sorted({t.words[i] for t, places in zip(templates, rare) for i in places})))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(anchors, x["w"]))
-    looked_up = words.select("doc_id", "words", F.when(F.arrays_overlap("words", anchors), places).alias("hits"))
-    matches = F.concat(*[_matches(F.col("words"), F.col("hits"), t, r, idf) for t, r in zip(templates, rare)])
+    anchors = F.array(*[F.lit(k).cast("short") for k in sorted({number[t.words[i]] for t, places in zip(templates, rare) for i in places})])
+    hits = F.filter(F.transform("ids", lambda x, i: F.struct(x.alias("id"), i.alias("i"))), lambda h: F.array_contains(anchors, h["id"]))
+    looked_up = seen.select("doc_id", "n_words", "ids", hits.alias("hits"))
+    matches = F.concat(*[_matches(F.col("ids"), F.col("hits"), t, r, number, idf) for t, r in zip(templates, rare)])
     none = F.expr("cast(array() as array<struct<label:string,base:boolean,start:int,length:int,score:double>>)")
     ordered = F.array_sort(matches, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0))
-    return looked_up.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), ordered).otherwise(none).alias("matches"))
+    return looked_up.select("doc_id", "n_words", F.when(F.col("ids").isNotNull(), ordered).otherwise(none).alias("matches"))
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:

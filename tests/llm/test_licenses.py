@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from sightline.llm.licenses import TEMPLATES, license_digest, license_scan
 
@@ -63,5 +64,15 @@ def test_key_phrase_at_word_0(spark):
             assert (m.start, m.length) == (0, len(texts[i].split()))
 
 
+def test_very_long_text(spark):
+    """400,000 words, a phrase at every second one; a word of three million letters; texts of rare words alone."""
+    docs = [(1, "CC-by " * 200_000 + "all rights reserved"), (2, "x" * 3_000_000 + " general public license"), (3, "license " * 100_000), (1, "CC-by " * 200_000 + "all rights reserved")]
+    began = time.time()
+    got = license_digest(license_scan(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    want = [(i, *brute(t)) for i, t in docs]
+    assert sorted((x.doc_id, x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in got) == sorted(want)
+    assert time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
