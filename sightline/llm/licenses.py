@@ -68,7 +68,8 @@ TEMPLATES = (
 RARE = 3
 #: Least score of a notice.
 LEAST_SCORE = 0.6
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words as what they hold and not as what they don't: Java matches such a class some twenty times as fast.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def positions(docs: DataFrame, templates: tuple[Template, ...], vocabulary: list[str]) -> DataFrame:
