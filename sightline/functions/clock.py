@@ -48,6 +48,28 @@ def clip_to_source(ms: Column, t0: Column, t1: Column, scale: Column) -> Column:
     return F.when(scale <= 0, t0 + ms).otherwise(F.least(t0 + F.round(ms / F.nullif(scale, F.lit(0.0))).cast("long"), t1))
 
 
+def rebased_events(events: Column, t0: Column, t1: Column, scale: Column) -> Column:
+    """Events of a clip (an array of structs with t_ms and time) with their times in the recording."""
+    moved = lambda e: clip_to_source(e["t_ms"], t0, t1, scale)
+    return F.transform(events, lambda e: e.withField("t_ms", moved(e)).withField("time", report_clock(moved(e))))
+
+
+# Lengths of the intervals between ticks of a time axis.
+TICKS_MS = (1_000, 2_000, 5_000, 10_000, 15_000, 30_000, 60_000, 120_000, 300_000, 600_000)
+
+
+def tick_interval(duration_ms: Column, ticks: tuple[int, ...] = TICKS_MS, wanted: int = 10) -> Column:
+    """The first interval that reaches a wanted-th of the duration, else the last."""
+    known = F.array(*[F.lit(x).cast("long") for x in ticks])
+    target = F.floor(duration_ms / wanted)
+    return F.coalesce(F.array_min(F.filter(known, lambda c: c >= target)), F.lit(ticks[-1]).cast("long"))
+
+
+def service_frames(seconds: Column, rate: float = 2.0) -> Column:
+    """How many frames a model service takes from a clip of that length."""
+    return F.floor(seconds * rate + 0.5).cast("long")
+
+
 def frame_time(index: Column, fps: Column) -> Column:
     return F.round(index * 1000.0 / fps).cast("long")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID_W, GRID_H = 12, 8
@@ -65,6 +65,70 @@ def frame_features(frames: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_features, "video_id long, idx long, t_ms long, raw float, dhash long, grid array<smallint>, cell_peak float")
 
 
+def mel_of(hz: Column) -> Column:
+    return 2595 * F.log10(1 + hz / 700)
+
+
+def hz_of(mel: Column) -> Column:
+    return 700 * (F.pow(F.lit(10.0), mel / 2595) - 1)
+
+
+def scaled_size(width: Column, height: Column, most: int) -> Column:
+    """(width, height) with the longest side at most `most`, never larger than before and at least 1."""
+    scale = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest(width, height))
+    side = lambda x: F.greatest(F.lit(1).cast("long"), F.floor(x * scale + 0.5).cast("long"))
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def image_tokens(width: Column, height: Column, tile: int = 28) -> Column:
+    return (F.ceil(width / tile) * F.ceil(height / tile)).cast("long")
+
+
+def alignment(a: np.ndarray, b: np.ndarray, search: int = 4096, span: int = 160_000) -> tuple[int, float, float]:
+    """(shift, residual, relative): the shift of b within `search` samples that correlates best with a, the root mean square
+    of what differs then, and its share of a. The first second of a is left out, or a quarter of a shorter one."""
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    base = min(16_000, len(a) // 4)
+    span = max(1, min(span, len(a) - base - search))
+    part = a[base : base + span]
+    # b from base - search on, with silence beyond its ends
+    around = np.zeros(len(part) + 2 * search)
+    low, high = max(0, base - search), max(0, min(len(b), base + len(part) + search))
+    if high > low:
+        around[low - (base - search) : high - (base - search)] = b[low:high]
+    size = 1 << int(len(around) + len(part)).bit_length()
+    dots = np.fft.irfft(np.fft.rfft(around, size) * np.conj(np.fft.rfft(part, size)), size)[: 2 * search + 1]
+    shift = int(np.argmax(np.round(dots, 6))) - search
+    at = np.arange(base, base + len(part)) + shift
+    met = (at >= 0) & (at < len(b))
+    off, own = part[met] - b[at[met]], part[met]
+    energy = float(own @ own)
+    return shift, float(np.sqrt(off @ off / span)), float(np.sqrt(off @ off / energy)) if energy > 0 else 0.0
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """(video_id, shift, residual, relative) of pairs of decoded sounds (video_id, a, b)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [alignment(np.array(a.as_py() or [0.0]), np.array(b.as_py() or [0.0])) for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], names=["video_id", "shift", "residual", "relative"])
+
+    return pairs.select("video_id", "a", "b").mapInArrow(run, "video_id long, shift long, residual double, relative double")
+
+
+def window_floor(levels: DataFrame, window: int, top_db: float = 120.0) -> DataFrame:
+    """(video_id, w, place, level): levels (video_id, idx, level) in windows of `window` samples, none lower than top_db below
+    its window's best; a last window that the levels don't fill is filled with that floor."""
+    line = Window.partitionBy("video_id", "w")
+    rows = levels.select("video_id", F.expr(f"idx div {window}").alias("w"), F.expr(f"idx % {window}").alias("place"), "level")
+    floor = F.max("level").over(line) - top_db
+    inside = rows.select("video_id", "w", "place", F.greatest("level", floor).alias("level"))
+    short = rows.groupBy("video_id", "w").agg((F.max("level") - top_db).alias("level"), (F.max("place") + 1).alias("n")).filter(F.col("n") < window)
+    filled = short.select("video_id", "w", F.explode(F.sequence(F.col("n"), F.lit(window - 1).cast("long"))).alias("place"), "level")
+    return inside.unionByName(filled)
+
+
 def mel_filters(bands: int, size: int, rate: int, low: float, high: float) -> np.ndarray:
     mel = lambda f: 2595.0 * np.log10(1.0 + f / 700.0)
     edges = 700.0 * (10.0 ** (np.linspace(mel(low), mel(high), bands + 2) / 2595.0) - 1.0)

@@ -27,10 +27,16 @@ def severity_rank(x: Column) -> Column:
     return F.when(x == "low", 0).when(x == "medium", 1).when(x == "high", 2).when(x == "critical", 3).otherwise(1)
 
 
+# How a level's names begin. Reports have three levels, so a critical one counts as high.
+HIGH = ("yüks", "yuks", "high", "krit", "critical")
+LOW = ("düş", "dus", "low")
+
+
 def severity_of(x: Column) -> Column:
-    """A level from free text by its lower-case beginning, medium if unknown."""
+    """A level (low, medium, high) from free text by its lower-case beginning, medium if unknown."""
     low = F.lower(F.trim(x))
-    return F.when(low.startswith("low"), "low").when(low.startswith("high"), "high").when(low.startswith("crit"), "critical").otherwise("medium")
+    begins = lambda names: F.exists(F.array(*map(F.lit, names)), lambda n: low.startswith(n))
+    return F.when(begins(HIGH), "high").when(begins(LOW), "low").otherwise("medium")
 
 
 def untrusted(x: Column, most: int = 2000, suffix: str = "…") -> Column:
@@ -56,6 +62,25 @@ def json_body(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def without_code_fence(x: Column) -> Column:
+    """An answer without its code fence. As characters of the set `json are taken off the front one by one, an answer that
+    begins with one of them loses it too; the callers look for JSON, which doesn't."""
+    bare = F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), "^[`json]+", "")
+    return F.regexp_replace(F.regexp_replace(bare, "`+$", ""), r"^\s+|\s+$", "")
+
+
+def tool_call(x: Column, marker: str) -> Column:
+    """(said, call): the text before a marker and the JSON behind it, which is null without the marker."""
+    parts = F.split(x, marker, 2)
+    return F.struct(F.get(parts, F.lit(0)).alias("said"), F.get(parts, F.lit(1)).alias("call"))
+
+
+def listed(parts: Column) -> Column:
+    """Lines of a list: "- name (title): text" for structs (name, title, text), without what is null."""
+    line = lambda p: F.concat(F.lit("- "), p["name"], F.coalesce(F.concat(F.lit(" ("), p["title"], F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(": "), p["text"]), F.lit("")))
+    return F.array_join(F.transform(parts, line), "\n")
+
+
 def safe_file_name(x: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(x, "/"), -1), "[^A-Za-z0-9._-]", "_")
 

@@ -23,6 +23,22 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket: float, tolerance: fl
     return pairs.drop("_bucket", "_a", "_b")
 
 
+def points_in_ranges(points: DataFrame, ranges: DataFrame, bucket: float, how: str = "inner") -> DataFrame:
+    """points (video_id, t_ms, ...) with each range (video_id, a, b, ...) that holds their time, both ends included.
+
+    A range is listed in the time buckets that it touches and a point in its own, so a long recording is many join keys.
+    how may be left_semi, for points in any range.
+    """
+    low, high = F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket)
+    listed = ranges.filter("a <= b").withColumn("_bucket", F.explode(F.sequence(low, high)))
+    own = points.withColumn("_bucket", F.floor(F.col("t_ms") / bucket))
+    at, of = own.alias("_at"), listed.alias("_of")
+    met = (F.col("_at.video_id") == F.col("_of.video_id")) & (F.col("_at._bucket") == F.col("_of._bucket")) & F.col("_at.t_ms").between(F.col("_of.a"), F.col("_of.b"))
+    out = at.join(of, met, how)
+    rest = [] if how == "left_semi" else [F.col(f"_of.{c}") for c in ranges.columns if c not in points.columns]
+    return out.select(*[F.col(f"_at.{c}") for c in points.columns], *rest)
+
+
 def nearest(left: DataFrame, right: DataFrame, tolerance: int | None = None) -> DataFrame:
     """left (video_id, t_ms, ...) with the nearest right t_ms as n_t and its signed distance n_t - t_ms as n_off, null if none (within tolerance).
 
@@ -56,6 +72,26 @@ def upserted(table: DataFrame, changes: DataFrame, keys: list[str], version: lis
     return both.withColumn("_nth", F.row_number().over(rank)).filter("_nth = 1").drop("_nth", "_new")
 
 
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """table with rows behind its own; columns go by name and those that rows lack are null."""
+    return table.unionByName(rows, allowMissingColumns=True)
+
+
+def cascade_deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The tables without the rows of the deleted keys (one column, key), the owner's own table included."""
+    gone = gone.select(key).distinct()
+    return {name: table.join(gone, key, "left_anti") for name, table in tables.items()}
+
+
+def display_names(rows: DataFrame, key: str, *sources: DataFrame) -> DataFrame:
+    """rows with name: the first of the sources (key, name) that knows the key, else # and the key."""
+    out, found = rows, []
+    for k, source in enumerate(sources):
+        out = out.join(source.dropDuplicates([key]).select(F.col(key).alias(f"_k{k}"), F.col("name").alias(f"_n{k}")), F.col(key) == F.col(f"_k{k}"), "left")
+        found.append(F.col(f"_n{k}"))
+    return out.select(*rows.columns, F.coalesce(*found, F.concat(F.lit("#"), F.col(key).cast("string"))).alias("name"))
+
+
 def inserted_if_new(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """table with those rows whose key it lacks; of several new rows with one key the first comes in."""
     first = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")

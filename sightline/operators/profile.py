@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions.bits import hamming
 from sightline.functions.stats import at_rank, with_nearest_rank
 from sightline.operators.folds import spaced
+from sightline.operators.joins import points_in_ranges
 
 
 def _video():
@@ -58,10 +59,11 @@ def scene_cuts(profile: DataFrame, window: int = 15, ratio: float = 0.5, least_b
     return spaced(cut_candidates(profile, window, ratio, least_bits), "idx", window)
 
 
-def sliced(profile: DataFrame, ranges: DataFrame) -> DataFrame:
+def sliced(profile: DataFrame, ranges: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     """Samples within each range (video_id, range_id, a, b), ends included and in either order; scores stay as they are."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return profile.join(ranges, "video_id").filter(F.col("t_ms").between(low, high))
+    rest = [c for c in ranges.columns if c not in ("video_id", "a", "b")]
+    ordered = ranges.select("video_id", *rest, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return points_in_ranges(profile, ordered, bucket_ms)
 
 
 def slice_duration(sliced_rows: DataFrame, fps: float) -> DataFrame:

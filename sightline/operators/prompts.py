@@ -23,9 +23,13 @@ def resolved(fragments: DataFrame, overrides: DataFrame, candidates: DataFrame |
 
 
 def glued(parts: Column) -> Column:
-    """Texts joined by a blank line; one that begins with a blank or a line end follows directly."""
-    glue = lambda out, x: F.when(F.length(out) == 0, x).when(x.rlike("^[ \n]"), F.concat(out, x)).otherwise(F.concat(out, F.lit("\n\n"), x))
-    return F.aggregate(parts, F.lit(""), glue)
+    """Texts joined by a blank line; one that begins with a blank or a line end follows directly. Null ones are left out.
+
+    Separators are put before the texts and all is joined at once; a fold would copy the growing text at each step.
+    """
+    told = F.filter(parts, lambda x: x.isNotNull())
+    first = F.array_position(F.transform(told, lambda x: F.length(x) > 0), True)
+    return F.array_join(F.transform(told, lambda x, i: F.when((first == 0) | (i < first) | x.rlike("^[ \n]"), x).otherwise(F.concat(F.lit("\n\n"), x))), "")
 
 
 def rendered(kinds: DataFrame, fragments: DataFrame, contexts: DataFrame) -> DataFrame:

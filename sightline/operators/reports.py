@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.clock import minute_clock, parse_clock
-from sightline.functions.text import json_body, severity_of, severity_rank
+from sightline.functions.text import json_body, non_blank, severity_of, severity_rank
 
 #: What a model's answer may hold; everything is optional.
 ANSWER = "struct<zoom:struct<t0:double,t1:double>,summary:string,events:array<struct<time:string,t_ms:bigint,event:string,severity:string>>,risk:string,actions:array<string>,arguments:string>"
@@ -28,6 +28,26 @@ def event_time(time: Column, ms: Column) -> Column:
     return F.coalesce(parse_clock(time), ms, F.lit(0).cast("long"))
 
 
+def delivered(reports: DataFrame) -> DataFrame:
+    """The narrow form that reports are delivered in: (video_id, summary, events, risk, actions) with events as (time, event)."""
+    events = F.transform("events", lambda e: F.struct(e["time"].alias("time"), e["event"].alias("event")))
+    return reports.select("video_id", "summary", events.alias("events"), "risk", "actions")
+
+
+def with_defaults(summary: Column, actions: Column, said: str, action: str) -> Column:
+    """(summary, actions) of a report, with said for a blank summary and action where there is none."""
+    told = F.when(F.size(F.coalesce(actions, F.array().cast("array<string>"))) == 0, F.array(F.lit(action))).otherwise(actions)
+    return F.struct(F.coalesce(non_blank(summary), F.lit(said)).alias("summary"), told.alias("actions"))
+
+
+def result_document(settings: dict, rows: DataFrame, total: DataFrame) -> DataFrame:
+    """(part, body): a benchmark's result as JSON, one line for the settings, one for each row of rows (in a line of its own,
+    since there may be many) and one for the total."""
+    own = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns)).alias("body"))
+    said = rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in settings.items()])
+    return own(said, "settings").union(own(rows, "video")).union(own(total, "total"))
+
+
 def merged_reports(reports: DataFrame) -> DataFrame:
     """(video_id, summary, risk, actions) of reports (video_id, seq, summary, risk, actions) in order of seq.
 

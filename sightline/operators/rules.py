@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.clock import finding_clock
 from sightline.operators.folds import first_starts
 from sightline.operators.islands import merged_ids
 from sightline.operators.joins import overlap_join
 
 
 def critical_clusters(events: DataFrame) -> DataFrame:
-    """(video_id, category, cluster, start, end, best, others, n): critical events of one category that overlap strictly are one finding.
+    """(video_id, category, cluster, start, end, best, others, evidence, n): critical events of one category that overlap strictly are one finding.
 
-    best is the label with the highest score, the last on ties; others are the labels apart from it, in order of time.
+    best is the label with the highest score, the last on ties; others are the labels apart from it, in order of time;
+    evidence has a line for each event, its label and its clock times.
     """
     critical = merged_ids(events.filter("severity = 'critical'"), ["video_id", "category"], ["start", "pos"], 0.0, "cluster", touching=False)
-    rows = F.array_sort(F.collect_list(F.struct("start", "pos", "label")))
+    rows = F.array_sort(F.collect_list(F.struct("start", "pos", "label", "end")))
     out = critical.groupBy("video_id", "category", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("label", F.struct("score", "pos")).alias("best"), rows.alias("_rows"), F.count("*").alias("n"))
     others = F.transform(F.filter("_rows", lambda r: r["label"] != F.col("best")), lambda r: r["label"])
-    return out.withColumn("others", F.array_join(others, ",")).drop("_rows")
+    told = F.transform("_rows", lambda r: F.concat(r["label"], F.lit(" "), finding_clock(r["start"]), F.lit("–"), finding_clock(r["end"])))
+    return out.withColumn("others", F.array_join(others, ",")).withColumn("evidence", told).drop("_rows")
 
 
 def alarm_spans(events: DataFrame, slack: float = 5.0) -> DataFrame:
@@ -34,9 +37,9 @@ def post_alarm_activity(events: DataFrame, window: float, slack: float = 5.0) ->
 
     total is the length of the union of the activity, clipped to the window, and bursts the number of its intervals.
     """
-    spans = alarm_spans(events, slack).select("video_id", "span", F.col("start").alias("alarm_start"))
-    machine = events.filter("category = 'machine'").select("video_id", "pos", "start", "end")
-    met = spans.join(machine, "video_id").filter((F.col("end") > F.col("alarm_start")) & (F.col("start") < F.col("alarm_start") + window))
+    spans = alarm_spans(events, slack).select("video_id", "span", F.col("start").alias("alarm_start"), F.col("start").alias("v_start"), (F.col("start") + window).alias("v_end"))
+    machine = events.filter("category = 'machine'").select("video_id", "pos", "start", "end", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
+    met = overlap_join(spans, machine, window)
     clipped = met.withColumn("start", F.greatest("start", "alarm_start")).withColumn("end", F.least(F.col("end"), F.col("alarm_start") + window)).filter("end > start")
     merged = merged_ids(clipped, ["video_id", "span"], ["start", "pos"], 0.0, "burst").groupBy("video_id", "span", "alarm_start", "burst").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return merged.groupBy("video_id", "span", "alarm_start").agg(F.max("end").alias("last_end"), F.count("*").alias("bursts"), F.sum(F.col("end") - F.col("start")).alias("total"))
@@ -60,12 +63,20 @@ def vehicle_near_person(events: DataFrame, bucket: float, tolerance: float = 0.0
     severity = F.when(F.col("distress"), "critical").otherwise("warning")
     if not strict_severity:
         return kept.withColumn("severity", severity)
-    near = kept.select("video_id", F.col("v_pos").alias("_v"), F.col("h_pos").alias("_h"), F.col("start").alias("_start"))
-    raised = pairs.filter("distress").join(near, "video_id").filter(F.abs(F.col("start") - F.col("_start")) < 1.0)
+    # two starts less than a second apart are those whose half seconds around them overlap
+    around = lambda df, a, b: df.withColumn(a, F.col("start") - 0.5).withColumn(b, F.col("start") + 0.5)
+    near = around(kept.select("video_id", F.col("v_pos").alias("_v"), F.col("h_pos").alias("_h"), "start"), "v_start", "v_end").drop("start")
+    raised = overlap_join(near, around(pairs.filter("distress").select("video_id", "start"), "h_start", "h_end").drop("start"), 60.0)
     raised = raised.select("video_id", F.col("_v").alias("v_pos"), F.col("_h").alias("h_pos")).distinct().withColumn("_raised", F.lit(True))
     return kept.join(raised, ["video_id", "v_pos", "h_pos"], "left").withColumn("severity", F.when(F.col("_raised"), "critical").otherwise(severity)).drop("_raised")
 
 
+def ordered_findings(events: DataFrame, window: float, bucket: float) -> DataFrame:
+    """findings() with nth, their number in a recording by start, then rule, then end."""
+    order = F.array_position(F.array(F.lit("critical_sound"), F.lit("post_alarm_activity"), F.lit("vehicle_near_person")), F.col("rule"))
+    return findings(events, window, bucket).withColumn("nth", F.row_number().over(Window.partitionBy("video_id").orderBy("start", order, "end", "severity")).cast("long"))
+
+
 def findings(events: DataFrame, window: float, bucket: float) -> DataFrame:
     """(video_id, rule, severity, start, end): all three rules' findings, to be ordered by start."""
     a = critical_clusters(events).select("video_id", F.lit("critical_sound").alias("rule"), F.lit("critical").alias("severity"), "start", "end")

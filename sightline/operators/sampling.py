@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,19 @@ def weighted(profile: DataFrame, alpha: float, subtract_floor: bool = True) -> D
 def inverse_cdf_picks(weights: DataFrame, targets: DataFrame) -> DataFrame:
     """(video_id, j, idx) for targets (video_id, n_targets): target j = (j + 0.5) / n_targets of the total weight falls on the first row whose cum reaches it.
 
-    A range join within a recording; the last row's range has no end, so every target meets exactly one row.
+    Which targets a row meets follows from its share of the total, so targets and rows are not paired; the last row's range
+    has no end, so every target meets exactly one row.
     """
     last = F.lead("cum").over(_line()).isNull()
     rows = weights.withColumn("_low", F.coalesce(F.lag("cum").over(_line()), F.lit(float("-inf")))).withColumn("_high", F.when(last, F.lit(float("inf"))).otherwise(F.col("cum"))).withColumn("_total", F.max("cum").over(_video()))
     rows = rows.select("video_id", "idx", "_low", "_high", "_total")
-    wanted = targets.filter("n_targets > 0").select("video_id", "n_targets", F.explode(F.sequence(F.lit(0), (F.col("n_targets") - 1).cast("int"))).alias("j"))
-    met = wanted.join(rows, "video_id").withColumn("_target", (F.col("j") + 0.5) / F.col("n_targets") * F.col("_total"))
+    met = rows.join(targets.filter("n_targets > 0").select("video_id", "n_targets"), "video_id")
+    n, share = F.col("n_targets"), lambda c: F.coalesce(F.try_divide(F.col(c), F.col("_total")), F.lit(0.0)) * F.col("n_targets") - 0.5
+    # one more on either side, because the shares are rounded; the exact test follows
+    first = F.when(F.col("_low") < 0, 0).otherwise(F.greatest(F.floor(share("_low")) - 1, F.lit(0)))
+    last_one = F.when(F.col("_high") == float("inf"), n - 1).otherwise(F.least(F.ceil(share("_high")) + 1, n - 1))
+    met = met.withColumn("_first", first.cast("int")).withColumn("_last", last_one.cast("int")).filter("_first <= _last")
+    met = met.withColumn("j", F.explode(F.sequence("_first", "_last"))).withColumn("_target", (F.col("j") + 0.5) / n * F.col("_total"))
     return met.filter("_low < _target and _target <= _high").select("video_id", F.col("j").cast("long").alias("j"), "idx")
 
 
@@ -72,6 +80,47 @@ def chosen_without_near_duplicates(profile: DataFrame, budget: int, alpha: float
     return near_duplicates_removed(rows, bits).select("video_id", "idx")
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """How frames are chosen: how many at most, the share that is spread evenly, the bits within which two frames look alike
+    (0: none do), whether the noise floor is taken off and whether scene cuts are forced."""
+
+    budget: int = 16
+    alpha: float = 0.25
+    bits: int = 3
+    subtract_floor: bool = True
+    force_cuts: bool = True
+
+    def check(self) -> None:
+        if self.budget <= 0:
+            raise ValueError("the budget must be above 0")
+        if not 0.0 <= self.alpha <= 1.0:
+            raise ValueError("alpha must be from 0 to 1")
+
+
+def selected_frames(profile: DataFrame, how: Sampling) -> DataFrame:
+    """(video_id, idx, t_ms, score, is_scene_cut, reason, kept) of the frames that a budget chooses from each recording of a
+    profile with dhash; kept is false for near duplicates."""
+    how.check()
+    source = profile if how.force_cuts else profile.withColumn("is_scene_cut", F.lit(False))
+    chosen = chosen_frames(source, how.budget, how.alpha, how.subtract_floor).withColumn("forced", F.col("reason") == "scene_cut")
+    eff = weighted(profile, how.alpha, how.subtract_floor)
+    motion = eff.select("video_id", "idx", "t_ms", "score", "is_scene_cut", "dhash", F.col("eff").alias("own"), F.sum("eff").over(_line().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), (F.sum("eff").over(_video()) / how.budget * MOTION_TOLERANCE).alias("tolerance"))
+    rows = chosen.join(motion, ["video_id", "idx"])
+    kept = near_duplicates_removed(rows, how.bits).select("video_id", "idx", F.lit(True).alias("kept"))
+    return rows.join(kept, ["video_id", "idx"], "left").select("video_id", "idx", "t_ms", "score", "is_scene_cut", "reason", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def selection_statistics(selected: DataFrame, how: Sampling) -> DataFrame:
+    """(video_id, budget, sampled_budget, frames, cuts, dropped_duplicates, max_gap_before_dedup_ms, max_gap_ms, mean_gap_ms) of
+    selected_frames(). sampled_budget is what the forced cuts leave to be sampled by motion."""
+    cuts = F.count_if(F.col("reason") == "scene_cut")
+    counts = selected.groupBy("video_id").agg((F.lit(how.budget).cast("long") - cuts).alias("sampled_budget"), cuts.alias("cuts"), F.count_if(~F.col("kept")).alias("dropped_duplicates"))
+    before = gap_statistics(selected).select("video_id", F.col("max_gap_ms").alias("max_gap_before_dedup_ms"))
+    after = gap_statistics(selected.filter("kept"))
+    return counts.join(before, "video_id").join(after, "video_id").select("video_id", F.lit(how.budget).cast("long").alias("budget"), "sampled_budget", "frames", "cuts", "dropped_duplicates", "max_gap_before_dedup_ms", "max_gap_ms", "mean_gap_ms")
+
+
 def gap_statistics(frames: DataFrame) -> DataFrame:
     """(video_id, frames, max_gap_ms, mean_gap_ms) of chosen times; the mean is cut to whole milliseconds, both are 0 below two frames."""
     gaps = frames.withColumn("_gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("video_id").orderBy("t_ms")))

@@ -24,6 +24,12 @@ def class_summary(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("total_sec"), F.count("*").alias("event_count"), F.max("confidence").alias("peak_confidence"))
 
 
+def ordered_summary(summary: DataFrame, key: str) -> DataFrame:
+    """class_summary() rows with nth, their number in a recording by total length, the longest first, then by class."""
+    rank = Window.partitionBy("video_id").orderBy(F.col("total_sec").desc(), key)
+    return summary.withColumn("nth", F.row_number().over(rank).cast("long"))
+
+
 def capped(events: DataFrame, most: int, order: list[str]) -> DataFrame:
     """At most `most` events a recording, those with is_safety first, then by confidence; truncated says whether any went."""
     rank = Window.partitionBy("video_id").orderBy(F.col("is_safety").desc(), F.col("confidence").desc(), *order)
@@ -31,6 +37,12 @@ def capped(events: DataFrame, most: int, order: list[str]) -> DataFrame:
     return out.filter(F.col("_nth") <= most).drop("_nth")
 
 
+def picked_class(scores: DataFrame, threshold: float, alerts: list[str]) -> DataFrame:
+    """(video_id, w, cls): a window's best class of at least the threshold, an alert class before all others; ties go by name."""
+    rows = scores.filter(F.col("score").cast("double") >= threshold)
+    return rows.groupBy("video_id", "w").agg(F.min_by("class", F.struct(~F.col("class").isin(*alerts), -F.col("score"), "class")).alias("cls"))
+
+
 def top_classes(scores: DataFrame, k: int) -> DataFrame:
     """(video_id, w, rank, class, score): the k best classes of each window, scores with three decimals, ties by class."""
     rank = Window.partitionBy("video_id", "w").orderBy(F.col("score").desc(), "class")

@@ -55,20 +55,23 @@ def a10_class_summary(spark, folder):
     return segments.class_summary(_segments(spark, folder), KEYS).select(*KEYS, "total_sec", "event_count", r6("peak_confidence"))
 
 
-@Q(
-    _SEGMENTS
-    + """ SELECT video_id, rk, event_type, start_sec FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, confidence DESC, event_type) AS rk FROM seg) WHERE rk <= 5"""
-)
+@Q(_SEGMENTS + " SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, confidence DESC, event_type) AS rk, event_type, start_sec FROM seg")
 def t01_event_order(spark, folder):
     rank = Window.partitionBy("video_id").orderBy("start_sec", F.col("confidence").desc(), "event_type")
-    return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).filter("rk <= 5").select("video_id", "rk", "event_type", "start_sec")
+    return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).select("video_id", "rk", "event_type", "start_sec")
 
 
-@Q(_SEGMENTS + " SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, confidence DESC, event_type) AS rk, event_type, start_sec FROM seg")
-def t01_event_order_all(spark, folder):
-    """All events of each recording in order."""
-    rank = Window.partitionBy("video_id").orderBy("start_sec", F.col("confidence").desc(), "event_type")
-    return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).select("video_id", "rk", "event_type", "start_sec")
+Q.also("t01_event_order_all", "t01_event_order")
+
+
+@Q(
+    _SEGMENTS
+    + """, cs AS (SELECT video_id, event_type, sum(end_sec - start_sec) AS total_sec, count(*) AS event_count FROM seg GROUP BY ALL)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY total_sec DESC, event_type) AS nth, event_type, round(total_sec, 6) AS total_s, event_count FROM cs"""
+)
+def t02_summary_order(spark, folder):
+    rows = segments.ordered_summary(segments.class_summary(_segments(spark, folder), KEYS), "event_type")
+    return rows.select("video_id", "nth", "event_type", r6("total_sec").alias("total_s"), "event_count")
 
 
 @Q(
@@ -234,3 +237,24 @@ def a16_corpus(spark, folder):
 def a15_recall(spark, folder):
     rows = metrics.video_metrics(views.truth(spark, folder), views.predictions(spark, folder), TOLERANCE)
     return rows.select("video_id", F.round(F.try_divide("covered", F.nullif("total", F.lit(0))), 6).alias("recall"), F.coalesce(F.col("worst_miss") > 86_400_000 * 1.05, F.lit(False)).alias("violated"))
+
+
+@Q(
+    _CLUSTERS
+    + """, cf AS (SELECT *, CAST(floor("start") AS BIGINT) AS s, CAST(floor("end") AS BIGINT) AS e FROM cl)
+SELECT video_id, category, cluster::BIGINT AS cluster, string_agg(label || ' ' || CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(((s // 60) % 60)::VARCHAR, 2, '0') ELSE CASE WHEN s // 60 < 10 THEN '0' ELSE '' END || (s // 60) END || ':' || lpad((s % 60)::VARCHAR, 2, '0')
+ || '–' || CASE WHEN e >= 3600 THEN (e // 3600) || ':' || lpad(((e // 60) % 60)::VARCHAR, 2, '0') ELSE CASE WHEN e // 60 < 10 THEN '0' ELSE '' END || (e // 60) END || ':' || lpad((e % 60)::VARCHAR, 2, '0'), '; ' ORDER BY "start", pos) AS evidence FROM cf GROUP BY ALL"""
+)
+def a11_evidence(spark, folder):
+    rows = rules.critical_clusters(views.interval_events(spark, folder))
+    return rows.select("video_id", "category", "cluster", F.array_join("evidence", "; ").alias("evidence"))
+
+
+@Q(
+    Q.sql["u01_findings"].replace(" SELECT video_id, 'critical_sound' AS rule", ", every AS (SELECT video_id, 'critical_sound' AS rule", 1).replace('round("start", 6) AS start_s, round("end", 6) AS end_s FROM clusters', '"start", "end" FROM clusters', 1).replace("'critical', round(alarm, 6), round(last_end, 6) FROM activity", "'critical', alarm, last_end FROM activity", 1).replace('severity, round("start", 6), round("end", 6) FROM kept', 'severity, "start", "end" FROM kept', 1)
+    + ') SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY "start", rule, "end", severity) AS nth, rule, severity, round("start", 6) AS start_s FROM every'
+)
+def t12_finding_order(spark, folder):
+    """All findings of a recording in order of their start."""
+    rows = rules.ordered_findings(views.interval_events(spark, folder), WINDOW, BUCKET)
+    return rows.select("video_id", "nth", "rule", "severity", F.round("start", 6).alias("start_s"))

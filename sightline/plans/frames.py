@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sightline.functions import checks, clock
 from sightline.functions.bits import hamming
 from sightline.functions.stats import floor_rank_index
 from sightline.functions.text import block_level
-from sightline.operators import folds, profile, sampling, segments
+from sightline.operators import folds, joins, profile, sampling, segments
 from sightline.plans import sql as S
 from sightline.plans.book import Book
 from sightline.sources import views
@@ -155,36 +156,61 @@ def a13_gap_statistics(spark, folder):
     return sampling.gap_statistics(sampling.chosen_frames(rows, 16, 0.25).join(rows.select("video_id", "idx", "t_ms"), ["video_id", "idx"]))
 
 
-@Q(
-    "WITH RECURSIVE "
-    + S.MARKED
-    + """, pick AS (SELECT video_id, idx, dhash, is_scene_cut AS forced, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS rn FROM mprof WHERE idx < 40),
-walk AS (SELECT video_id, rn, [dhash] AS kept, idx, true AS keep FROM pick WHERE rn = 1 UNION ALL
-SELECT p.video_id, p.rn, CASE WHEN p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k, p.dhash)) <= 24]) = 0 THEN list_append(w.kept, p.dhash) ELSE w.kept END, p.idx,
- p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k, p.dhash)) <= 24]) = 0 FROM walk w JOIN pick p ON p.video_id = w.video_id AND p.rn = w.rn + 1)
-SELECT video_id, idx FROM walk WHERE keep"""
-)
+_PICK = f""", {S.MARKS}, pick AS (SELECT c.video_id, c.idx, c.reason, f.t_ms, m.dhash, e.eff, e.em, e.tol, c.reason = 'scene_cut' AS forced, row_number() OVER (PARTITION BY c.video_id ORDER BY c.idx) AS rn
+ FROM chosen c JOIN frames f ON f.video_id = c.video_id AND f.idx = c.idx
+ JOIN (SELECT video_id, idx, eff, sum(eff) OVER (PARTITION BY video_id ORDER BY idx) AS em, total / 16 * 0.1::DOUBLE AS tol FROM s) e ON e.video_id = c.video_id AND e.idx = c.idx
+ JOIN marks m ON m.vec_id = (c.video_id * 31 + c.idx) % (SELECT count(*) FROM embeddings)),"""
+_WALK = """walk AS (SELECT video_id, rn, [{'h': dhash, 'em': em, 'eff': eff}] AS kept, idx, t_ms, reason, true AS keep FROM pick WHERE rn = 1 UNION ALL
+SELECT p.video_id, p.rn, CASE WHEN p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND MOTION]) = 0 THEN list_append(w.kept, {'h': p.dhash, 'em': p.em, 'eff': p.eff}) ELSE w.kept END, p.idx, p.t_ms, p.reason,
+ p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND MOTION]) = 0 FROM walk w JOIN pick p ON p.video_id = w.video_id AND p.rn = w.rn + 1)"""
+_SELECTED = _CHOSEN.replace("WITH ", "WITH RECURSIVE ", 1) + _PICK + _WALK.replace("MOTION", "p.em - k.em + k.eff <= p.tol")
+HOW = sampling.Sampling(16, 0.25, 24)
+
+
+@Q(_CHOSEN.replace("WITH ", "WITH RECURSIVE ", 1) + _PICK + _WALK.replace("MOTION", "true") + " SELECT video_id, idx FROM walk WHERE keep")
 def g04_near_dup(spark, folder):
-    """The fold over what a budget of 40 first frames leaves, without the motion test."""
-    rows = views.fingerprinted_profile(spark, folder).filter("idx < 40").withColumn("cum", F.lit(0.0)).withColumn("own", F.lit(0.0)).withColumn("forced", F.col("is_scene_cut"))
-    return folds.near_duplicates_removed(rows, 24, F.lit(1e9)).select("video_id", "idx")
+    """Near duplicates among the frames that a budget of 16 chose, whatever the motion between them."""
+    rows = views.fingerprinted_profile(spark, folder)
+    chosen = sampling.chosen_frames(rows, 16, 0.25).withColumn("forced", F.col("reason") == "scene_cut").join(rows.select("video_id", "idx", "dhash"), ["video_id", "idx"])
+    return folds.near_duplicates_removed(chosen.withColumn("cum", F.lit(0.0)).withColumn("own", F.lit(0.0)), 24, F.lit(1e9)).select("video_id", "idx")
 
 
-@Q(
-    _CHOSEN.replace("WITH ", "WITH RECURSIVE ", 1)
-    + f""", {S.MARKS}, pick AS (SELECT c.video_id, c.idx, m.dhash, e.eff, e.em, e.tol, c.reason = 'scene_cut' AS forced, row_number() OVER (PARTITION BY c.video_id ORDER BY c.idx) AS rn
- FROM chosen c JOIN (SELECT video_id, idx, eff, sum(eff) OVER (PARTITION BY video_id ORDER BY idx) AS em, total / 16 * 0.1::DOUBLE AS tol FROM s) e ON e.video_id = c.video_id AND e.idx = c.idx JOIN marks m ON m.vec_id = (c.video_id * 31 + c.idx) % 500),
-walk AS (SELECT video_id, rn, [{{'h': dhash, 'em': em, 'eff': eff}}] AS kept, idx, true AS keep FROM pick WHERE rn = 1 UNION ALL
-SELECT p.video_id, p.rn, CASE WHEN p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND p.em - k.em + k.eff <= p.tol]) = 0 THEN list_append(w.kept, {{'h': p.dhash, 'em': p.em, 'eff': p.eff}}) ELSE w.kept END, p.idx,
- p.forced OR len([k FOR k IN w.kept IF bit_count(xor(k.h, p.dhash)) <= 24 AND p.em - k.em + k.eff <= p.tol]) = 0 FROM walk w JOIN pick p ON p.video_id = w.video_id AND p.rn = w.rn + 1)
-SELECT video_id, idx FROM walk WHERE keep"""
-)
+@Q(_SELECTED + " SELECT video_id, idx FROM walk WHERE keep")
 def g04_near_dup_chosen(spark, folder):
     """The fold over the frames that a budget of 16 chose from whole recordings; a tenth of a step's motion is tolerated."""
     rows = views.fingerprinted_profile(spark, folder)
     return sampling.chosen_without_near_duplicates(rows, 16, 0.25, 24)
 
 
+@Q(_SELECTED + " SELECT w.video_id, w.idx, w.t_ms, reason, keep AS kept, round(score::DOUBLE, 6) AS score FROM walk w JOIN prof p ON p.video_id = w.video_id AND p.idx = w.idx")
+def g05_selected_frames(spark, folder):
+    """The whole frame selection: forced cuts, motion picks, near duplicates marked."""
+    return sampling.selected_frames(views.fingerprinted_profile(spark, folder), HOW).select("video_id", "idx", "t_ms", "reason", "kept", r6("score"))
+
+
+@Q(
+    _SELECTED
+    + """, g AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY video_id ORDER BY rn) AS gap FROM walk), k AS (SELECT *, t_ms - lag(t_ms) OVER (PARTITION BY video_id ORDER BY rn) AS gap FROM walk WHERE keep),
+b AS (SELECT video_id, 16 - count(*) FILTER (WHERE reason = 'scene_cut') AS sampled_budget, count(*) FILTER (WHERE reason = 'scene_cut') AS cuts, count(*) FILTER (WHERE NOT keep) AS dropped_duplicates, coalesce(max(gap), 0)::BIGINT AS max_gap_before_dedup_ms FROM g GROUP BY video_id),
+a AS (SELECT video_id, count(*) AS frames, coalesce(max(gap), 0)::BIGINT AS max_gap_ms, coalesce(sum(gap) // nullif(count(gap), 0), 0)::BIGINT AS mean_gap_ms FROM k GROUP BY video_id)
+SELECT video_id, 16::BIGINT AS budget, sampled_budget, frames, cuts, dropped_duplicates, max_gap_before_dedup_ms, max_gap_ms, mean_gap_ms FROM b JOIN a USING (video_id)"""
+)
+def g05_selection(spark, folder):
+    """What the whole frame selection says of each recording: counts, and gaps before and after near duplicates go."""
+    return sampling.selection_statistics(sampling.selected_frames(views.fingerprinted_profile(spark, folder), HOW), HOW)
+
+
+@Q(
+    f"""WITH {S.FRAMES}, n AS (SELECT video_id, count(*) AS samples, video_id % 4 AS k FROM frames GROUP BY video_id)
+SELECT video_id, CASE WHEN k = 0 THEN 'empty_profile' WHEN k = 1 THEN 'no_budget' WHEN k = 2 THEN 'bad_alpha' END AS error FROM n"""
+)
+def p06_sampling_errors(spark, folder):
+    """Sampling configurations that can't be used."""
+    rows, k = views.frames(spark, folder).groupBy("video_id").agg(F.count("*").alias("samples")), F.col("video_id") % 4
+    error = checks.sampling_error(F.when(k == 0, 0).otherwise(F.col("samples")), F.when(k == 1, 0).otherwise(16), F.when(k == 2, F.lit(1.5)).otherwise(F.lit(0.25)))
+    return rows.select("video_id", error.alias("error"))
+
+
 @Q(f"WITH {S.MARKS} SELECT vec_id, bit_count(xor(dhash, lag(dhash) OVER (ORDER BY vec_id)))::INT AS distance FROM marks QUALIFY distance IS NOT NULL")
 def f17_hamming(spark, folder):
     """Distances between neighbours by id, met by an equality and not by a window over everything."""
@@ -236,7 +262,7 @@ SELECT video_id, t_ms, pos FROM walk WHERE keep"""
 def g02_chunk_dedup(spark, folder):
     laps = segments.chunk_overlaps(segments.segment_plan(_videos(spark, folder), 260_000_000, 10_000_000))
     rows = views.frames(spark, folder).filter("event_type in ('error', 'purchase')").select("video_id", "t_ms", F.col("event_id").alias("pos"))
-    inside = rows.join(laps, "video_id").filter("t_ms between a and b").select("video_id", "pos").distinct().withColumn("_in", F.lit(True))
+    inside = joins.points_in_ranges(rows, laps, 3_600_000, "left_semi").select("video_id", "pos").withColumn("_in", F.lit(True))
     return folds.chunk_deduplicated(rows.join(inside, ["video_id", "pos"], "left").withColumn("in_overlap", F.coalesce("_in", F.lit(False))), 21_600_000)
 
 
@@ -252,8 +278,11 @@ def u07_sweep(spark, folder):
 
 @Q(f"WITH {S.FRAMES}, c AS (SELECT video_id, list_sort(list(raw)) AS l FROM frames WHERE raw > 0 GROUP BY video_id) SELECT video_id, greatest(l[least(CAST(floor(len(l) * 0.99) AS INT), len(l) - 1) + 1], 1.0) AS top FROM c")
 def a26_floor_p99(spark, folder):
-    rows = views.frames(spark, folder).filter("raw > 0").groupBy("video_id").agg(F.array_sort(F.collect_list("raw")).alias("l"))
-    return rows.select("video_id", F.greatest(F.get("l", floor_rank_index(F.size("l"), 0.99)), F.lit(1.0)).alias("top"))
+    """By the rank in a sorted window, which spills."""
+    whole = Window.partitionBy("video_id")
+    rows = views.frames(spark, folder).filter("raw > 0").withColumn("n", F.count("*").over(whole)).withColumn("at", F.row_number().over(whole.orderBy("raw")) - 1)
+    picked = rows.filter(F.col("at") == floor_rank_index(F.col("n"), 0.99))
+    return picked.select("video_id", F.greatest("raw", F.lit(1.0)).alias("top"))
 
 
 @Q(
@@ -266,12 +295,11 @@ def k10_sparkline(spark, folder):
 
 
 @Q(
-    f"""WITH {S.FRAMES} SELECT video_id, idx, (SELECT min(c) FROM (VALUES (1000), (60000), (3600000), (86400000)) v(c) WHERE c >= t_ms)::BIGINT AS tick FROM frames"""
+    f"""WITH {S.FRAMES} SELECT video_id, idx, coalesce((SELECT min(c) FROM (VALUES (1000), (2000), (5000), (10000), (15000), (30000), (60000), (120000), (300000), (600000)) v(c) WHERE c >= (t_ms // 1000) // 10), 600000)::BIGINT AS tick FROM frames"""
 )
 def t11_tick(spark, folder):
-    """The first tick length that reaches each time, null beyond the last."""
-    ticks = F.array(*[F.lit(x).cast("long") for x in (1000, 60_000, 3_600_000, 86_400_000)])
-    return views.frames(spark, folder).select("video_id", "idx", F.array_min(F.filter(ticks, lambda c: c >= F.col("t_ms"))).alias("tick"))
+    """The interval between ticks of a chart that lasts as many milliseconds as the frame's time has seconds."""
+    return views.frames(spark, folder).select("video_id", "idx", clock.tick_interval(F.expr("t_ms div 1000")).alias("tick"))
 
 
 @Q(f"WITH {S.FRAMES} SELECT video_id, idx, sum(raw > 50) OVER (PARTITION BY video_id ORDER BY idx)::BIGINT AS used, sum(raw > 50) OVER (PARTITION BY video_id ORDER BY idx) <= 3 AS allowed FROM frames")

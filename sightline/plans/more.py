@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sightline.functions import text
-from sightline.operators import joins
+from sightline.functions import checks, media, text
+from sightline.operators import joins, prompts, reports, segments
 from sightline.plans import sql as S
 from sightline.plans.book import Book
 from sightline.sources import views
@@ -21,13 +21,13 @@ def p05_range_errors(spark, folder):
     k = F.col("event_id") % 4
     t0, t1 = F.col("event_id"), F.when(k == 0, F.col("event_id")).otherwise(F.col("event_id") + 100)
     budget, at, duration = F.when(k == 1, 0).otherwise(16), F.when(k == 2, F.col("value")).otherwise(0.0), 50.0
-    error = F.when(t1 <= t0, "bad_range").when(budget <= 0, "no_budget").when(at > duration, "beyond_end")
+    error = checks.range_error(t0, t1, budget, at, F.lit(duration))
     return table(spark, folder, "events").select("event_id", error.alias("error"), F.least(F.col("event_id") + 100, F.lit(5000)).alias("t1"))
 
 
 @Q("SELECT event_id, least(greatest(value / 100, 0.01), 0.99) AS threshold, least(greatest(event_id, 1), 20) AS top_k, least(greatest(event_id * 3, 1), 5000) AS max_events FROM events")
 def p07_clamped(spark, folder):
-    within = lambda x, a, b: F.least(F.greatest(x, F.lit(a)), F.lit(b))
+    within = checks.within
     return table(spark, folder, "events").select("event_id", within(F.col("value") / 100, 0.01, 0.99).alias("threshold"), within(F.col("event_id"), 1, 20).alias("top_k"), within(F.col("event_id") * 3, 1, 5000).alias("max_events"))
 
 
@@ -38,8 +38,7 @@ def p11_valid_reports(spark, folder):
 
 @Q("SELECT doc_id, contains(text, 'the') AND contains(text, 'er') AND contains(text, 'on') AND contains(text, 'an') AS holds FROM documents")
 def p14_contract(spark, folder):
-    words = F.array(*map(F.lit, ("the", "er", "on", "an")))
-    return table(spark, folder, "documents").select("doc_id", F.forall(words, lambda w: F.col("text").contains(w)).alias("holds"))
+    return table(spark, folder, "documents").select("doc_id", checks.holds_all(F.col("text"), ["the", "er", "on", "an"]).alias("holds"))
 
 
 @Q("SELECT event_id FROM events WHERE regexp_matches(event_type, '(?i)(error|warn)')")
@@ -86,8 +85,8 @@ def j22_registry_defaults(spark, folder):
 @Q(f"WITH {S.FRAMES}, iv AS (SELECT video_id, t_ms AS a, t_ms + 3600000 AS b FROM frames WHERE event_type = 'error') SELECT video_id, idx FROM frames f WHERE EXISTS (SELECT 1 FROM iv WHERE iv.video_id = f.video_id AND f.t_ms BETWEEN a AND b)")
 def j20_interval_membership(spark, folder):
     rows = views.frames(spark, folder)
-    spans = rows.filter("event_type = 'error'").select(F.col("video_id").alias("v"), F.col("t_ms").alias("a"), (F.col("t_ms") + 3_600_000).alias("b"))
-    return rows.join(spans, (F.col("video_id") == F.col("v")) & F.col("t_ms").between(F.col("a"), F.col("b")), "left_semi").select("video_id", "idx")
+    spans = rows.filter("event_type = 'error'").select("video_id", F.col("t_ms").alias("a"), (F.col("t_ms") + 3_600_000).alias("b"))
+    return joins.points_in_ranges(rows, spans, 3_600_000, "left_semi").select("video_id", "idx")
 
 
 @Q(f"WITH {S.FRAMES} SELECT video_id, count(*) AS windows, sum(raw) AS total FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY raw DESC, event_id) AS nth FROM frames) WHERE nth <= 4 GROUP BY video_id".replace("sum(raw) AS total", "round(sum(raw), 6) AS total"))
@@ -100,16 +99,17 @@ def t07_top_totals(spark, folder):
 @Q(f"WITH {S.EVENTS}, l AS (SELECT video_id, list(label ORDER BY \"start\" DESC, pos DESC) AS a FROM ev WHERE category = 'machine' GROUP BY video_id) SELECT video_id, 'alarm,' || array_to_string(a[1:4], ',') AS evidence FROM l")
 def t07_last_activities(spark, folder):
     """The last four activities, newest first, behind the alarm."""
-    rows = views.interval_events(spark, folder).filter("category = 'machine'").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start", "pos", "label"))).alias("a"))
-    last = F.transform(F.slice(F.reverse("a"), 1, 4), lambda x: x["label"])
+    newest = Window.partitionBy("video_id").orderBy(F.col("start").desc(), F.col("pos").desc())
+    rows = views.interval_events(spark, folder).filter("category = 'machine'").withColumn("nth", F.row_number().over(newest)).filter("nth <= 4")
+    rows = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("nth", "label"))).alias("a"))
+    last = F.transform("a", lambda x: x["label"])
     return rows.select("video_id", F.array_join(F.concat(F.array(F.lit("alarm")), last), ",").alias("evidence"))
 
 
-@Q(f"WITH {S.SCORES} SELECT video_id, w, arg_max(event_type, [CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END, score::DOUBLE, -ascii(event_type)]) AS cls FROM scores WHERE score >= 0.35::DOUBLE GROUP BY ALL")
+@Q(f"WITH {S.SCORES} SELECT video_id, w, event_type AS cls FROM scores WHERE score >= 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY video_id, w ORDER BY (event_type = 'error') DESC, score DESC, event_type) = 1")
 def t08_alert_override(spark, folder):
     """The dominant class of a window, an alert before all others."""
-    rows = views.class_scores(spark, folder).filter(F.col("score").cast("double") >= 0.35)
-    return rows.groupBy("video_id", "w").agg(F.max_by("event_type", F.struct(F.col("event_type") == "error", "score", -F.ascii("event_type"))).alias("cls"))
+    return segments.picked_class(views.class_scores(spark, folder).withColumnRenamed("event_type", "class"), 0.35, ["error"])
 
 
 @Q("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 3")
@@ -117,10 +117,10 @@ def t09_recent(spark, folder):
     return table(spark, folder, "orders").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(3).select("o_orderkey", "o_custkey")
 
 
-@Q("SELECT count(*) AS added FROM customer c WHERE c_nationkey < 5 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@Q("SELECT count(*) AS added FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def q05_unique_insert(spark, folder):
     """Rows that a uniqueness check lets in."""
-    new = table(spark, folder, "customer").filter("c_nationkey < 5")
+    new = table(spark, folder, "customer")
     return new.join(table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("added"))
 
 
@@ -147,18 +147,17 @@ def w15_ordinals(spark, folder):
     return views.frames(spark, folder).filter("event_type = 'click'").select("video_id", "idx", n.cast("long").alias("ordinal"))
 
 
-@Q("SELECT event_id, least(greatest(value / 50, 0), 1) AS x, CASE WHEN value / 50 > 0.99 THEN 0.01 ELSE least(greatest(0.5::DOUBLE, 0.01), 1 - greatest(value / 50, 0)) END AS w FROM events")
+@Q("SELECT event_id, least(greatest(value / 50, 0), 1) AS x, CASE WHEN 1 - greatest(value / 50, 0) < 0.01 THEN 0.01 ELSE least(greatest(0.5::DOUBLE, 0.01), 1 - greatest(value / 50, 0)) END AS w FROM events")
 def f14_crop(spark, folder):
-    """A crop's corner and width within the frame; beyond 0.99 the least width is kept."""
-    x = F.least(F.greatest(F.col("value") / 50, F.lit(0.0)), F.lit(1.0))
-    w = F.when(F.col("value") / 50 > 0.99, 0.01).otherwise(F.least(F.greatest(F.lit(0.5), F.lit(0.01)), 1 - F.greatest(F.col("value") / 50, F.lit(0.0))))
-    return table(spark, folder, "events").select("event_id", x.alias("x"), w.alias("w"))
+    """A crop's corner and width within the frame; at the far edge the least width is kept."""
+    fitted = checks.crop(F.col("value") / 50, F.lit(0.0), F.lit(0.5), F.lit(0.5))
+    return table(spark, folder, "events").select("event_id", fitted["x"].alias("x"), fitted["w"].alias("w"))
 
 
 @Q("SELECT event_id, round(2595 * log10(1 + value / 700), 6) AS mel, round(700 * (pow(10, value / 2595) - 1), 6) AS hz FROM events")
 def f18_mel(spark, folder):
     v = F.col("value")
-    return table(spark, folder, "events").select("event_id", F.round(2595 * F.log10(1 + v / 700), 6).alias("mel"), F.round(700 * (F.pow(F.lit(10.0), v / 2595) - 1), 6).alias("hz"))
+    return table(spark, folder, "events").select("event_id", F.round(media.mel_of(v), 6).alias("mel"), F.round(media.hz_of(v), 6).alias("hz"))
 
 
 @Q("SELECT event_id, props AS body, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -171,42 +170,34 @@ def f19_json_body(spark, folder):
 def f21_tool_call(spark, folder):
     """Text before a tool marker, and the call behind it."""
     whole = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("<tool>"), "props")).otherwise(F.col("event_type"))
-    parts = F.split(whole, "<tool>", 2)
-    return table(spark, folder, "events").select("event_id", F.get(parts, F.lit(0)).alias("said"), F.get_json_object(F.get(parts, F.lit(1)), "$.k").cast("long").alias("k"))
+    parts = text.tool_call(whole, "<tool>")
+    return table(spark, folder, "events").select("event_id", parts["said"].alias("said"), F.get_json_object(parts["call"], "$.k").cast("long").alias("k"))
 
 
-@Q("SELECT c_nationkey, string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer WHERE c_custkey < 500 GROUP BY c_nationkey")
+@Q("SELECT c_nationkey, string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer GROUP BY c_nationkey")
 def f25_fragments(spark, folder):
     """Fragments joined by a blank line, those that begin with white space without one."""
-    rows = table(spark, folder, "customer").filter("c_custkey < 500").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("t")))).alias("l"))
-    glue = lambda out, x: F.when(F.length(out) == 0, x["t"]).when(x["t"].rlike("^[ \n]"), F.concat(out, x["t"])).otherwise(F.concat(out, F.lit("\n\n"), x["t"]))
-    return rows.select("c_nationkey", F.aggregate("l", F.lit(""), glue).alias("prompt"))
+    rows = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("t")))).alias("l"))
+    return rows.select("c_nationkey", prompts.glued(F.transform("l", lambda x: x["t"])).alias("prompt"))
 
 
-@Q("SELECT c_nationkey, string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer GROUP BY c_nationkey")
-def f25_fragments_all(spark, folder):
-    """The fragments of all customers, joined as in f25_fragments."""
-    rows = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_mktsegment").alias("t")))).alias("l"))
-    rows = rows.withColumn("l", F.filter("l", lambda x: x["t"].isNotNull()))
-    # the separators are put in first (a fold would copy the growing text at each step), none before the first text
-    first = F.array_position(F.transform("l", lambda x: F.length(x["t"]) > 0), True)
-    parts = F.transform("l", lambda x, i: F.when((first == 0) | (i < first) | x["t"].rlike("^[ \n]"), x["t"]).otherwise(F.concat(F.lit("\n\n"), x["t"])))
-    return rows.select("c_nationkey", F.array_join(parts, "").alias("prompt"))
+Q.also("f25_fragments_all", "f25_fragments")
 
 
 @Q("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 100) / (event_id % 5)::DOUBLE END AS rate FROM events")
 def f28_rational(spark, folder):
     said = F.concat_ws("/", (F.col("event_id") % 100).cast("string"), (F.col("event_id") % 5).cast("string"))
-    a, b = F.split(said, "/")[0].try_cast("double"), F.split(said, "/")[1].try_cast("double")
-    return table(spark, folder, "events").select("event_id", F.try_divide(a, F.nullif(b, F.lit(0.0))).alias("rate"))
+    return table(spark, folder, "events").select("event_id", checks.rational(said).alias("rate"))
 
 
-@Q(f"WITH {S.PROFILE} SELECT video_id, idx, round(greatest(score::DOUBLE * 100 - 60, max(score::DOUBLE * 100 - 60) OVER (PARTITION BY video_id, idx // 10) - 40), 6) AS floored FROM prof")
+@Q(
+    f"""WITH {S.PROFILE}, l AS (SELECT video_id, idx // 10 AS w, idx % 10 AS place, score::DOUBLE * 200 - 160 AS level FROM prof), t AS (SELECT video_id, w, max(level) - 120 AS fl FROM l GROUP BY ALL)
+SELECT t.video_id, t.w::BIGINT AS w, p::BIGINT AS place, round(greatest(coalesce(level, fl), fl), 6) AS level FROM t CROSS JOIN range(10) r(p) LEFT JOIN l ON l.video_id = t.video_id AND l.w = t.w AND l.place = p"""
+)
 def f30_window_floor(spark, folder):
-    """Decibels no lower than 40 below the best of their window."""
-    db = F.col("score").cast("double") * 100 - 60
-    best = F.max(db).over(Window.partitionBy("video_id", F.expr("idx div 10")))
-    return views.profile(spark, folder).select("video_id", "idx", F.round(F.greatest(db, best - 40), 6).alias("floored"))
+    """Decibels no lower than 120 below the best of their window of ten; the last window is filled with its floor."""
+    rows = views.profile(spark, folder).select("video_id", "idx", (F.col("score").cast("double") * 200 - 160).alias("level"))
+    return media.window_floor(rows, 10).select("video_id", "w", "place", r6("level"))
 
 
 @Q("SELECT doc_id, length(text) // 4 AS tokens FROM documents")
@@ -218,22 +209,21 @@ def f34_token_estimate(spark, folder):
 def f35_code_fence(spark, folder):
     """The category of an answer that may be fenced as code; parse_error if it is no JSON."""
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('```json\n{"category": "'), "event_type", F.lit('"}\n```'))).when(F.col("event_id") % 3 == 1, "I think it is fine").otherwise(F.concat(F.lit('{"category": "'), "event_type", F.lit('"}')))
-    bare = F.regexp_replace(F.regexp_replace(F.trim(said), r"^[`json\s]+(?=\{)", ""), r"[`\s]+$", "")
+    bare = text.without_code_fence(said)
     return table(spark, folder, "events").select("event_id", F.coalesce(F.get_json_object(bare, "$.category"), F.lit("parse_error")).alias("category"))
 
 
 @Q("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'watch' ELSE lang END AS actions, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END, ''), 'no summary') AS summary FROM documents")
 def f36_report_defaults(spark, folder):
     actions = F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("lang"))
-    told = F.when(F.size(actions) == 0, F.array(F.lit("watch"))).otherwise(actions)
-    summary = F.coalesce(F.nullif(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")), F.lit("")), F.lit("no summary"))
-    return table(spark, folder, "documents").select("doc_id", F.array_join(told, ",").alias("actions"), summary.alias("summary"))
+    told = reports.with_defaults(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")), actions, "no summary", "watch")
+    return table(spark, folder, "documents").select("doc_id", F.array_join(told["actions"], ",").alias("actions"), told["summary"].alias("summary"))
 
 
 @Q("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE ends_with(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.net')")
 def f37_origin_hosts(spark, folder):
-    host = F.parse_url("url", F.lit("HOST"))
-    return table(spark, folder, "pages").filter(host.endswith("example.net")).select("page_id", host.alias("host"))
+    rows = table(spark, folder, "pages").select("page_id", checks.origin_host(F.col("url"), "example.net").alias("host"))
+    return rows.filter("host is not null")
 
 
 @Q("SELECT event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS body FROM events")
@@ -262,7 +252,7 @@ def x03_sessions(spark, folder):
     return out.select("video_id", F.unix_millis("s.start").alias("t0"), F.unix_millis("s.end").alias("t1"), "n")
 
 
-@Q("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000")
+@Q("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def j16_fragment_owners(spark, folder):
-    rows = table(spark, folder, "orders").filter("o_totalprice > 400000").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import clock, text
+from sightline.functions import clock, media, text
 from sightline.operators import metrics, reports
 from sightline.plans import sql as S
 from sightline.plans.book import Book
@@ -61,12 +61,13 @@ def f08_rebase(spark, folder):
 @Q("SELECT event_id, CAST(floor(event_id * 1000.0::DOUBLE / 15 + 0.5) AS BIGINT) AS t_ms, CAST(floor(value * 2 + 0.5) AS BIGINT) AS service_frames, value * 2 <= 520 AS fits FROM events")
 def f10_frame_times(spark, folder):
     e = views.table(spark, folder, "events")
-    return e.select("event_id", clock.frame_time(F.col("event_id"), F.lit(15.0)).alias("t_ms"), F.floor(F.col("value") * 2 + 0.5).cast("long").alias("service_frames"), (F.col("value") * 2 <= 520).alias("fits"))
+    return e.select("event_id", clock.frame_time(F.col("event_id"), F.lit(15.0)).alias("t_ms"), clock.service_frames(F.col("value")).alias("service_frames"), (F.col("value") * 2 <= 520).alias("fits"))
 
 
-@Q("SELECT event_id, CASE WHEN event_type LIKE 'c%' THEN 'low' WHEN event_type LIKE 'v%' THEN 'medium' WHEN event_type LIKE 'p%' THEN 'high' WHEN event_type LIKE 'e%' THEN 'critical' ELSE 'medium' END AS level, CASE WHEN event_type LIKE 'c%' THEN 0 WHEN event_type LIKE 'v%' THEN 1 WHEN event_type LIKE 'p%' THEN 2 WHEN event_type LIKE 'e%' THEN 3 ELSE 1 END AS rank FROM events")
+@Q("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'low' ELSE 'medium' END AS level, CASE event_id % 6 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS rank FROM events")
 def f15_severity(spark, folder):
-    said = F.when(F.col("event_type").startswith("c"), " LOW-ish").when(F.col("event_type").startswith("v"), "moderate").when(F.col("event_type").startswith("p"), "High!").when(F.col("event_type").startswith("e"), "CRITICAL risk").otherwise("?")
+    k = F.col("event_id") % 6
+    said = F.when(k == 0, " LOW-ish").when(k == 1, "Yüksek").when(k == 2, "High!").when(k == 3, "CRITICAL risk").when(k == 4, "düşük").otherwise("moderate")
     level = text.severity_of(said)
     return views.table(spark, folder, "events").select("event_id", level.alias("level"), text.severity_rank(level).alias("rank"))
 
@@ -207,9 +208,8 @@ def a28_quantile(spark, folder):
     return c.groupBy("video_id").agg(F.round(F.min(F.when(F.col("upto") >= 0.95 * F.col("total"), inside)), 6).alias("p95"))
 
 
-@Q("SELECT event_id, CAST(ceil((event_id % 2000 + 1) / 28.0) * ceil((event_id % 900 + 1) / 28.0) AS BIGINT) AS tokens, greatest(1, CAST(floor((event_id % 2000 + 1) * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(event_id % 2000 + 1, event_id % 900 + 1)) + 0.5) AS BIGINT)) AS width FROM events")
+@Q("SELECT event_id, CAST(ceil((event_id % 2000 + 1) / 28.0) * ceil((event_id % 900 + 1) / 28.0) AS BIGINT) AS tokens, greatest(1, CAST(floor((event_id % 2000 + 1) * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(event_id % 2000 + 1, event_id % 900 + 1)) + 0.5) AS BIGINT)) AS width, greatest(1, CAST(floor((event_id % 900 + 1) * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(event_id % 2000 + 1, event_id % 900 + 1)) + 0.5) AS BIGINT)) AS height FROM events")
 def a30_payload_size(spark, folder):
     """Image tokens of 28 pixel tiles, and a width scaled so that the longest side is at most 960."""
     w, h = F.col("event_id") % 2000 + 1, F.col("event_id") % 900 + 1
-    scale = F.least(F.lit(1.0), F.lit(960.0) / F.greatest(w, h))
-    return views.table(spark, folder, "events").select("event_id", (F.ceil(w / 28) * F.ceil(h / 28)).cast("long").alias("tokens"), F.greatest(F.lit(1).cast("long"), F.floor(w * scale + 0.5).cast("long")).alias("width"))
+    return views.table(spark, folder, "events").select("event_id", media.image_tokens(w, h).alias("tokens"), media.scaled_size(w, h, 960)["width"].alias("width"), media.scaled_size(w, h, 960)["height"].alias("height"))

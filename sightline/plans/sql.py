@@ -17,4 +17,4 @@ EVENTS = (
 )
 TRUTH = FRAMES + ", gt AS (SELECT video_id, t_ms FROM frames WHERE event_type = 'error'), pred AS (SELECT video_id, t_ms FROM frames WHERE event_type = 'purchase')"
 MARKS = """marks AS (SELECT vec_id, CAST(list_sum([CASE WHEN embedding[i + 1] > embedding[i + 2] THEN 1::HUGEINT << i ELSE 0::HUGEINT END FOR i IN range(63)]) AS BIGINT) AS dhash FROM embeddings)"""
-MARKED = PROFILE + f", {MARKS}, mprof AS (SELECT p.*, m.dhash FROM prof p JOIN marks m ON m.vec_id = (p.video_id * 31 + p.idx) % 500)"
+MARKED = PROFILE + f", {MARKS}, mprof AS (SELECT p.*, m.dhash FROM prof p JOIN marks m ON m.vec_id = (p.video_id * 31 + p.idx) % (SELECT count(*) FROM embeddings))"

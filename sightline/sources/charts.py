@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-TICKS_MS = (1_000, 5_000, 10_000, 30_000, 60_000, 300_000, 600_000, 3_600_000, 21_600_000, 86_400_000)
+from sightline.functions.clock import TICKS_MS
+
 #: Most rows that are drawn: a chart is bucketed before.
 MOST_ROWS = 5_000
 
 
-def tick(duration_ms: int, wanted: int = 8) -> int:
-    """The least tick length that gives at most `wanted` ticks, else the longest one."""
-    return next((t for t in TICKS_MS if t * wanted >= duration_ms), TICKS_MS[-1])
+def tick(duration_ms: int, wanted: int = 10) -> int:
+    """The first interval that reaches a wanted-th of the duration, else the last; see clock.tick_interval()."""
+    return next((t for t in TICKS_MS if t >= duration_ms // wanted), TICKS_MS[-1])
 
 
 def svg(bucketed: DataFrame, width: int = 800, height: int = 160) -> str:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schemas
+from sightline.functions.checks import rational
 from sightline.functions.text import PLACEHOLDER
 
-#: Media extensions in order of preference when one name has several.
-MEDIA_EXTENSIONS = ("mp4", "mov", "mkv", "webm", "avi", "wav", "mp3", "m4a", "flac", "ogg")
+# Media extensions, in order of preference when one name has several.
+MEDIA_EXTENSIONS = ("mp4", "mkv", "webm", "mov", "avi", "flv", "wmv", "m4v")
 
 
 def class_labels(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
@@ -28,9 +29,14 @@ def translated_labels(labels: DataFrame, translations: DataFrame, safety: DataFr
     return out.join(F.broadcast(safety.withColumnRenamed("label", "display_name")), "display_name", "left")
 
 
-def ground_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """(video, t_ms, event, severity) from a folder of JSON files, one a recording."""
+def ground_truth(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
+    """(video, duration_ms, t_ms, event, severity) from a folder of JSON files, one a recording, in order of file names; with a
+    limit, of the first so many. A folder that is not there, or holds no such file, raises."""
     rows = spark.read.schema(schemas.GROUND_TRUTH).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    rows = rows.withColumn("_file", F.input_file_name()).orderBy("_file")
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no JSON file in {folder}")
+    rows = rows if limit is None else rows.limit(limit)
     return rows.select("video", "duration_ms", F.explode_outer("events").alias("e")).select("video", "duration_ms", "e.t_ms", "e.event", "e.severity")
 
 
@@ -40,12 +46,34 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter("id is not null").orderBy(F.col("uploaded_at").desc(), "id")
 
 
+def catalog_record(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """The catalog's record of one recording: one row, or none."""
+    return catalog(spark, folder).filter(F.col("id") == key).limit(1)
+
+
+def in_catalog(spark: SparkSession, folder: str, key: str) -> bool:
+    return not catalog_record(spark, folder, key).isEmpty()
+
+
+def skipped_records(spark: SparkSession, folder: str) -> int:
+    """How many files of a catalog cannot be read as a record."""
+    return spark.read.schema(schemas.CATALOG).option("multiLine", True).json(folder).filter("id is null").count()
+
+
+def object_listing(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
+    """(key, length) of stored objects under a folder by key: those whose key begins with prefix, without unfinished .part files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    root = folder.rstrip("/").split("://")[-1]
+    name = F.substring(F.col("path"), F.locate(root, F.col("path")) + F.lit(len(root) + 1), F.lit(1 << 20))
+    return files.select(name.alias("key"), "length").filter(F.col("key").startswith(prefix) & ~F.col("key").endswith(".part")).orderBy("key")
+
+
 def media_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, stem, extension, length) of media files, without their content."""
+    """(path, stem, extension, length) of media files by name, without their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     out = files.withColumn("extension", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).withColumn("stem", F.regexp_replace(name, r"\.[^.]+$", ""))
-    return out.filter(F.col("extension").isin(*MEDIA_EXTENSIONS)).select("path", "stem", "extension", "length")
+    return out.filter(F.col("extension").isin(*MEDIA_EXTENSIONS)).select("path", "stem", "extension", "length").orderBy("stem", "path")
 
 
 def by_stem(files: DataFrame) -> DataFrame:
@@ -75,7 +103,6 @@ def prompt_fragments(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def probe_fields(probe_json: Column) -> Column:
     """Container facts from probe JSON: the average frame rate, else the real one; the format's duration, else the stream's."""
-    rational = lambda x: F.try_divide(F.split(x, "/")[0].try_cast("double"), F.nullif(F.get(F.split(x, "/"), F.lit(1)).try_cast("double"), F.lit(0.0)))
     at = lambda path: F.get_json_object(probe_json, path)
     fps = F.coalesce(F.nullif(rational(at("$.streams[0].avg_frame_rate")), F.lit(0.0)), F.nullif(rational(at("$.streams[0].r_frame_rate")), F.lit(0.0)))
     seconds = F.coalesce(at("$.format.duration").try_cast("double"), at("$.streams[0].duration").try_cast("double"))

@@ -61,7 +61,8 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fingerprinted_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """profile with dhash: row idx of a recording has the fingerprint numbered (video_id * 31 + idx) mod 500."""
-    rows = profile(spark, folder).withColumn("_vec", F.pmod(F.col("video_id") * 31 + F.col("idx"), F.lit(500)))
+    """profile with dhash: row idx of a recording has the fingerprint numbered (video_id * 31 + idx) mod their number."""
+    number = table(spark, folder, "embeddings").count()
+    rows = profile(spark, folder).withColumn("_vec", F.pmod(F.col("video_id") * 31 + F.col("idx"), F.lit(number)))
     marks = fingerprints(spark, folder).select(F.col("vec_id").alias("_vec"), "dhash")
     return rows.join(marks, "_vec").drop("_vec")

@@ -1,4 +1,5 @@
-"""Structured Streaming forms: bus messages, tumbling buckets, sessions, stateful counters and hysteresis.
+"""Structured Streaming forms: messages, tumbling buckets, sessions, stateful counters, hysteresis and expiring values,
+change feeds and upserts.
 
 Event time and late data are an extension: what comes later than the watermark is dropped.
 """
@@ -8,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sightline import schemas
+from sightline.operators.joins import upserted
 
 
 def decoded(messages: DataFrame, schema: str = schemas.INGESTED) -> DataFrame:
@@ -97,21 +100,108 @@ def hysteresis(scores: DataFrame, threshold: float, release: float) -> DataFrame
     return scores.groupBy("video_id").transformWithStateInPandas(HysteresisRuns(threshold, release), "video_id long, start_w long, end_w long, peak double", "Append", "None")
 
 
+class Remembered(StatefulProcessor):
+    """Answers a key's request from what it was told before, for as long as that is fresh; a told value is kept anew."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "value string", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        out = []
+        for pdf in rows:
+            for request, value in pdf.sort_values("request")[["request", "value"]].itertuples(index=False):
+                known = isinstance(value, str)
+                if known:
+                    self.value.update((value,))
+                found = self.value.get()[0] if self.value.exists() else None
+                out.append((key[0], int(request), found, not known and found is not None))
+        yield pd.DataFrame(out, columns=["video_id", "request", "value", "hit"])
+
+    def close(self) -> None:
+        pass
+
+
+def remembered(requests: DataFrame, ttl_ms: int = 5_000) -> DataFrame:
+    """(video_id, request, value, hit) for requests (video_id, request, value): a null value is looked up in what the key was
+    told within the last ttl_ms of processing time, by Spark's state expiry."""
+    return requests.groupBy("video_id").transformWithStateInPandas(Remembered(ttl_ms), "video_id long, request long, value string, hit boolean", "Append", "ProcessingTime")
+
+
+def change_feed(snapshot: DataFrame, key: str, wanted: list[str], emit):
+    """A foreachBatch function that hands a subscriber (emit: a function of a DataFrame) what the snapshot holds of the wanted
+    keys with the first batch, and then each batch's changes of these keys. Batches may come again, with the same rows."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        own = batch if epoch else snapshot.unionByName(batch, allowMissingColumns=True)
+        emit(own.filter(F.col(key).isin(*wanted)))
+
+    return write
+
+
+def per_recording(steps: list, emit):
+    """A foreachBatch function that runs the steps one after another on each batch of ingested recordings, each on what the
+    one before gave, and hands the last result to emit. A batch without recordings runs none."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch.dropDuplicates(["video_id"])
+        if rows.isEmpty():
+            return
+        for step in steps:
+            rows = step(rows)
+        emit(rows)
+
+    return write
+
+
+#: Parts that a table of latest rows is kept in; a batch rewrites those that its keys fall into.
+PARTS = 32
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """The last version of each part of a table of latest rows, by its log; empty if there is no log."""
+    try:
+        log = spark.read.schema("part int, version int").parquet(f"{path}/log")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return {}
+    # one row a part: PARTS at most
+    return {r.part: r.version for r in log.groupBy("part").agg(F.max("version").alias("version")).collect()}
+
+
+def latest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_sink() keeps under path, as of the last finished batch. A version that is gone raises."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no version of a table in {path}")
+    return spark.read.parquet(*[f"{path}/v{v}/part={p}" for p, v in sorted(found.items())])
+
+
 def upsert_sink(path: str, keys: list[str], version: list[str]):
     """A foreachBatch function that keeps the latest row of each key under path. Replays of a batch change nothing.
 
-    Each batch writes a new version of the table beside the last and then points to it.
+    The table is kept in PARTS parts by the keys' hash. A batch writes a new version of the parts that it touches and then
+    notes them in a log, from which latest_rows() reads; until then readers see what was there before. A stream that has
+    had batches, but finds no log, raises instead of beginning anew, and so does a version that is gone.
     """
-    from sightline.operators.joins import upserted
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            table = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else batch.limit(0)
-        except Exception as error:  # the first batch of a new table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            table = batch.limit(0)
-        upserted(table, batch, keys, version).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        found = _versions(spark, path)
+        if not found and epoch:
+            raise FileNotFoundError(f"batch {epoch}, but no version of the table in {path}")
+        part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+        touched = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]
+        if not touched:
+            return
+        before = [f"{path}/v{found[p]}/part={p}" for p in touched if p in found]
+        table = spark.read.parquet(*before) if before else batch.limit(0)
+        new = max(found.values(), default=-1) + 1
+        upserted(table, batch, keys, version).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{new}")
+        log = spark.range(1).select(F.explode(F.array(*map(F.lit, touched))).alias("part"), F.lit(new).alias("version"))
+        log.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
     return write

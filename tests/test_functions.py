@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import clock, media, stats, text
-from sightline.operators import reports
+from sightline.operators import joins, prompts, reports, segments
 from sightline.sources import files
 
 
@@ -39,7 +39,7 @@ def test_text(spark):
     assert len(one(spark, text.untrusted(F.lit("x" * 3000)))) == 2001
     assert one(spark, text.json_body(F.lit('x {"a": {}} y'))) == '{"a": {}}' and one(spark, text.json_body(F.lit("none"))) is None
     assert one(spark, text.is_safe_id(F.lit("a-b_9"))) and not one(spark, text.is_safe_id(F.lit("a/b"))) and not one(spark, text.is_safe_id(F.lit("")))
-    assert one(spark, text.severity_of(F.lit(" Critical!"))) == "critical" and one(spark, text.severity_of(F.lit("?"))) == "medium"
+    assert one(spark, text.severity_of(F.lit(" Critical!"))) == "high" and one(spark, text.severity_of(F.lit("?"))) == "medium"
 
 
 def test_merged_reports(spark):
@@ -75,10 +75,10 @@ def test_media_kernels(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("index,mid,display_name\n0,/m/1,Speech\n1,/m/2,Alarm\n")
     labels = files.class_labels(spark, str(tmp_path / "labels.csv"), expected=2)
-    other = spark.createDataFrame([("Speech", "Konusma")], "display_name string, display_name_tr string")
+    other = spark.createDataFrame([("Speech", "Parole")], "display_name string, display_name_tr string")
     safety = spark.createDataFrame([("Alarm", "alarm", "critical")], "label string, category string, severity string")
     got = {x.display_name: (x.display_name_tr, x.severity) for x in files.translated_labels(labels, other, safety).collect()}
-    assert got == {"Speech": ("Konusma", None), "Alarm": ("Alarm", "critical")}
+    assert got == {"Speech": ("Parole", None), "Alarm": ("Alarm", "critical")}
     with pytest.raises(ValueError):
         files.class_labels(spark, str(tmp_path / "labels.csv"), expected=527)
 
@@ -87,16 +87,16 @@ def test_sources(spark, tmp_path):
     (tmp_path / "truth" / "b.txt").write_text("no")
     assert [tuple(x) for x in files.ground_truth(spark, str(tmp_path / "truth")).collect()] == [("a", 9, 3, "fall", "high")]
 
-    (tmp_path / "media" / "normal_ops").mkdir(parents=True)
+    (tmp_path / "media" / "calm").mkdir(parents=True)
     for name in ("x.MP4", "x.wav", "y.txt", "z.mov"):
-        (tmp_path / "media" / "normal_ops" / name).write_bytes(b"12")
+        (tmp_path / "media" / "calm" / name).write_bytes(b"12")
     found = files.media_files(spark, str(tmp_path / "media"))
     assert {(x.stem, x.path.rsplit("/", 1)[1]) for x in files.by_stem(found).collect()} == {("x", "x.MP4"), ("z", "z.mov")}
-    assert {x.label for x in files.labelled_images(spark, str(tmp_path / "media")).collect()} == {0}
+    assert {x.label for x in files.labelled_images(spark, str(tmp_path / "media"), normal="calm").collect()} == {0}
 
-    (tmp_path / "p.toml").write_text('agent = "vision"\n[intro]\neditable = true\ntext = "hi {name} and {name}"\n')
+    (tmp_path / "p.toml").write_text('agent = "guide"\n[intro]\neditable = true\ntext = "hi {name} and {name}"\n')
     row = files.prompt_fragments(spark, [str(tmp_path / "p.toml")]).first()
-    assert (row.agent, row.fragment, row.editable, row.names) == ("vision", "intro", True, ["name"])
+    assert (row.agent, row.fragment, row.editable, row.names) == ("guide", "intro", True, ["name"])
 
     probe = '{"streams": [{"avg_frame_rate": "0/0", "r_frame_rate": "30000/1001", "width": 640, "height": 480, "duration": "1.5"}], "format": {"size": "99"}}'
     info = one(spark, files.probe_fields(F.lit(probe)))
@@ -104,3 +104,63 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("a/b", 25.0, 900), ("../b", 25.0, 900), ("c", 25.0, 100), ("d", None, 900)], "object_key string, fps double, duration_ms long")
     good, bad = files.ingest_gate(rows)
     assert [x.object_key for x in good.collect()] == ["a/b"] and {x.reason for x in bad.collect()} == {"bad key", "too short", "no frame rate"}
+
+
+def test_cases_of_the_specification(spark):
+    """Literal cases, so that a slip that a query and its SQL share is seen."""
+    assert [one(spark, clock.tick_interval(F.lit(x))) for x in (0, 10_000, 10_010, 20_009, 6_000_000, 10**9)] == [1000, 1000, 2000, 2000, 600_000, 600_000]
+    said = {"Yüksek": "high", "YUKSEK": "high", " kritik": "high", "Critical!": "high", "düşük": "low", "dusuk": "low", "Low": "low", "orta": "medium", "": "medium"}
+    assert {k: one(spark, text.severity_of(F.lit(k))) for k in said} == said
+    assert [files.MEDIA_EXTENSIONS[k] for k in (0, 1, 2, 3)] == ["mp4", "mkv", "webm", "mov"] and len(files.MEDIA_EXTENSIONS) == 8
+    assert one(spark, text.without_code_fence(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}'
+    assert one(spark, text.without_code_fence(F.lit("snow"))) == "w"
+    scores = spark.createDataFrame([(1, 0, "horn", 0.5), (1, 0, "hum", 0.9), (1, 0, "howl", 0.9), (1, 1, "siren", 0.4), (1, 1, "hum", 0.9), (1, 2, "hum", 0.1)], "video_id long, w long, class string, score double")
+    assert {x.w: x.cls for x in segments.picked_class(scores, 0.35, ["siren"]).collect()} == {0: "howl", 1: "siren"}
+    levels = spark.createDataFrame([(1, 0, 10.0), (1, 1, -200.0), (1, 2, -5.0), (1, 3, 0.0)], "video_id long, idx long, level double")
+    got = sorted(tuple(x)[1:] for x in media.window_floor(levels, 3).collect())
+    assert got == [(0, 0, 10.0), (0, 1, -110.0), (0, 2, -5.0), (1, 0, 0.0), (1, 1, -120.0), (1, 2, -120.0)]
+    cells = spark.createDataFrame([(f"{n}", n) for n in (1, 100, 101, 200)], "k string, n int").selectExpr("n", "explode(sequence(1, n)) as v")
+    picked = {r.n: r.v for r in cells.groupBy("n").agg(F.sort_array(F.collect_list("v")).alias("l")).select("n", F.get("l", stats.floor_rank_index(F.size("l"), 0.99)).alias("v")).collect()}
+    assert picked == {1: 1, 100: 100, 101: 100, 200: 199}
+    glued = lambda *parts: one(spark, prompts.glued(F.array(*[F.lit(p) for p in parts])))
+    assert (glued("a", "b", "\nc", " d"), glued("", "a", "b"), glued(" a", None, "b")) == ("a\n\nb\nc d", "a\n\nb", " a\n\nb")
+
+
+def test_alignment(spark):
+    r = np.random.default_rng(0)
+    a = r.normal(size=40_000)
+    for shift in (0, 37, -1200):
+        b = np.roll(a, shift)
+        assert media.alignment(a, b)[0] == shift and media.alignment(a, b)[1] < 1e-6
+    assert media.alignment(np.zeros(10), np.zeros(3))[1:] == (0.0, 0.0)
+    rows = spark.createDataFrame([(1, [float(x) for x in a[:9000]], [0.0] * 50 + [float(x) for x in a[:9000]])], "video_id long, a array<double>, b array<double>")
+    found = media.aligned(rows).first()
+    assert (found.video_id, found.shift) == (1, 50) and found.relative < 1e-6
+
+
+def test_points_in_ranges_and_names(spark):
+    points = spark.createDataFrame([(v, t) for v in (1, 2) for t in range(0, 100, 7)], "video_id long, t_ms long")
+    ranges = spark.createDataFrame([(1, 0, 14, "x"), (1, 10, 60, "y"), (2, 98, 98, "z"), (2, 50, 40, "none")], "video_id long, a long, b long, name string")
+    want = sorted((v, t, n) for v, t in map(tuple, points.collect()) for w, a, b, n in map(tuple, ranges.collect()) if v == w and a <= t <= b)
+    assert sorted((x.video_id, x.t_ms, x.name) for x in joins.points_in_ranges(points, ranges, 9).collect()) == want
+    assert sorted(map(tuple, joins.points_in_ranges(points, ranges, 1000, "left_semi").collect())) == sorted({x[:2] for x in want})
+
+
+def test_catalog_and_listing(spark, tmp_path):
+    (tmp_path / "meta").mkdir()
+    for k in "ab":
+        (tmp_path / "meta" / f"{k}.json").write_text('{"id": "%s", "uploaded_at": "2024-01-0%d"}' % (k, ord(k) - 96))
+    (tmp_path / "meta" / "c.json").write_text("broken")
+    folder = str(tmp_path / "meta")
+    assert files.catalog_record(spark, folder, "b").first().id == "b" and files.in_catalog(spark, folder, "a") and not files.in_catalog(spark, folder, "c")
+    assert files.skipped_records(spark, folder) == 1
+    (tmp_path / "meta" / "d.json.part").write_text("half")
+    assert [x.key for x in files.object_listing(spark, folder).collect()] == ["a.json", "b.json", "c.json"]
+    assert [x.key for x in files.object_listing(spark, folder, "b").collect()] == ["b.json"]
+    (tmp_path / "truth").mkdir()
+    for k in "yxz":
+        (tmp_path / "truth" / f"{k}.json").write_text('{"video": "%s", "duration_ms": 1, "events": []}' % k)
+    assert sorted({x.video for x in files.ground_truth(spark, str(tmp_path / "truth"), limit=2).collect()}) == ["x", "y"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception):
+        files.ground_truth(spark, str(tmp_path / "none"))

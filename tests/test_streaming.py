@@ -4,6 +4,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from sightline.operators.islands import hysteresis_runs
 from sightline.streaming import jobs
@@ -41,11 +42,55 @@ def test_bad_messages_are_skipped(spark, tmp_path):
 
 
 def test_upsert_sink(spark, tmp_path):
-    sink = jobs.upsert_sink(str(tmp_path / "table"), ["k"], ["version"])
-    sink(spark.createDataFrame([("a", 1), ("b", 1)], "k string, version long"), 0)
-    sink(spark.createDataFrame([("a", 2), ("c", 1), ("a", 3)], "k string, version long"), 1)
-    sink(spark.createDataFrame([("a", 2), ("c", 1), ("a", 3)], "k string, version long"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table/v1")).collect())) == [("a", 3), ("b", 1), ("c", 1)]
+    path, rows = str(tmp_path / "table"), lambda x: spark.createDataFrame(x, "k string, version long")
+    told = lambda: sorted(map(tuple, jobs.latest_rows(spark, path).collect()))
+    with pytest.raises(FileNotFoundError):
+        jobs.latest_rows(spark, path)
+    sink = jobs.upsert_sink(path, ["k"], ["version"])
+    sink(rows([("a", 1), ("b", 1)]), 0)
+    sink(rows([("a", 2), ("c", 1), ("a", 3)]), 1)
+    assert told() == [("a", 3), ("b", 1), ("c", 1)]
+    sink(rows([("a", 2), ("c", 1), ("a", 3)]), 1)
+    sink(rows([]), 2)
+    assert told() == [("a", 3), ("b", 1), ("c", 1)]
+    # a new checkpoint counts its batches from 0 again: the table goes on
+    jobs.upsert_sink(path, ["k"], ["version"])(rows([("d", 1), ("b", 9)]), 0)
+    assert told() == [("a", 3), ("b", 9), ("c", 1), ("d", 1)]
+
+
+def test_upsert_sink_raises_where_a_version_is_gone(spark, tmp_path):
+    path, rows = str(tmp_path / "table"), lambda x: spark.createDataFrame(x, "k string, version long")
+    sink = jobs.upsert_sink(path, ["k"], ["version"])
+    with pytest.raises(FileNotFoundError):
+        sink(rows([("a", 1)]), 3)
+    sink(rows([("a", 1)]), 0)
+    (tmp_path / "table" / "v0").rename(tmp_path / "lost")
+    with pytest.raises(AnalysisException):
+        sink(rows([("a", 2)]), 1)
+    with pytest.raises(AnalysisException):
+        jobs.latest_rows(spark, path).collect()
+
+
+def test_change_feed_and_steps(spark, tmp_path):
+    snapshot = spark.createDataFrame([("a", 1), ("b", 1)], "video_id string, n int")
+    spark.createDataFrame([("a", 2), ("c", 2)], "video_id string, n int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream, seen, done = spark.readStream.schema("video_id string, n int").parquet(str(tmp_path / "in")), [], []
+    feed = jobs.change_feed(snapshot, "video_id", ["a", "c"], lambda df: seen.extend(map(tuple, df.collect())))
+    stream.writeStream.foreachBatch(feed).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(seen) == [("a", 1), ("a", 2), ("c", 2)]
+    steps = [lambda df: df.selectExpr("video_id", "n + 1 as n"), lambda df: df.selectExpr("video_id", "n * 10 as n")]
+    run_all = jobs.per_recording(steps, lambda df: done.extend(map(tuple, df.collect())))
+    run_all(spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "video_id string, n int"), 0)
+    run_all(snapshot.limit(0), 1)
+    assert sorted(done) == [("a", 20), ("b", 30)]
+
+
+def test_values_are_remembered(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    asked = spark.createDataFrame([(1, 0, None), (1, 1, "x"), (1, 2, None), (2, 0, None)], "video_id long, request long, value string")
+    asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
+    got = run(jobs.remembered(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), 3_600_000), tmp_path, "remembered")
+    assert sorted((x.video_id, x.request, x.value, x.hit) for x in got) == [(1, 0, None, False), (1, 1, "x", False), (1, 2, "x", True), (2, 0, None, False)]
 
 
 def test_stateful(spark, tmp_path):

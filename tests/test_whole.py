@@ -1,5 +1,6 @@
 """Queries over whole tables: as many rows as the tables have, and sampling against a fold in Python."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import sampling
@@ -30,6 +31,30 @@ def test_near_duplicates_of_the_chosen_frames(spark):
     assert any(i >= 40 for _, i in got)
 
 
+def test_whole_selection(spark):
+    how = sampling.Sampling(16, 0.25, 24)
+    rows = views.fingerprinted_profile(spark, FOLDER)
+    frames = sampling.selected_frames(rows, how).cache()
+    told = {x.video_id: x for x in sampling.selection_statistics(frames, how).collect()}
+    assert sorted((x.video_id, x.idx) for x in frames.filter("kept").collect()) == sorted((x.video_id, x.idx) for x in run(spark, "g04_near_dup_chosen").collect())
+    for x in told.values():
+        own = sorted((y.t_ms, y.kept, y.reason) for y in frames.filter(F.col("video_id") == x.video_id).collect())
+        kept = [t for t, k, _ in own if k]
+        gaps, all_gaps = ([b - a for a, b in zip(ts, ts[1:])] for ts in (kept, [t for t, _, _ in own]))
+        assert (x.frames, x.dropped_duplicates, x.max_gap_ms, x.max_gap_before_dedup_ms) == (len(kept), len(own) - len(kept), max(gaps, default=0), max(all_gaps, default=0))
+        assert x.sampled_budget == 16 - sum(r == "scene_cut" for _, _, r in own) and x.mean_gap_ms == (sum(gaps) // len(gaps) if gaps else 0)
+        assert x.frames <= 16 and x.cuts <= 8
+    # a still picture: all picks look alike and nothing moves between them
+    still = spark.range(40).selectExpr("1L as video_id", "id as idx", "id * 100 as t_ms", "cast(0.1 as float) as score", "id = 20 as is_scene_cut", "7L as dhash")
+    x = sampling.selection_statistics(sampling.selected_frames(still, how), how).first()
+    assert (x.cuts, x.frames, x.dropped_duplicates, x.sampled_budget) == (1, 2, 13, 15) and x.max_gap_before_dedup_ms < x.max_gap_ms
+    free = sampling.selected_frames(rows, sampling.Sampling(16, 0.25, 0, force_cuts=False))
+    assert free.filter("not kept or reason <> 'motion'").isEmpty()
+    for bad in (sampling.Sampling(0), sampling.Sampling(alpha=1.5), sampling.Sampling(alpha=float("nan"))):
+        with pytest.raises(ValueError):
+            sampling.selected_frames(rows, bad)
+
+
 def test_all_customers(spark):
     customers = views.table(spark, FOLDER, "customer")
     prompts = run(spark, "f25_fragments_all")
