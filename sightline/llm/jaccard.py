@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
 from .components import connected_components
-from .tables import bit_filter, cut, in_filter, in_small_batches, joined_by_key, small_or_shuffled
+from .tables import bit_filter, common_keys, cut, in_filter, in_small_batches, joined_by_key, small_or_shuffled
 
 _U = np.uint64
 #: Places of the shingle frequency sketch: 512 KB on the driver and on each executor, whatever the input.
@@ -244,11 +244,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = cut(pairs)
         needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         sets = docs.mapInArrow(_set_rows(k, *filters(needed)), "node long, tokens binary")
-        # one shuffle by node, which both joins below read
+        # one shuffle by node, which the joins below read
         sets = sets.dropDuplicates(["node"])
-        rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("left_tokens")), "u")
-        rows = rows.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("right_tokens")), "v").select("u", "v", "left_tokens", "right_tokens")
-        return cut(rows.mapInArrow(_verify(threshold), "u long, v long"))
+        met = pairs.join(sets.toDF("u", "left_tokens"), "u").join(sets.toDF("v", "right_tokens"), "v")
+        common = cut(common_keys(pairs.select(F.explode(F.array("u", "v")).alias("node")), "node"))
+        if not common.isEmpty():
+            # sets of many pairs go to several tasks, each with a part of the pairs
+            parts = F.broadcast(common)
+            marked = pairs.join(parts.toDF("u", "u_parts"), "u", "left").join(parts.toDF("v", "v_parts"), "v", "left").fillna(1, ["u_parts", "v_parts"])
+            is_plain = (F.col("u_parts") == 1) & (F.col("v_parts") == 1)
+            many = marked.filter(~is_plain).withColumn("u_part", F.pmod(F.xxhash64("v"), "u_parts")).withColumn("v_part", F.pmod(F.xxhash64("u"), "v_parts"))
+            dealt = sets.join(many.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").join(parts, "node", "left").fillna(1, ["parts"])
+            dealt = dealt.select("node", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+            many = many.join(dealt.toDF("u", "left_tokens", "u_part"), ["u", "u_part"]).join(dealt.toDF("v", "right_tokens", "v_part"), ["v", "v_part"])
+            plain = marked.filter(is_plain).select("u", "v")
+            plain = plain.join(sets.toDF("u", "left_tokens"), "u").join(sets.toDF("v", "right_tokens"), "v")
+            met = plain.select("u", "v", "left_tokens", "right_tokens").unionByName(many.select("u", "v", "left_tokens", "right_tokens"))
+        return cut(met.select("u", "v", "left_tokens", "right_tokens").mapInArrow(_verify(threshold), "u long, v long"))
 
     # Ties: sets with an equal minimum hash and the most ordinary one of them. Copies differ from their source by shingles
     # of their own, so the set with the fewest uncommon shingles is near the middle of its group and ties most of it.

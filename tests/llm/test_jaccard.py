@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from sightline.llm import jaccard, tables
 from sightline.llm.jaccard import near_duplicates
 
 
@@ -35,7 +38,11 @@ def check(spark, rows):
     assert got == brute(rows)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("common, block", [(1000, 1000), (2, 3)])
+def test_against_brute_force(spark, monkeypatch, common, block):
+    """Also with keys, lists and sets so common that they are dealt to several tasks."""
+    monkeypatch.setattr(tables, "COMMON_ROWS", common)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
     r = random.Random(3)
     word = lambda n: ["w%d" % r.randrange(400) for _ in range(n)]
     passage = word(60)
