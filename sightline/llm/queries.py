@@ -64,6 +64,21 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(table(spark, folder, "pages"))
 
 
+def base1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """What op1 finds of the phrases asked for, which SQL can tell."""
+    return op1_license_scans(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """op9's statistics and base rule, which SQL can tell."""
+    return op9_quality_rules(spark, folder).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """op10's hosts, paths and base rules, which SQL can tell; the verdict only where a base rule gives it."""
+    return op10_url_filters(spark, folder).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("base_verdict"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,8 +92,52 @@ QUERIES = {
         op8_karmarkar_karp_packing,
         op9_quality_rules,
         op10_url_filters,
+        base1_license_scans,
+        base9_quality_rules,
+        base10_url_filters,
     )
 }
 
-#: None of these can be told in SQL: tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + ", '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+_SPACED = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _phrase(words: str) -> str:
+    """The places of a phrase in the list w."""
+    test = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words.split(), 1))
+    return f"[i FOR i IN range(len(w)) IF {test}]"
+
+
+#: The operators whose whole result SQL can tell, and the base columns of others; tests hold the rest against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOWER.format("text"))} AS w FROM documents),
+e AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(g) AS n FROM d LEFT JOIN e USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reached)
+SELECT r.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY r.doc_id""",
+    "op7_benchmark_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+k AS (SELECT DISTINCT least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+wi AS (SELECT DISTINCT item_id, k, array_to_string(w[i + 1 : i + k], ' ') AS win FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+wd AS (SELECT doc_id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS i FROM d, k WHERE len(w) >= k)),
+h AS (SELECT doc_id, item_id, i, wd.k FROM wd JOIN wi USING (win, k)),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + unnest(range(k)) AS at FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "base1_license_scans": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, {_phrase("cc by")} AS a, {_phrase("general public license")} AS b, {_phrase("all rights reserved")} AS c FROM d)
+SELECT doc_id, n::BIGINT AS n_words, (len(a) + len(b) + len(c))::BIGINT AS n_base, list_min(list_concat(a, b, c))::BIGINT AS first_word, list_max(list_concat(a, b, c))::BIGINT AS last_word,
+ concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels FROM f""",
+    "base9_quality_rules": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, {_SPACED.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest(range(3)) AS at FROM g WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s""",
+    "base10_url_filters": f"""WITH p AS (SELECT page_id, {_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, h, b) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+m AS (SELECT p.*, h || b AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || b) DESC NULLS LAST) AS nth FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b))
+SELECT page_id, host, path, rule, verdict AS base_verdict FROM m WHERE nth = 1""",
+}
