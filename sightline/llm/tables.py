@@ -81,13 +81,6 @@ def small_or_shuffled(keys: DataFrame) -> DataFrame:
 COMMON_ROWS = 1_000
 
 
-def common_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, parts): the common keys of rows, BROADCAST_ROWS at most, and how many parts of some COMMON_ROWS rows each has."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("parts"))
-    most = max(COMMON_ROWS, rows.count() // BROADCAST_ROWS)
-    return counts.filter(F.col("parts") > most).select(key, F.ceil(F.col("parts") / most).alias("parts"))
-
-
 def joined_by_key(rows: DataFrame, keys: DataFrame, key: str, number: str) -> DataFrame:
     """rows joined with keys, which has one row for each key and in `number` how many of the rows have it.
 
