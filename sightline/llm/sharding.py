@@ -21,7 +21,7 @@ from .tables import BROADCAST_ROWS, cut, remove
 BLOCKS = 256
 ROWS_A_BLOCK = 20_000
 #: Copies of one text in one old shard that share a block and so stay next to each other; more are dealt to several blocks.
-COPIES = 1_000
+COPIES = 250
 #: Documents held back for each new shard, and the share of all documents that they are at most.
 RESERVE = 16
 RESERVE_SHARE = 0.5
