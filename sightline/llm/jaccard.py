@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
@@ -39,6 +39,11 @@ CHANCE = 0.1
 VERIFY_COST = 20.0
 #: Sets of one shingle's list that one block of it holds.
 LIST_BLOCK = 1_000
+#: A set is a common one if it stands in more pairs than this, and in more than one in COMMON_SETS of all places of pairs.
+COMMON_PAIRS = 128
+COMMON_SETS = 8_192
+#: Most shingles of common sets that are broadcast, all together (64 MB); one set may have a sixteenth of them.
+COMMON_SHINGLES = 1 << 23
 
 
 def _sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +220,18 @@ def _verify(threshold: Fraction):
     return run
 
 
+def _common_sets(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node) of sets that very many of the pairs have, those with most pairs first, as far as COMMON_SHINGLES reaches.
+
+    There are fewer than COMMON_SETS of them before that sum is taken.
+    """
+    often = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
+    often = often.filter(F.col("pairs") > max(COMMON_PAIRS, 2 * pairs.count() // COMMON_SETS))
+    sized = nodes.join(F.broadcast(often), "node").filter(F.col("n") <= COMMON_SHINGLES // 16)
+    so_far = F.sum("n").over(Window.orderBy(F.col("pairs").desc(), "node").rowsBetween(Window.unboundedPreceding, 0))
+    return cut(sized.select("node", so_far.alias("shingles")).filter(F.col("shingles") <= COMMON_SHINGLES).select("node"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: two rows are linked when their sets' Jaccard similarity
     is threshold or more; component_id is the least id that links reach.
@@ -232,23 +249,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts[places["place"].to_numpy()] = places["number"].to_numpy()
     sketch = spark.sparkContext.broadcast(counts)
     own = read.filter("n >= 0").select("doc_id", "n", "node", "least")
-    nodes = cut(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("least").alias("least")))
+    nodes = cut(own.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least")))
 
     def filters(needed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Bit sets of one document's id for each node of needed, and of the nodes."""
         ids = needed.join(nodes, "node").select(F.col("least_id").alias("id"))
         return bit_filter(ids.mapInArrow(_hashed, "id long"), "id"), bit_filter(needed, "node")
 
+    def sets_of(needed: DataFrame) -> DataFrame:
+        return docs.mapInArrow(_set_rows(k, *filters(needed)), "node long, tokens binary").dropDuplicates(["node"])
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (u, v) that are linked; sets are worked out again for the nodes concerned alone."""
+        """pairs (u, v) that are linked; sets are worked out again for the nodes concerned alone.
+
+        Pairs of a common set (a leader's of a large group) stay where they are: that set is broadcast, so they don't meet
+        in one task. All others are joined by shuffles.
+        """
         pairs = cut(pairs)
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        sets = docs.mapInArrow(_set_rows(k, *filters(needed)), "node long, tokens binary")
-        # one shuffle by node, which both joins below read
-        sets = sets.dropDuplicates(["node"])
-        rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("left_tokens")), "u")
-        rows = rows.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("right_tokens")), "v").select("u", "v", "left_tokens", "right_tokens")
-        return cut(rows.mapInArrow(_verify(threshold), "u long, v long"))
+        common = _common_sets(pairs, nodes)
+        sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        left = lambda s: s.select(F.col("node").alias("u"), F.col("tokens").alias("left_tokens"))
+        right = lambda s: s.select(F.col("node").alias("v"), F.col("tokens").alias("right_tokens"))
+        if common.isEmpty():
+            # one shuffle by node, which both joins read
+            rows = pairs.join(left(sets), "u").join(right(sets), "v")
+        else:
+            known = F.broadcast(cut(sets_of(common).join(F.broadcast(common), "node", "left_semi")))
+            for side in ("u", "v"):
+                flag = F.broadcast(common.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_common")))
+                pairs = pairs.join(flag, side, "left").fillna(False, [f"{side}_common"])
+            # of a pair with one common set, that one is v
+            turned = pairs.select(F.when(F.col("v_common"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("v_common"), F.col("v")).otherwise(F.col("u")).alias("v"), (F.col("u_common").cast("int") + F.col("v_common").cast("int")).alias("commons"))
+            rows = turned.filter("commons = 0").join(left(sets), "u").join(right(sets), "v")
+            rows = rows.unionByName(turned.filter("commons = 1").join(left(sets), "u").join(right(known), "v"))
+            rows = rows.unionByName(turned.filter("commons = 2").join(left(known), "u").join(right(known), "v"))
+        return cut(rows.select("u", "v", "left_tokens", "right_tokens").mapInArrow(_verify(threshold), "u long, v long"))
 
     # Ties: sets with an equal minimum hash and the most ordinary one of them. Copies differ from their source by shingles
     # of their own, so the set with the fewest uncommon shingles is near the middle of its group and ties most of it.

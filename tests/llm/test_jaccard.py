@@ -38,11 +38,14 @@ def check(spark, rows):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("common, block", [(1000, 1000), (2, 3)])
-def test_against_brute_force(spark, monkeypatch, common, block):
+@pytest.mark.parametrize("common, block, shingles", [(1000, 1000, 1 << 23), (2, 3, 1 << 23), (2, 3, 1000)])
+def test_against_brute_force(spark, monkeypatch, common, block, shingles):
     """Also with keys, lists and sets so common that they are dealt to several tasks."""
     monkeypatch.setattr(tables, "COMMON_ROWS", common)
     monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    # with 1000 shingles only the shorter common sets are broadcast
+    monkeypatch.setattr(jaccard, "COMMON_PAIRS", common)
+    monkeypatch.setattr(jaccard, "COMMON_SHINGLES", shingles)
     r = random.Random(3)
     word = lambda n: ["w%d" % r.randrange(400) for _ in range(n)]
     passage = word(60)
