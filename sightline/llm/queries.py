@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .html_text import main_text
 from .jaccard import near_duplicates
+from .languages import language_id
 from .licenses import license_digest, license_scan
 from .packing import pack
 from .quality import quality
@@ -64,6 +67,18 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(table(spark, folder, "pages"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(table(spark, folder, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(table(spark, folder, "documents"))
+
+
 def base1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """What op1 finds of the phrases asked for, which SQL can tell."""
     return op1_license_scans(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -92,6 +107,9 @@ QUERIES = {
         op8_karmarkar_karp_packing,
         op9_quality_rules,
         op10_url_filters,
+        op11_language_id,
+        op12_source_divergence,
+        op13_tokenizer_alignment,
         base1_license_scans,
         base9_quality_rules,
         base10_url_filters,
@@ -127,6 +145,17 @@ h AS (SELECT doc_id, item_id, i, wd.k FROM wd JOIN wi USING (win, k)),
 c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + unnest(range(k)) AS at FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_source_divergence": f"""WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k, regexp_extract_all({_LOWER.format("text")}, '[a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT lang, source, k, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, g.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (kept.n + 2) // (v.n + 2 * v.v) AS q FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+u AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b USING (lang) LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source WHERE a.source <> b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 10""",
     "base1_license_scans": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, {_phrase("cc by")} AS a, {_phrase("general public license")} AS b, {_phrase("all rights reserved")} AS c FROM d)
 SELECT doc_id, n::BIGINT AS n_words, (len(a) + len(b) + len(c))::BIGINT AS n_base, list_min(list_concat(a, b, c))::BIGINT AS first_word, list_max(list_concat(a, b, c))::BIGINT AS last_word,
  concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels FROM f""",
