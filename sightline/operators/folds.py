@@ -53,16 +53,27 @@ def first_starts(df: DataFrame, near: float = 1.0) -> DataFrame:
     return rows.select("video_id", F.explode(F.aggregate("_rows", start, step)).alias("e")).select("video_id", "e.*")
 
 
-def near_duplicates_removed(df: DataFrame, bits: int, tolerance: Column | None = None) -> DataFrame:
-    """(video_id, idx, dhash, cum, forced): in order of idx, those without a kept one within `bits` of Hamming distance and
-    with no more than the recording's tolerance of motion between; forced ones always stay. cum is the motion up to and
-    with the sample, own the sample's."""
-    start = F.expr("cast(array() as array<struct<idx:bigint,dhash:bigint,cum:double,own:double,forced:boolean,tolerance:double>>)")
+def near_duplicates_marked(df: DataFrame, bits: int, carried: list[str], tolerance: Column | None = None) -> DataFrame:
+    """(video_id, idx, forced, kept and the carried columns) of candidates (video_id, idx, dhash, cum, own, forced, tolerance).
 
-    def step(kept: Column, row: Column) -> Column:
-        same = F.exists(kept, lambda k: (F.bit_count(k["dhash"].bitwiseXOR(row["dhash"])) <= bits) & (row["cum"] - k["cum"] + k["own"] <= row["tolerance"]))
-        return F.when(same & ~row["forced"] & F.lit(bits > 0), kept).otherwise(F.concat(kept, F.array(row)))
+    In order of idx, those are kept that have no kept one within `bits` of Hamming distance and with no more than the
+    recording's tolerance of motion between; forced ones always are. cum is the motion up to and with the sample, own the
+    sample's.
+    """
+    fields = ["idx", "dhash", "cum", "own", "forced", "tolerance", *carried]
+    rows = df.select("video_id", F.col("idx").cast("long").alias("idx"), "dhash", F.col("cum").cast("double").alias("cum"), F.col("own").cast("double").alias("own"), "forced", (F.col("tolerance") if tolerance is None else tolerance).cast("double").alias("tolerance"), *carried)
+    out = rows.select(*fields).withColumn("kept", F.lit(True))
+    start = F.expr(f"cast(array() as array<{out.schema.simpleString()}>)")
+
+    def step(done: Column, row: Column) -> Column:
+        same = F.exists(done, lambda k: k["kept"] & (F.bit_count(k["dhash"].bitwiseXOR(row["dhash"])) <= bits) & (row["cum"] - k["cum"] + k["own"] <= row["tolerance"]))
+        kept = ~F.coalesce(same, F.lit(False)) | row["forced"] | F.lit(bits <= 0)
+        return F.concat(done, F.array(row.withField("kept", kept)))
 
-    rows = df.select("video_id", F.col("idx").cast("long").alias("idx"), "dhash", F.col("cum").cast("double").alias("cum"), F.col("own").cast("double").alias("own"), "forced", (F.col("tolerance") if tolerance is None else tolerance).cast("double").alias("tolerance"))
-    rows = _ordered(rows, ["video_id"], "idx", "dhash", "cum", "own", "forced", "tolerance")
-    return rows.select("video_id", F.explode(F.aggregate("_rows", start, step)).alias("e")).select("video_id", "e.idx", "e.forced")
+    rows = _ordered(rows, ["video_id"], *fields)
+    return rows.select("video_id", F.explode(F.aggregate("_rows", start, step)).alias("e")).select("video_id", "e.idx", "e.forced", "e.kept", *[f"e.{c}" for c in carried])
+
+
+def near_duplicates_removed(df: DataFrame, bits: int, tolerance: Column | None = None) -> DataFrame:
+    """(video_id, idx, forced) of those that near_duplicates_marked() keeps."""
+    return near_duplicates_marked(df, bits, [], tolerance).filter("kept").select("video_id", "idx", "forced")

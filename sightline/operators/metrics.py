@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.joins import nearest
+from sightline.operators.sampling import Sampling, selected_frames, selection_statistics
 
 
 def coverage(truth: DataFrame, picked: DataFrame, tolerance: int) -> DataFrame:
@@ -25,6 +26,32 @@ def video_metrics(truth: DataFrame, picked: DataFrame, tolerance: int) -> DataFr
     return found.groupBy("video_id").agg(F.count("*").alias("total"), F.count_if(F.col("covered")).alias("covered"), F.max("miss").alias("worst_miss"), F.expr("sum(if(covered, miss, null)) div nullif(count_if(covered), 0)").alias("mean_offset"))
 
 
+def selection_metrics(truth: DataFrame, profile: DataFrame, videos: DataFrame, how: Sampling, tolerance: int) -> DataFrame:
+    """One row for each of videos (video_id, duration_ms, source_frames): how well the frames that `how` selects from a profile
+    with dhash show the events of truth (video_id, t_ms), and what the selection costs.
+
+    An event is covered by a frame within tolerance. worst_miss_ms is the farthest of those that are not, mean_offset_ms the
+    whole mean of those that are (0 without any); reduction_ratio is source frames over selected ones. Gaps before near
+    duplicates go may be as long as duration / sampled budget / alpha and five per cent more. False cuts are scene cuts
+    without an event within tolerance. recall is null without events; a recording without frames has none selected.
+    """
+    selected = selected_frames(profile, how)
+    stats = selection_statistics(selected, how)
+    found = coverage(truth, selected.filter("kept"), tolerance).groupBy("video_id").agg(
+        F.count("*").alias("events_total"), F.count_if("covered").alias("events_covered"), F.max(F.when(~F.col("covered"), F.col("miss"))).alias("worst_miss_ms"), F.expr("sum(if(covered, miss, null)) div nullif(count_if(covered), 0)").alias("mean_offset_ms")
+    )
+    cuts = profile.filter("is_scene_cut").select("video_id", "t_ms")
+    cuts = nearest(cuts, truth, tolerance).groupBy("video_id").agg(F.count("*").alias("scene_cuts"), F.count_if(F.col("n_t").isNull()).alias("false_scene_cuts"))
+    rows = videos.join(stats, "video_id", "left").join(found, "video_id", "left").join(cuts, "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    limit = F.round(F.col("duration_ms") / F.greatest(F.coalesce("sampled_budget", F.lit(how.budget)), F.lit(1)) / F.nullif(F.lit(float(how.alpha)), F.lit(0.0))).cast("long")
+    return rows.select(
+        "video_id", "duration_ms", zero("events_total"), zero("events_covered"), (F.col("events_covered") / F.nullif("events_total", F.lit(0))).alias("recall"), "worst_miss_ms", zero("mean_offset_ms"),
+        F.coalesce("frames", F.lit(0)).alias("selected_frames"), zero("dropped_duplicates"), "source_frames", (F.col("source_frames") / F.greatest(F.coalesce("frames", F.lit(0)), F.lit(1))).alias("reduction_ratio"),
+        zero("max_gap_ms"), zero("max_gap_before_dedup_ms"), limit.alias("gap_limit_ms"), F.coalesce(F.col("max_gap_before_dedup_ms") > limit * 1.05, F.lit(False)).alias("gap_violated"), zero("scene_cuts"), zero("false_scene_cuts"),
+    )
+
+
 def corpus_metrics(videos: DataFrame) -> DataFrame:
     """One row: micro recall (1 without events) and the unweighted mean of the videos' means, cut to whole milliseconds."""
     recall = F.coalesce(F.sum("covered") / F.nullif(F.sum("total"), F.lit(0)), F.lit(1.0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.stats import with_nearest_rank
-from sightline.operators.folds import near_duplicates_removed
+from sightline.operators.folds import near_duplicates_marked, near_duplicates_removed
 
 
 def _video():
@@ -59,25 +59,46 @@ def quota_cuts(profile: DataFrame, budget: int) -> DataFrame:
     return profile.filter("is_scene_cut").withColumn("_nth", F.row_number().over(rank)).filter(F.col("_nth") <= quota).select("video_id", "idx")
 
 
+def marked_frames(profile: DataFrame, budget: int, alpha: float, subtract_floor: bool = True) -> DataFrame:
+    """weighted() with reason: scene_cut for cuts within their quota (see quota_cuts()), motion for what the targets left by
+    the budget fall on (see inverse_cdf_picks()), null for all others. Everything is worked out beside the rows of a
+    recording, in one partitioning."""
+    quota = max(1, budget // 2)
+    strongest = _video().orderBy(F.col("is_scene_cut").desc(), F.col("score").desc(), "idx")
+    rows = weighted(profile, alpha, subtract_floor)
+    rows = rows.withColumn("_forced", F.coalesce(F.col("is_scene_cut"), F.lit(False)) & (F.row_number().over(strongest) <= quota))
+    rows = rows.withColumn("_n", F.lit(budget) - F.count_if("_forced").over(_video())).withColumn("_total", F.max("cum").over(_video()))
+    rows = rows.withColumn("_low", F.coalesce(F.lag("cum").over(_line()), F.lit(float("-inf")))).withColumn("_high", F.when(F.lead("cum").over(_line()).isNull(), F.lit(float("inf"))).otherwise(F.col("cum")))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("_total")), F.lit(0.0)) * F.col("_n") - 0.5
+    # one more on either side, because the shares are rounded; the exact test follows
+    first = F.when(F.col("_low") < 0, 0).otherwise(F.greatest(F.floor(share("_low")) - 1, F.lit(0)))
+    last = F.when(F.col("_high") == float("inf"), F.col("_n") - 1).otherwise(F.least(F.ceil(share("_high")) + 1, F.col("_n") - 1))
+    reaches = lambda j: (F.col("_low") < (j + 0.5) / F.col("_n") * F.col("_total")) & ((j + 0.5) / F.col("_n") * F.col("_total") <= F.col("_high"))
+    met = (F.col("_n") > 0) & (first <= last) & F.exists(F.sequence(F.least(first, last).cast("int"), last.cast("int")), reaches)
+    reason = F.when(F.col("_forced"), "scene_cut").when(met, "motion")
+    return rows.withColumn("reason", reason).drop("_forced", "_n", "_total", "_low", "_high")
+
+
 def chosen_frames(profile: DataFrame, budget: int, alpha: float, subtract_floor: bool = True) -> DataFrame:
     """(video_id, idx, reason): cuts within their quota, then motion picks for what the budget leaves; a row picked twice counts once."""
-    cuts = quota_cuts(profile, budget).withColumn("reason", F.lit("scene_cut"))
-    left = profile.select("video_id").distinct().join(cuts.groupBy("video_id").count(), "video_id", "left")
-    targets = left.select("video_id", (F.lit(budget) - F.coalesce("count", F.lit(0))).alias("n_targets"))
-    picks = inverse_cdf_picks(weighted(profile, alpha, subtract_floor), targets).select("video_id", "idx").distinct()
-    picks = picks.join(cuts, ["video_id", "idx"], "left_anti").withColumn("reason", F.lit("motion"))
-    return cuts.unionByName(picks)
+    return marked_frames(profile, budget, alpha, subtract_floor).filter("reason is not null").select("video_id", "idx", "reason")
 
 
 #: Share of a step's motion (all motion over the budget) within which nothing has happened between two frames.
 MOTION_TOLERANCE = 0.1
 
 
+def _with_motion(profile: DataFrame, budget: int, alpha: float, subtract_floor: bool = True) -> DataFrame:
+    """The chosen rows of marked_frames() with what the search for near duplicates needs."""
+    rows = marked_frames(profile, budget, alpha, subtract_floor)
+    rows = rows.withColumn("own", F.col("eff")).withColumn("tolerance", F.sum("eff").over(_video()) / budget * MOTION_TOLERANCE)
+    rows = rows.withColumn("cum", F.sum("eff").over(_line().rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter("reason is not null").withColumn("forced", F.col("reason") == "scene_cut")
+
+
 def chosen_without_near_duplicates(profile: DataFrame, budget: int, alpha: float, bits: int) -> DataFrame:
     """(video_id, idx) of chosen_frames() without near duplicates; profile has dhash. Scene cuts always stay."""
-    motion = weighted(profile, alpha).select("video_id", "idx", "dhash", F.col("eff").alias("own"), F.sum("eff").over(_line().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), (F.sum("eff").over(_video()) / budget * MOTION_TOLERANCE).alias("tolerance"))
-    rows = chosen_frames(profile, budget, alpha).withColumn("forced", F.col("reason") == "scene_cut").join(motion, ["video_id", "idx"])
-    return near_duplicates_removed(rows, bits).select("video_id", "idx")
+    return near_duplicates_removed(_with_motion(profile, budget, alpha), bits).select("video_id", "idx")
 
 
 @dataclass(frozen=True)
@@ -103,22 +124,20 @@ def selected_frames(profile: DataFrame, how: Sampling) -> DataFrame:
     profile with dhash; kept is false for near duplicates."""
     how.check()
     source = profile if how.force_cuts else profile.withColumn("is_scene_cut", F.lit(False))
-    chosen = chosen_frames(source, how.budget, how.alpha, how.subtract_floor).withColumn("forced", F.col("reason") == "scene_cut")
-    eff = weighted(profile, how.alpha, how.subtract_floor)
-    motion = eff.select("video_id", "idx", "t_ms", "score", "is_scene_cut", "dhash", F.col("eff").alias("own"), F.sum("eff").over(_line().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), (F.sum("eff").over(_video()) / how.budget * MOTION_TOLERANCE).alias("tolerance"))
-    rows = chosen.join(motion, ["video_id", "idx"])
-    kept = near_duplicates_removed(rows, how.bits).select("video_id", "idx", F.lit(True).alias("kept"))
-    return rows.join(kept, ["video_id", "idx"], "left").select("video_id", "idx", "t_ms", "score", "is_scene_cut", "reason", F.coalesce("kept", F.lit(False)).alias("kept"))
+    rows = _with_motion(source, how.budget, how.alpha, how.subtract_floor)
+    return near_duplicates_marked(rows, how.bits, ["t_ms", "score", "is_scene_cut", "reason"]).select("video_id", "idx", "t_ms", "score", "is_scene_cut", "reason", "kept")
 
 
 def selection_statistics(selected: DataFrame, how: Sampling) -> DataFrame:
     """(video_id, budget, sampled_budget, frames, cuts, dropped_duplicates, max_gap_before_dedup_ms, max_gap_ms, mean_gap_ms) of
     selected_frames(). sampled_budget is what the forced cuts leave to be sampled by motion."""
-    cuts = F.count_if(F.col("reason") == "scene_cut")
-    counts = selected.groupBy("video_id").agg((F.lit(how.budget).cast("long") - cuts).alias("sampled_budget"), cuts.alias("cuts"), F.count_if(~F.col("kept")).alias("dropped_duplicates"))
-    before = gap_statistics(selected).select("video_id", F.col("max_gap_ms").alias("max_gap_before_dedup_ms"))
-    after = gap_statistics(selected.filter("kept"))
-    return counts.join(before, "video_id").join(after, "video_id").select("video_id", F.lit(how.budget).cast("long").alias("budget"), "sampled_budget", "frames", "cuts", "dropped_duplicates", "max_gap_before_dedup_ms", "max_gap_ms", "mean_gap_ms")
+    line = Window.partitionBy("video_id").orderBy("t_ms")
+    last_kept = F.last(F.when(F.col("kept"), F.col("t_ms")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = selected.withColumn("_all", F.col("t_ms") - F.lag("t_ms").over(line)).withColumn("_own", F.when(F.col("kept"), F.col("t_ms") - last_kept))
+    cuts, most = F.count_if(F.col("reason") == "scene_cut"), lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long")
+    mean = F.coalesce(F.expr("sum(_own) div nullif(count(_own), 0)"), F.lit(0)).cast("long")
+    budget = F.lit(how.budget).cast("long")
+    return rows.groupBy("video_id").agg(budget.alias("budget"), (budget - cuts).alias("sampled_budget"), F.count_if("kept").alias("frames"), cuts.alias("cuts"), F.count_if(~F.col("kept")).alias("dropped_duplicates"), most("_all").alias("max_gap_before_dedup_ms"), most("_own").alias("max_gap_ms"), mean.alias("mean_gap_ms"))
 
 
 def gap_statistics(frames: DataFrame) -> DataFrame:
