@@ -16,6 +16,16 @@ def range_error(t0: Column, t1: Column, budget: Column, at: Column, duration: Co
     return F.when(t1 <= t0, "bad_range").when(budget <= 0, "no_budget").when(at > duration, "beyond_end")
 
 
+def clamped_range(t0: Column, t1: Column, duration: Column) -> Column:
+    """(t0, t1) of a request, with t1 no later than the recording's end."""
+    return F.struct(t0.alias("t0"), F.least(t1, duration).alias("t1"))
+
+
+def valid_report(summary: Column, actions: Column) -> Column:
+    """Whether a report has a summary that is not blank and at least one action."""
+    return (F.trim(F.coalesce(summary, F.lit(""))) != "") & (F.size(F.coalesce(actions, F.array().cast("array<string>"))) > 0)
+
+
 def sampling_error(samples: Column, budget: Column, alpha: Column) -> Column:
     """The first thing wrong with a sampling configuration, null if nothing is: a recording without samples, no budget, or a
     uniform share that is no number from 0 to 1."""
@@ -55,10 +65,19 @@ def rational(text: Column) -> Column:
     return F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.nullif(F.get(parts, F.lit(1)).try_cast("double"), F.lit(0.0)))
 
 
-def origin_host(url: Column, suffix: str) -> Column:
-    """The host of a URL if it is the named one or a name that ends with it, else null."""
-    host = F.parse_url(url, F.lit("HOST"))
-    return F.when(host.endswith(suffix), host)
+# The hosts that requests may come from.
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "[::1]")
+
+
+def origin_host(origin: Column, hosts: tuple[str, ...] = LOCAL_HOSTS) -> Column:
+    """The host of an origin (scheme://host:port) if it is exactly one of the hosts, else null. A host in brackets goes up to
+    the closing one, any other up to the first colon; nothing else is cut off, so a name that only ends or begins like one
+    of the hosts is null."""
+    at = F.instr(origin, "://")
+    rest = F.substring(origin, at + 3, F.length(origin))
+    closing = F.instr(rest, "]")
+    host = F.when(closing > 0, F.substring(rest, F.lit(1), closing)).otherwise(F.substring_index(rest, ":", 1))
+    return F.when((at > 0) & host.isin(*hosts), host)
 
 
 def needs_transcode(codec: Column, target: str = "h264") -> Column:

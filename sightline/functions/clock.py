@@ -30,6 +30,13 @@ def minute_clock(sec: Column) -> Column:
     return F.concat_ws(":", _two(F.floor(total / 60)), _two(total % 60))
 
 
+def player_clock(sec: Column, tenths: bool = False) -> Column:
+    """Seconds as MM:SS or, from one hour on, H:MM:SS, with the tenth cut off behind them if wanted; negative is 0."""
+    safe = F.greatest(sec.cast("double"), F.lit(0.0))
+    tenth = F.concat(F.lit("."), F.floor((safe % 1) * 10).cast("string")) if tenths else F.lit("")
+    return F.concat(finding_clock(sec), tenth)
+
+
 def tenth_clock(ms: Column) -> Column:
     """Milliseconds as MM:SS.d, the tenth cut off."""
     return F.concat(_two(F.floor(ms / 60000)), F.lit(":"), _two(F.floor(ms / 1000) % 60), F.lit("."), F.floor(ms / 100).cast("long").cast("string").substr(-1, 1))

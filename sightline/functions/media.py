@@ -84,6 +84,16 @@ def image_tokens(width: Column, height: Column, tile: int = 28) -> Column:
     return (F.ceil(width / tile) * F.ceil(height / tile)).cast("long")
 
 
+def payload_estimate(width: Column, height: Column, duration_ms: Column, fps: Column, sent_frames: Column) -> Column:
+    """What sending a clip's frames costs and saves: (per_frame, frames_total, source_frames, sent_frames, ratio, tokens_if_naive).
+
+    width and height are those that are sent; ratio is source frames over sent ones (over 1 if none are sent).
+    """
+    per_frame, source = image_tokens(width, height), F.floor(duration_ms / F.lit(1000.0) * fps + 0.5).cast("long")
+    sent = sent_frames.cast("long")
+    return F.struct(per_frame.alias("per_frame"), (per_frame * sent).alias("frames_total"), source.alias("source_frames"), sent.alias("sent_frames"), (source / F.greatest(sent, F.lit(1))).alias("ratio"), (source * per_frame).alias("tokens_if_naive"))
+
+
 def alignment(a: np.ndarray, b: np.ndarray, search: int = 4096, span: int = 160_000) -> tuple[int, float, float]:
     """(shift, residual, relative): the shift of b within `search` samples that correlates best with a, the root mean square
     of what differs then, and its share of a. The first second of a is left out, or a quarter of a shorter one."""

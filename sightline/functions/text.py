@@ -39,12 +39,21 @@ def severity_of(x: Column) -> Column:
     return F.when(begins(HIGH), "high").when(begins(LOW), "low").otherwise("medium")
 
 
-def untrusted(x: Column, most: int = 2000, suffix: str = "…") -> Column:
-    """Outside text made harmless for a template: cut to `most` characters, and lines that look like delimiters
-    (beginning with ---) quoted, with their dashes set apart."""
+# What is put behind a text that was cut and before a line that looks like a delimiter, and the delimiters of
+# outside text in a prompt.
+CUT_OFF = " … (kırpıldı)"
+DOUBTFUL = "[?] "
+DELIMITERS = ("--- GÜVENİLMEZ BAĞLAM (başka bir modelin çıktısı) ---", "--- GÜVENİLMEZ BAĞLAM SONU ---")
+
+
+def untrusted(x: Column, most: int = 2000, suffix: str = CUT_OFF, prefix: str = DOUBTFUL) -> Column:
+    """Outside text made harmless for a template: cut to `most` characters first; then lines that begin with --- (behind any
+    white space) get a prefix, and each --- in them is set apart. Lines end with a line feed, with or without a carriage
+    return before it; a last empty line goes."""
     short = F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(suffix))).otherwise(x)
-    line = lambda s: F.when(F.ltrim(s).startswith("---"), F.concat(F.lit("> "), F.replace(s, F.lit("-"), F.lit("- ")))).otherwise(s)
-    return F.array_join(F.transform(F.split(short, "\n"), line), "\n")
+    lines = F.split(F.regexp_replace(short, r"\r?\n\z", ""), r"\r?\n")
+    line = lambda s: F.when(s.rlike(r"(?U)^\s*---"), F.concat(F.lit(prefix), F.replace(s, F.lit("---"), F.lit("- - -")))).otherwise(s)
+    return F.array_join(F.transform(lines, line), "\n")
 
 
 def placeholders(x: Column) -> Column:
@@ -69,10 +78,22 @@ def without_code_fence(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "`+$", ""), r"^\s+|\s+$", "")
 
 
-def tool_call(x: Column, marker: str) -> Column:
-    """(said, call): the text before a marker and the JSON behind it, which is null without the marker."""
-    parts = F.split(x, marker, 2)
-    return F.struct(F.get(parts, F.lit(0)).alias("said"), F.get(parts, F.lit(1)).alias("call"))
+def trimmed(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
+
+
+# Fixed value: what stands before a tool call in an answer.
+TOOL_MARKER = "[TOOL_CALL]"
+
+
+def tool_call(x: Column, marker: str = TOOL_MARKER) -> Column:
+    """(said, call): the trimmed text before the first marker, and the JSON behind it up to the last }, null if that is none
+    or there is no marker."""
+    at = F.instr(x, marker)
+    behind = F.regexp_extract(F.substring(x, at + len(marker), F.length(x)), r"(?s)^\s*(.*\})", 1)
+    call = F.when((at > 0) & F.try_parse_json(F.nullif(behind, F.lit(""))).isNotNull(), behind)
+    return F.struct(trimmed(F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(x)).alias("said"), call.alias("call"))
 
 
 def listed(parts: Column) -> Column:
@@ -89,15 +110,16 @@ def frame_key(video: Column, ms: Column) -> Column:
     return F.concat(F.lit("frames/"), video.cast("string"), F.lit("/"), F.lpad(ms.cast("string"), 9, "0"), F.lit(".jpg"))
 
 
-def edit_error(text: Column, known: Column, editable: Column, allowed: Column, most: int = 8192) -> Column:
-    """The first thing wrong with an edit of a prompt fragment, null if nothing is."""
+def edit_error(text: Column, known: Column, editable: Column, allowed: Column, most: int = 8192, delimiters: tuple[str, ...] = DELIMITERS) -> Column:
+    """The first thing wrong with an edit of a prompt fragment, null if nothing is. A text may hold dashes, but none of the
+    delimiters."""
     return (
         F.when(~known, "unknown")
         .when(~editable, "not_editable")
         .when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty")
         .when(F.length(text) > most, "too_long")
         .when(F.size(F.array_except(placeholders(text), allowed)) > 0, "placeholder")
-        .when(text.contains("---"), "delimiter")
+        .when(F.exists(F.array(*map(F.lit, delimiters)), lambda d: text.contains(d)), "delimiter")
     )
 
 

@@ -64,6 +64,32 @@ def run_statistics(results: DataFrame) -> DataFrame:
     return runs.groupBy("variant").agg(F.count("*").alias("runs"), F.avg("matched").alias("mean"), F.min("matched").alias("low"), F.max("matched").alias("high"), (F.max("matched") - F.min("matched")).alias("spread"), F.sum("errors").alias("errors"))
 
 
+def run_comparison(results: DataFrame) -> DataFrame:
+    """run_statistics() with what else tells variants apart: (variant, ..., results, produced, mean_offset_ms, mean_seconds, valid, without_actions).
+
+    results are (variant, run, matched, error, produced, offsets_ms, seconds, valid, actions). A run's offset is the mean of
+    the absolute values of all its offsets, its time that of its results without an error, both 0 where there are none; a
+    variant's are the means of its runs'. produced is the mean number of events in a run.
+    """
+    sized = results.withColumn("_sum", F.aggregate(F.coalesce("offsets_ms", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.abs(x))).withColumn("_n", F.greatest(F.size("offsets_ms"), F.lit(0)))
+    ok = ~F.col("error")
+    mean = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    runs = sized.groupBy("variant", "run").agg(
+        F.count("*").alias("results"), F.sum("produced").alias("produced"), mean(F.sum("_sum"), F.sum("_n")).alias("offset"), mean(F.sum(F.when(ok, F.col("seconds"))), F.count_if(ok)).alias("seconds"),
+        F.count_if("valid").alias("valid"), F.count_if(F.col("actions") == 0).alias("without_actions"),
+    )
+    more = runs.groupBy("variant").agg(F.sum("results").alias("results"), F.avg("produced").alias("produced"), F.avg("offset").alias("mean_offset_ms"), F.avg("seconds").alias("mean_seconds"), F.sum("valid").alias("valid"), F.sum("without_actions").alias("without_actions"))
+    return run_statistics(results).join(more, "variant")
+
+
+def category_recall(rows: DataFrame, categories: list[str]) -> DataFrame:
+    """(category, n, recall) for each of the categories: the share of rows (truth, predicted) of it that were predicted as it, 0
+    where there are none."""
+    wanted = rows.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    found = rows.filter(F.col("truth").isin(*categories)).groupBy(F.col("truth").alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("truth")).alias("right"))
+    return wanted.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("right") / F.col("n"), F.lit(0.0)).alias("recall"))
+
+
 def noise_band(stats: DataFrame, baseline: str) -> DataFrame:
     """stats with delta to the baseline variant and whether it is more than the widest spread of any variant."""
     one = stats.agg(F.max("spread").alias("band"), F.max(F.when(F.col("variant") == baseline, F.col("mean"))).alias("base"))

@@ -78,8 +78,11 @@ def strided(profile: DataFrame, fps: float, wanted_fps: float) -> DataFrame:
 
 
 def totals(profile: DataFrame) -> DataFrame:
+    """(video_id, samples, total, mean, peak, cuts) and, of a profile with cell_peak, cell_peak: the most that any cell of the
+    picture moved."""
     score = F.col("score").cast("double")
-    return profile.groupBy("video_id").agg(F.count("*").alias("samples"), F.sum(score).alias("total"), F.avg(score).alias("mean"), F.max(score).alias("peak"), F.count_if(F.col("is_scene_cut")).alias("cuts"))
+    cells = [F.coalesce(F.max("cell_peak"), F.lit(0.0)).alias("cell_peak")] if "cell_peak" in profile.columns else []
+    return profile.groupBy("video_id").agg(F.count("*").alias("samples"), F.sum(score).alias("total"), F.avg(score).alias("mean"), F.max(score).alias("peak"), F.count_if(F.col("is_scene_cut")).alias("cuts"), *cells)
 
 
 def frame_difference(frames: DataFrame, value: Column) -> DataFrame:

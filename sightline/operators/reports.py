@@ -40,6 +40,23 @@ def with_defaults(summary: Column, actions: Column, said: str, action: str) -> C
     return F.struct(F.coalesce(non_blank(summary), F.lit(said)).alias("summary"), told.alias("actions"))
 
 
+# The summary and the action of a report that has none.
+NO_SUMMARY = "Kayıt analiz edildi; özet üretilemedi."
+NO_ACTION = "Kaydı incelemeye al ve olayı raporla"
+
+
+def completed(reports: DataFrame, said: str = NO_SUMMARY, action: str = NO_ACTION) -> DataFrame:
+    """reports (video_id, summary, risk, events, actions) with defaults: said for a blank summary, action where there is none,
+    and for an empty risk the highest level of the events (low without any); a risk's text becomes its level. Events (structs
+    with severity, a text) get their level too."""
+    levels = F.transform(F.coalesce("events", F.from_json(F.lit("[]"), reports.schema["events"].dataType)), lambda e: severity_of(e["severity"]))
+    worst = F.when(F.array_contains(levels, "high"), "high").when(F.array_contains(levels, "medium"), "medium").otherwise("low")
+    risk = F.when(F.coalesce("risk", F.lit("")) == "", worst).otherwise(severity_of(F.col("risk")))
+    told = with_defaults(F.col("summary"), F.col("actions"), said, action)
+    events = F.transform("events", lambda e: e.withField("severity", severity_of(e["severity"])))
+    return reports.select("video_id", told["summary"].alias("summary"), risk.alias("risk"), events.alias("events"), told["actions"].alias("actions"))
+
+
 def result_document(settings: dict, rows: DataFrame, total: DataFrame) -> DataFrame:
     """(part, body): a benchmark's result as JSON, one line for the settings, one for each row of rows (in a line of its own,
     since there may be many) and one for the total."""
@@ -48,15 +65,19 @@ def result_document(settings: dict, rows: DataFrame, total: DataFrame) -> DataFr
     return own(said, "settings").union(own(rows, "video")).union(own(total, "total"))
 
 
-def merged_reports(reports: DataFrame) -> DataFrame:
+def merged_reports(reports: DataFrame, action: str | None = None) -> DataFrame:
     """(video_id, summary, risk, actions) of reports (video_id, seq, summary, risk, actions) in order of seq.
 
-    Non-blank summaries are joined, the highest risk counts, actions are kept once each in order of first sight.
+    Non-blank summaries are joined, the highest risk counts, actions are kept once each in order of first sight; where no
+    report has any, action is theirs, if given.
     """
     rows = F.array_sort(F.collect_list(F.struct("seq", "summary", "risk", "actions")))
     out = reports.groupBy("video_id").agg(rows.alias("_r"), F.max_by("risk", severity_rank(F.col("risk"))).alias("risk"))
     told = F.array_join(F.transform(F.filter("_r", lambda r: F.trim(F.coalesce(r["summary"], F.lit(""))) != ""), lambda r: F.trim(r["summary"])), " ")
-    return out.select("video_id", told.alias("summary"), F.coalesce("risk", F.lit("low")).alias("risk"), F.array_distinct(F.flatten(F.transform("_r", lambda r: F.coalesce(r["actions"], F.array().cast("array<string>"))))).alias("actions"))
+    actions = F.array_distinct(F.flatten(F.transform("_r", lambda r: F.coalesce(r["actions"], F.array().cast("array<string>")))))
+    if action is not None:
+        actions = F.when(F.size(actions) == 0, F.array(F.lit(action))).otherwise(actions)
+    return out.select("video_id", told.alias("summary"), F.coalesce("risk", F.lit("low")).alias("risk"), actions.alias("actions"))
 
 
 def audio_digest(events: DataFrame, k: int = 12) -> DataFrame:

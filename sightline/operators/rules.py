@@ -12,17 +12,22 @@ from sightline.operators.joins import overlap_join
 
 
 def critical_clusters(events: DataFrame) -> DataFrame:
-    """(video_id, category, cluster, start, end, best, others, evidence, n): critical events of one category that overlap strictly are one finding.
+    """(video_id, category, cluster, start, end, best, others, evidence, n, title, detail): critical events of one category that overlap strictly are one finding.
 
     best is the label with the highest score, the last on ties; others are the labels apart from it, in order of time;
-    evidence has a line for each event, its label and its clock times.
+    evidence has a line for each event, its label and its clock times. detail tells when, the best label's score in per
+    cent, and the others with theirs.
     """
     critical = merged_ids(events.filter("severity = 'critical'"), ["video_id", "category"], ["start", "pos"], 0.0, "cluster", touching=False)
-    rows = F.array_sort(F.collect_list(F.struct("start", "pos", "label", "end")))
-    out = critical.groupBy("video_id", "category", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("label", F.struct("score", "pos")).alias("best"), rows.alias("_rows"), F.count("*").alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct("start", "pos", "label", "end", "score")))
+    out = critical.groupBy("video_id", "category", "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("label", F.struct("score", "pos")).alias("best"), F.max("score").alias("_top"), rows.alias("_rows"), F.count("*").alias("n"))
     others = F.transform(F.filter("_rows", lambda r: r["label"] != F.col("best")), lambda r: r["label"])
     told = F.transform("_rows", lambda r: F.concat(r["label"], F.lit(" "), finding_clock(r["start"]), F.lit("–"), finding_clock(r["end"])))
-    return out.withColumn("others", F.array_join(others, ",")).withColumn("evidence", told).drop("_rows")
+    percent = lambda x: F.concat(F.lit("%"), F.round(x.cast("double") * 100).cast("long").cast("string"))
+    also = F.array_join(F.transform(F.filter("_rows", lambda r: r["label"] != F.col("best")), lambda r: F.concat(r["label"], F.lit(" "), percent(r["score"]))), ", ")
+    heard = F.concat(finding_clock(F.col("start")), F.lit("–"), finding_clock(F.col("end")), F.lit(": "), F.col("best"), F.lit(" "), percent(F.col("_top")), F.lit("."))
+    out = out.withColumn("title", F.concat(F.col("best"), F.lit(" detected"))).withColumn("detail", F.concat(heard, F.when(also != "", F.concat(F.lit(" Also taken for: "), also, F.lit("."))).otherwise("")))
+    return out.withColumn("others", F.array_join(others, ",")).withColumn("evidence", told).drop("_rows", "_top")
 
 
 def alarm_spans(events: DataFrame, slack: float = 5.0) -> DataFrame:

@@ -10,12 +10,6 @@ class Book:
         self.queries: dict[str, Callable] = {}
         self.sql: dict[str, str] = {}
 
-    def also(self, name: str, of: str) -> None:
-        """Registers a query under a second name, which it had before."""
-        self.queries[name] = self.queries[of]
-        if of in self.sql:
-            self.sql[name] = self.sql[of]
-
     def __call__(self, sql: str | None = None):
         """Registers a function (spark, folder) -> DataFrame under its name, with the SQL that gives the same rows, if there is any."""
 

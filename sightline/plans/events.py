@@ -61,9 +61,6 @@ def t01_event_order(spark, folder):
     return _segments(spark, folder).withColumn("rk", F.row_number().over(rank).cast("long")).select("video_id", "rk", "event_type", "start_sec")
 
 
-Q.also("t01_event_order_all", "t01_event_order")
-
-
 @Q(
     _SEGMENTS
     + """, cs AS (SELECT video_id, event_type, sum(end_sec - start_sec) AS total_sec, count(*) AS event_count FROM seg GROUP BY ALL)
@@ -75,11 +72,11 @@ def t02_summary_order(spark, folder):
 
 
 @Q(
-    f"WITH {S.EVENTS} SELECT video_id, pos, label, n > 20 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY (category IN ('alarm', 'distress')) DESC, score DESC, pos) AS nth FROM ev) WHERE nth <= 20"
+    f"WITH {S.EVENTS} SELECT video_id, pos, label, n > 20 AS truncated, row_number() OVER (PARTITION BY video_id ORDER BY \"start\", score DESC, pos) AS place FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n, row_number() OVER (PARTITION BY video_id ORDER BY (category IN ('alarm', 'distress')) DESC, score DESC, pos) AS nth FROM ev) WHERE nth <= 20"
 )
 def t03_priority_cap(spark, folder):
     rows = views.interval_events(spark, folder).withColumn("is_safety", F.col("category").isin("alarm", "distress")).withColumn("confidence", F.col("score"))
-    return segments.capped(rows, 20, ["pos"]).select("video_id", "pos", "label", "truncated")
+    return segments.capped(rows, 20, ["pos"]).select("video_id", "pos", "label", "truncated", "place")
 
 
 @Q(f'WITH {S.SCORES} SELECT video_id, w, nth AS rank, event_type AS "class", round(score::DOUBLE, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id, w ORDER BY score DESC, event_type) AS nth FROM scores) WHERE nth <= 2')

@@ -22,7 +22,8 @@ def p05_range_errors(spark, folder):
     t0, t1 = F.col("event_id"), F.when(k == 0, F.col("event_id")).otherwise(F.col("event_id") + 100)
     budget, at, duration = F.when(k == 1, 0).otherwise(16), F.when(k == 2, F.col("value")).otherwise(0.0), 50.0
     error = checks.range_error(t0, t1, budget, at, F.lit(duration))
-    return table(spark, folder, "events").select("event_id", error.alias("error"), F.least(F.col("event_id") + 100, F.lit(5000)).alias("t1"))
+    kept = checks.clamped_range(t0, F.col("event_id") + 100, F.lit(5000))
+    return table(spark, folder, "events").select("event_id", error.alias("error"), kept["t1"].alias("t1"))
 
 
 @Q("SELECT event_id, least(greatest(value / 100, 0.01), 0.99) AS threshold, least(greatest(event_id, 1), 20) AS top_k, least(greatest(event_id * 3, 1), 5000) AS max_events FROM events")
@@ -31,9 +32,12 @@ def p07_clamped(spark, folder):
     return table(spark, folder, "events").select("event_id", within(F.col("value") / 100, 0.01, 0.99).alias("threshold"), within(F.col("event_id"), 1, 20).alias("top_k"), within(F.col("event_id") * 3, 1, 5000).alias("max_events"))
 
 
-@Q("SELECT doc_id FROM documents WHERE trim(text) <> '' AND len(string_split(text, chr(10))) >= 2")
+@Q("SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE coalesce(text, '') END) <> '' AND doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS valid FROM documents")
 def p11_valid_reports(spark, folder):
-    return table(spark, folder, "documents").filter((F.trim("text") != "") & (F.size(F.split("text", "\n")) >= 2)).select("doc_id")
+    """Reports with a summary and an action; some have a blank summary, no actions or none told."""
+    summary = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text"))
+    actions = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))
+    return table(spark, folder, "documents").select("doc_id", checks.valid_report(summary, actions).alias("valid"))
 
 
 @Q("SELECT doc_id, contains(text, 'the') AND contains(text, 'er') AND contains(text, 'on') AND contains(text, 'an') AS holds FROM documents")
@@ -166,12 +170,13 @@ def f19_json_body(spark, folder):
     return table(spark, folder, "events").select("event_id", said.alias("body"), F.get_json_object(said, "$.k").cast("long").alias("k"))
 
 
-@Q("SELECT event_id, event_type AS said, CASE WHEN event_id % 2 = 0 THEN json_extract(props, '$.k')::BIGINT END AS k FROM events")
+@Q("SELECT event_id, event_type AS said, CASE WHEN event_id % 5 < 2 THEN props END AS call, CASE WHEN event_id % 5 < 2 THEN json_extract(props, '$.k')::BIGINT END AS k FROM events")
 def f21_tool_call(spark, folder):
-    """Text before a tool marker, and the call behind it."""
-    whole = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("<tool>"), "props")).otherwise(F.col("event_type"))
-    parts = text.tool_call(whole, "<tool>")
-    return table(spark, folder, "events").select("event_id", parts["said"].alias("said"), F.get_json_object(parts["call"], "$.k").cast("long").alias("k"))
+    """Text before the marker of a tool call, and the call behind it: with words after it, without any, broken, missing, unmarked."""
+    k, marked = F.col("event_id") % 5, F.concat(F.lit("\t "), F.col("event_type"), F.lit("\n[TOOL_CALL]"))
+    whole = F.when(k == 0, F.concat(marked, F.lit("\n"), "props", F.lit(" as [TOOL_CALL] asked"))).when(k == 1, F.concat(marked, "props")).when(k == 2, F.concat(marked, F.lit('{"k": }'))).when(k == 3, marked).otherwise(F.col("event_type"))
+    parts = text.tool_call(whole)
+    return table(spark, folder, "events").select("event_id", parts["said"].alias("said"), parts["call"].alias("call"), F.get_json_object(parts["call"], "$.k").cast("long").alias("k"))
 
 
 @Q("SELECT c_nationkey, string_agg(c_mktsegment, chr(10) || chr(10) ORDER BY c_custkey) AS prompt FROM customer GROUP BY c_nationkey")
@@ -181,9 +186,6 @@ def f25_fragments(spark, folder):
     return rows.select("c_nationkey", prompts.glued(F.transform("l", lambda x: x["t"])).alias("prompt"))
 
 
-Q.also("f25_fragments_all", "f25_fragments")
-
-
 @Q("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 100) / (event_id % 5)::DOUBLE END AS rate FROM events")
 def f28_rational(spark, folder):
     said = F.concat_ws("/", (F.col("event_id") % 100).cast("string"), (F.col("event_id") % 5).cast("string"))
@@ -220,10 +222,14 @@ def f36_report_defaults(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(told["actions"], ",").alias("actions"), told["summary"].alias("summary"))
 
 
-@Q("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages WHERE ends_with(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'example.net')")
+@Q("SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'localhost' WHEN 1 THEN '[::1]' WHEN 2 THEN '127.0.0.1' END AS host FROM pages")
 def f37_origin_hosts(spark, folder):
-    rows = table(spark, folder, "pages").select("page_id", checks.origin_host(F.col("url"), "example.net").alias("host"))
-    return rows.filter("host is not null")
+    """Origins that a request may come from, among those that only look like one and the pages' own."""
+    k = F.col("page_id") % 8
+    origin = F.when(k == 0, "http://localhost:3000").when(k == 1, "http://[::1]:8080").when(k == 2, "https://127.0.0.1").when(k == 3, "https://evil-localhost:3000").when(k == 4, "http://localhost.example.net")
+    origin = origin.when(k == 5, "localhost:3000").when(k == 6, "http://[::1]x:80@example.net").otherwise(F.col("url"))
+    origin = F.when(k == 6, "http://127.0.0.1.example.net:80").otherwise(origin)
+    return table(spark, folder, "pages").select("page_id", checks.origin_host(origin).alias("host"))
 
 
 @Q("SELECT event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS body FROM events")

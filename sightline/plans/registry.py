@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sightline.plans import delivery, events, frames, more, reports, tables
+from sightline.plans import delivery, events, frames, measures, more, reports, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (frames, events, reports, tables, more, delivery):
+for module in (frames, events, reports, tables, more, delivery, measures):
     QUERIES |= module.Q.queries
     ORACLE_SQL |= module.Q.sql

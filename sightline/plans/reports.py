@@ -73,10 +73,11 @@ def f15_severity(spark, folder):
 
 
 @Q(
-    """SELECT doc_id, md5(array_to_string([CASE WHEN starts_with(ltrim(s, ' '), '---') THEN '> ' || replace(s, '-', '- ') ELSE s END FOR s IN string_split(CASE WHEN length('--- ' || text) > 2000 THEN substring('--- ' || text, 1, 2000) || '…' ELSE '--- ' || text END, chr(10))], chr(10))) AS digest FROM documents"""
+    """WITH s AS (SELECT doc_id, '  --- a-b ---' || chr(13) || chr(10) || coalesce(text, '') || chr(10) AS x FROM documents), c AS (SELECT doc_id, CASE WHEN length(x) > 2000 THEN substring(x, 1, 2000) || ' … (kırpıldı)' ELSE x END AS x FROM s)
+SELECT doc_id, md5(array_to_string([CASE WHEN starts_with(ltrim(s, ' '), '---') THEN '[?] ' || replace(s, '---', '- - -') ELSE s END FOR s IN string_split(replace(regexp_replace(x, '\r?\n$', ''), chr(13) || chr(10), chr(10)), chr(10))], chr(10))) AS digest FROM c"""
 )
 def f22_sanitize(spark, folder):
-    said = text.untrusted(F.concat(F.lit("--- "), F.col("text")))
+    said = text.untrusted(F.concat(F.lit("  --- a-b ---\r\n"), F.coalesce("text", F.lit("")), F.lit("\n")))
     return views.table(spark, folder, "documents").select("doc_id", F.md5(said).alias("digest"))
 
 
@@ -101,11 +102,12 @@ def f27_keys(spark, folder):
 
 
 @Q(
-    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'not_editable' WHEN 2 THEN 'empty' WHEN 3 THEN 'too_long' WHEN 4 THEN 'placeholder' WHEN 5 THEN 'delimiter' END AS error FROM events"""
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'unknown' WHEN 1 THEN 'not_editable' WHEN 2 THEN 'empty' WHEN 3 THEN 'too_long' WHEN 4 THEN 'placeholder' WHEN 5 THEN 'delimiter' END AS error FROM events"""
 )
 def p13_edit_errors(spark, folder):
-    k = F.col("event_id") % 7
-    said = F.when(k == 2, "  ").when(k == 3, F.repeat(F.lit("x"), 9000)).when(k == 4, "hello {nobody}").when(k == 5, "a\n---\nb").otherwise("fine {name}")
+    """Edits of prompt fragments; a line of dashes is none of the delimiters."""
+    k = F.col("event_id") % 8
+    said = F.when(k == 2, "  ").when(k == 3, F.repeat(F.lit("x"), 9000)).when(k == 4, "hello {nobody}").when(k == 5, f"a\n{text.DELIMITERS[1]}\nb").when(k == 6, "a\n---\n- b").otherwise("fine {name}")
     error = text.edit_error(said, k != 0, k != 1, F.array(F.lit("name")))
     return views.table(spark, folder, "events").select("event_id", error.alias("error"))
 

@@ -186,6 +186,3 @@ def f33_tool_list(spark, folder):
     rows = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(part)).alias("l"))
     return rows.select("c_custkey", text.listed(F.col("l")).alias("tools"))
 
-
-Q.also("q04_ordered_scan_all", "q04_ordered_scan")
-Q.also("j13_permissions_all", "j13_permissions")

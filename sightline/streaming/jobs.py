@@ -37,7 +37,7 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
 
 
 class LimitedCounter(StatefulProcessor):
-    """Allows a key `limit` times until a reset."""
+    """Allows a key `limit` times until a reset; a key that is forgotten leaves no state behind."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -49,10 +49,13 @@ class LimitedCounter(StatefulProcessor):
         out = []
         used = self.used.get()[0] if self.used.exists() else 0
         for pdf in rows:
-            for request, reset in pdf.sort_values("request")[["request", "reset"]].itertuples(index=False):
-                used = 0 if reset else used + 1
-                out.append((key[0], int(request), bool(reset or used <= self.limit)))
-        self.used.update((int(used),))
+            for request, reset, forget in pdf.sort_values("request")[["request", "reset", "forget"]].itertuples(index=False):
+                used = -1 if forget else 0 if reset else max(used, 0) + 1
+                out.append((key[0], int(request), bool(reset or forget or used <= self.limit)))
+        if used < 0:
+            self.used.clear()
+        else:
+            self.used.update((int(used),))
         yield pd.DataFrame(out, columns=["video_id", "request", "allowed"])
 
     def close(self) -> None:
@@ -60,7 +63,8 @@ class LimitedCounter(StatefulProcessor):
 
 
 def limited(requests: DataFrame, limit: int = 2) -> DataFrame:
-    """(video_id, request, allowed) for requests (video_id, request, reset)."""
+    """(video_id, request, allowed) for requests (video_id, request, reset and, if wanted, forget)."""
+    requests = requests if "forget" in requests.columns else requests.withColumn("forget", F.lit(False))
     return requests.groupBy("video_id").transformWithStateInPandas(LimitedCounter(limit), "video_id long, request long, allowed boolean", "Append", "None")
 
 
@@ -195,7 +199,12 @@ def upsert_sink(path: str, keys: list[str], version: list[str]):
             raise FileNotFoundError(f"batch {epoch}, but no version of the table in {path}")
         part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
         touched = [r[0] for r in batch.select(part.alias("part")).distinct().collect()]
+        if not touched and (found or epoch):
+            return
         if not touched:
+            # the first batch may be empty: the table begins as an empty part, so that the log tells of it
+            batch.limit(0).write.mode("overwrite").parquet(f"{path}/v0/part=0")
+            spark.createDataFrame([(0, 0)], "part int, version int").coalesce(1).write.mode("append").parquet(f"{path}/log")
             return
         before = [f"{path}/v{found[p]}/part={p}" for p in touched if p in found]
         table = spark.read.parquet(*before) if before else batch.limit(0)

@@ -57,13 +57,13 @@ def test_whole_selection(spark):
 
 def test_all_customers(spark):
     customers = views.table(spark, FOLDER, "customer")
-    prompts = run(spark, "f25_fragments_all")
+    prompts = run(spark, "f25_fragments")
     assert prompts.agg(F.sum(F.size(F.split("prompt", "\n\n")))).first()[0] == customers.count()
     members = customers.join(views.table(spark, FOLDER, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey").distinct(), "c_nationkey")
-    assert sorted(x.viewer for x in run(spark, "j13_permissions_all").collect()) == sorted(x.c_custkey for x in members.collect())
+    assert sorted(x.viewer for x in run(spark, "j13_permissions").collect()) == sorted(x.c_custkey for x in members.collect())
 
 
 def test_all_names_and_events(spark):
     names = [x.o_custkey for x in views.table(spark, FOLDER, "orders").select("o_custkey").distinct().orderBy("o_custkey").collect()]
-    assert [(x.id, x.name) for x in run(spark, "q04_ordered_scan_all").orderBy("id").collect()] == list(enumerate(names, 1))
-    assert run(spark, "t01_event_order_all").count() == run(spark, "a09_segments").count()
+    assert [(x.id, x.name) for x in run(spark, "q04_ordered_scan").orderBy("id").collect()] == list(enumerate(names, 1))
+    assert run(spark, "t01_event_order").count() == run(spark, "a09_segments").count()
