@@ -124,13 +124,15 @@ def _products(shared):
 
 
 def labelled_sample(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> DataFrame:
-    """(lang, key, text) of at most rows_a_language rows of each language that may be learned from, those with the least
-    hashes of their ids; rows with one id are one. Rows without text or letters count, but are then left out."""
+    """(lang, key, text) of at most rows_a_language rows of each language that may be learned from: ids are dealt to so many
+    lots by a hash, and the one with the least other hash stands for its lot. Rows with one id are one. Rows without text or
+    letters count, but are then left out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id"))
-    least = Window.partitionBy("lang").orderBy("key")
-    chosen = known.select("lang", "key").distinct().withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= rows_a_language)
+    lot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(rows_a_language)).alias("lot")
+    # a minimum a lot: tasks send so many rows of a language at most
+    chosen = known.groupBy("lang", lot).agg(F.min("key").alias("key")).select("lang", "key")
     rows = known.join(F.broadcast(cut(chosen)), ["lang", "key"])
-    rows = rows.groupBy("lang", "key", "nth").agg(F.min("text").alias("text"))
+    rows = rows.groupBy("lang", "key").agg(F.min("text").alias("text"))
     return rows.filter(F.col("text").rlike(r"\p{L}"))
 
 

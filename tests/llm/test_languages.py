@@ -37,7 +37,7 @@ def test_presence():
 def test_scores_are_kernel_ridge_regression(spark):
     rows = [(i, t, lang) for i, t, lang in made(60, 1) if zlib.crc32(str(i).encode()) % 4 != 2]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = fit(df, landmarks=1000, ridge=1e-2)
+    model = fit(df, rows_a_language=1_000_000, landmarks=1000, ridge=1e-2)
     sets = [grams_of(t) for _, t, _ in rows]
     kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
     k = np.array([[kernel(x, y) for y in sets] for x in sets])
