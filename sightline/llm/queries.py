@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from .licenses import license_digest, license_scan
 from .packing import pack
 from .quality import quality
 from .secrets import secret_digest, secret_scan
-from .sharding import reshard
-from .tables import table
+from .sharding import keyed, reshard, rewrite_affected
+from .tables import shared_folder, table
 from .token_counts import token_counts
 from .urls import url_filter
 
@@ -42,10 +44,12 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
 
 
+#: op6's old layout: 32 shards by source, so one of them holds a third of all rows.
+_OLD_SHARD = "cast(pmod(xxhash64(coalesce(source, '')), 32) as int)"
+
+
 def op6_min_cost_flow_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """The old layout is 32 shards by source, so one of them holds a third of all rows."""
-    old = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(32)).cast("int")
-    placed = reshard(table(spark, folder, "documents"), old)
+    placed = reshard(table(spark, folder, "documents"), F.expr(_OLD_SHARD))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
@@ -79,6 +83,17 @@ def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align(table(spark, folder, "documents"))
 
 
+def rewrite6_min_cost_flow_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """op6's last step: documents in files by their old shard, resharded, and the files of affected shards rewritten; what is in
+    them then."""
+    layout = f"{shared_folder(spark)}/sightline-layout-{uuid.uuid4().hex}"
+    table(spark, folder, "documents").withColumn("shard", F.expr(_OLD_SHARD)).write.partitionBy("shard").parquet(layout)
+    rows = keyed(spark.read.parquet(layout))
+    rewrite_affected(rows, reshard(rows, F.col("shard")), layout)
+    text = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(layout).select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text).cast("long") + 16).alias("size"), "shard")
+
+
 def base1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """What op1 finds of the phrases asked for, which SQL can tell."""
     return op1_license_scans(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -110,6 +125,7 @@ QUERIES = {
         op11_language_id,
         op12_source_divergence,
         op13_tokenizer_alignment,
+        rewrite6_min_cost_flow_sharding,
         base1_license_scans,
         base9_quality_rules,
         base10_url_filters,

@@ -3,13 +3,13 @@
 The old shards' bytes flow to the new shards' capacities at a cost of one for each byte that leaves its shard. The flow out
 of an old shard cuts the line of its documents into ranges, one for each target. The line is counted in blocks and ordered
 by text, so copies in one old shard stay next to each other. Whole documents don't end at the cuts, so a few documents
-(RESERVE a shard, the least by hash) are held back and then put, largest first, where the most is missing.
+(RESERVE a shard, the least by hash) are held back and then put, largest first, where the most is missing among the shards
+that the flow sends bytes of theirs to, or among all where none of those lacks half of a document's bytes; so they level
+the shards and move hardly any bytes that the flow would leave.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,7 +147,7 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     olds = {r[0]: r[1] for r in slim.groupBy("old_shard").count().collect()}
     total = sum(olds.values())
 
-    held = slim.orderBy("lot", "uid").limit(int(min(reserve * new_shards, RESERVE_SHARE * total + 1))).select("uid", "lot", "size").toPandas()
+    held = slim.orderBy("lot", "uid").limit(int(min(reserve * new_shards, RESERVE_SHARE * total + 1))).select("uid", "lot", "size", "old_shard").toPandas()
     bound = int(held["lot"].max()) if len(held) else -(1 << 63)
     rest = slim.filter(F.col("lot") > bound)
 
@@ -161,18 +161,23 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     rest = rest.withColumn("block", F.pmod(F.xxhash64("rank", part), F.col("blocks"))).drop("b_old", "blocks", "c_rank", "c_old", "parts")
     counted = cut(rest.groupBy(F.col("old_shard").alias("r_old"), F.col("block").alias("r_block")).agg(F.sum("size").alias("bytes")))
 
-    supply = {r[0]: int(r[1]) for r in counted.groupBy("r_old").agg(F.sum("bytes")).collect()}
+    # the flow is that of all bytes; the held back ones leave each range of a line in proportion
+    kept = {r[0]: int(r[1]) for r in counted.groupBy("r_old").agg(F.sum("bytes")).collect()}
+    supply = {i: kept.get(i, 0) for i in olds}
+    for i, size in held.groupby("old_shard")["size"].sum().items():
+        supply[int(i)] += int(size)
     lines = sorted(supply)
     cost = np.array([[0.0 if i == j else 1.0 for j in range(new_shards)] for i in lines]).reshape(len(lines), new_shards)
     flow = min_cost_flow([supply[i] for i in lines], _shares(sum(supply.values()), new_shards), cost)
-    ranges = []
+    ranges, ways = [], {}
     for row, i in enumerate(lines):
         at = 0
         # what stays comes first
-        targets = [j for j in sorted(range(new_shards), key=lambda j: (j != i, j)) if flow[row, j]]
+        targets = ways[i] = [j for j in sorted(range(new_shards), key=lambda j: (j != i, j)) if flow[row, j]]
         for j in targets:
-            ranges.append((i, at, at + int(flow[row, j]) if j != targets[-1] else (1 << 62), j))
             at += int(flow[row, j])
+            low, high = (x * kept.get(i, 0) // supply[i] for x in (at - int(flow[row, j]), at))
+            ranges.append((i, low, high if j != targets[-1] else (1 << 62), j))
 
     starts = counted.select("r_old", "r_block", (F.sum("bytes").over(Window.partitionBy("r_old").orderBy("r_block")) - F.col("bytes")).alias("before"))
     cuts = F.broadcast(_rows(spark, ranges, "c_old int, low long, high long, shard int"))
@@ -184,7 +189,7 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     placed = placed.withColumn("place", F.row_number().over(within) - 1).select("doc_id", *key, "size", "text_crc32", "old_shard", "shard", "block", "place")
 
     parts = cut(placed.groupBy(F.col("shard").alias("p_shard"), F.col("old_shard").alias("p_old"), F.col("block").alias("p_block")).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")))
-    last = _place_reserve(held, parts.groupBy("p_shard").agg(F.sum("rows"), F.sum("bytes")).collect(), new_shards)
+    last = _place_reserve(held, parts.groupBy("p_shard").agg(F.sum("rows"), F.sum("bytes")).collect(), _shares(sum(supply.values()), new_shards), ways)
     offsets = parts.select("p_shard", "p_old", "p_block", (F.sum("rows").over(Window.partitionBy("p_shard").orderBy("p_old", "p_block")) - F.col("rows")).alias("offset"))
     placed = placed.join(offsets, (F.col("shard") == F.col("p_shard")) & (F.col("old_shard") == F.col("p_old")) & (F.col("block") == F.col("p_block")))
     out = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot", *key]
@@ -192,19 +197,24 @@ def reshard(docs: DataFrame, old_shard: Column, new_shards: int = 40, blocks: in
     return placed.withColumn("slot", F.col("offset") + F.col("place")).select(*out).union(fixed.select(*out))
 
 
-def _place_reserve(held: pd.DataFrame, filled: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int]]:
-    """(uid, shard, slot) of the documents held back: largest first, each to the shard with the fewest bytes; filled has a
-    shard's rows and bytes so far."""
-    rows = dict.fromkeys(range(shards), 0) | {int(j): int(n) for j, n, _ in filled}
-    size = dict.fromkeys(range(shards), 0) | {int(j): int(x) for j, _, x in filled}
-    heap = [(size[j], j) for j in range(shards)]
-    heapq.heapify(heap)
+def _place_reserve(held: pd.DataFrame, filled: list[tuple[int, int, int]], capacity: list[int], ways: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """(uid, shard, slot) of the documents held back: largest first, each to the shard that lacks most of its capacity among
+    those in `ways` of its old shard, or among all if that one lacks less than half of it; filled has a shard's rows and
+    bytes so far."""
+    rows, lack = np.zeros(len(capacity), np.int64), np.array(capacity, np.int64)
+    for j, n, size in filled:
+        rows[j] += n
+        lack[j] -= size
+    targets = {i: np.array(js, np.int64) for i, js in ways.items()}
     out = []
-    for uid, own in held.sort_values(["size", "uid"], ascending=[False, True])[["uid", "size"]].itertuples(index=False):
-        load, j = heapq.heappop(heap)
-        out.append((int(uid), j, rows[j]))
+    for uid, own, old in held.sort_values(["size", "uid"], ascending=[False, True])[["uid", "size", "old_shard"]].itertuples(index=False):
+        open_ones = targets[int(old)]
+        j = int(open_ones[np.argmax(lack[open_ones])])
+        if 2 * lack[j] < own:
+            j = int(np.argmax(lack))
+        out.append((int(uid), j, int(rows[j])))
         rows[j] += 1
-        heapq.heappush(heap, (load + int(own), j))
+        lack[j] -= int(own)
     return out
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import sharding
+from sightline.llm.queries import QUERIES
 from sightline.llm.sharding import keyed, min_cost_flow, reshard, rewrite_affected
 
 
@@ -102,6 +103,37 @@ def test_placement(spark, tmp_path):
     assert back.count() == got[got.shard.isin(affected) & got.doc_id.notna() & (got.doc_id != 5)].shape[0]
 
 
+@pytest.mark.parametrize("folder, most, apart", [("sf0.01", 1.01, 0.03), ("sf0.1", 1.005, 0.005)])
+def test_few_bytes_move_at_any_size(spark, folder, most, apart):
+    """A thousand documents and ten thousand: as few bytes as can, and near-equal shards."""
+    got = QUERIES["op6_min_cost_flow_sharding"](spark, f"/root/testdata/{folder}").toPandas()
+    size, mean = got.groupby("shard")["size"].sum(), got["size"].sum() / 40
+    fewest = sum(max(0, x - (mean if i < 40 else 0)) for i, x in got.groupby("old_shard")["size"].sum().items())
+    assert got[got.shard != got.old_shard]["size"].sum() <= most * fewest
+    assert len(size) == 40 and size.max() - size.min() <= apart * mean
+
+
+def test_the_rewriting_query(spark):
+    folder = "/root/testdata/sf0.001"
+    placed = QUERIES["op6_min_cost_flow_sharding"](spark, folder).toPandas()
+    back = QUERIES["rewrite6_min_cost_flow_sharding"](spark, folder).toPandas()
+    assert sorted(zip(back.doc_id, back.text_crc32, back["size"])) == sorted(zip(placed.doc_id, placed.text_crc32, placed["size"]))
+    assert back.shard.nunique() == 40
+
+
+def test_hot_copies_are_resharded_and_rewritten(spark, tmp_path):
+    """More copies than share a block, in one old shard of many rows: every row is in the file of its new shard once."""
+    rows = [(i, "hot text" if i % 3 else f"text {i} " * (i % 50), i % 5) for i in range(4000)]
+    folder = str(tmp_path / "layout")
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)
+    layout = keyed(spark.read.parquet(folder))
+    placed = reshard(layout, F.col("shard"), new_shards=7)
+    rewrite_affected(layout, placed, folder)
+    back = spark.read.parquet(folder)
+    assert sorted((x.doc_id, x.shard) for x in back.collect()) == sorted((x.doc_id, x.shard) for x in placed.collect())
+    assert back.count() == 4000
+
+
 def test_small_tables(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted(x.slot for x in reshard(df, F.lit(0)).collect()) == [0, 0]
