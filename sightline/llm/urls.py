@@ -5,14 +5,14 @@ and those that imply a block with enough confidence and support become rules. A
 is pruned. Rules are matched by an inverted index: each is listed under its rarest token, so a URL meets only rules
 that share that token with it. Base rules (host and path prefix) go before learned ones.
 
-Labels come from the pages themselves (what the base rules block, against all other pages) and from example URLs; other
-labels can be given instead.
+Labels come from example URLs, whose words alone seldom tell: most are found in wanted and in unwanted hosts, so that it is
+their combinations that imply a block. Other labels can be given instead.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import ascii_lower, cut, small_or_shuffled
@@ -20,21 +20,33 @@ from .tables import ascii_lower, cut, small_or_shuffled
 # The base rules (verdict, host, path).
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Words of labelled example URLs, unwanted and wanted.
-BLOCKED_WORDS = "ads adult bet bets betting casino cheap clicks coupon dating dubious escort free-bets gambling jackpot loans lottery payday pharma pills poker porn replica slots spam spam-farm torrent track tracker viagra warez win-prize xxx".split()
-ALLOWED_WORDS = "about archive article blog book city docs farm forum free garden guide health help history home library map music news recipe research review school science shop sport story travel weather wiki win".split()
-
-#: About how many distinct URLs rules are mined from at most (those with the least hashes).
+# Names of labelled example hosts, unwanted and wanted.
+BLOCKED_NAMES = """casino-win-cash big-win-casino casino-bonus-spins online-casino-bonus free-casino-spins casino-jackpot-win lottery-win-cash win-jackpot-lottery free-sports-bets free-bets-bonus
+live-bets-odds bets-odds-bonus cheap-diet-pills cheap-pills-online diet-pills-order pills-order-online cheap-meds-pills cheap-meds-online spam-link-farm spam-farm-network link-farm-network click-farm-network
+spam-click-farm ads-track-clicks ads-popup-track track-clicks-popup popup-ads-network ads-click-network adult-cams-live live-cams-adult adult-dating-cams escort-dating-adult payday-loans-cash cheap-payday-loans
+fast-cash-loans replica-watches-cheap fake-watches-replica warez-serial-keys serial-keys-crack crack-warez-free torrent-free-warez casino-cash-bonus win-casino-spins online-casino-win live-casino-bets
+casino-free-bonus jackpot-cash-win lottery-cash-online lottery-jackpot-odds sports-bets-online bets-free-live bets-bonus-cash cheap-online-meds diet-pills-cheap order-meds-online pills-meds-online
+spam-link-network link-spam-click click-spam-network link-farm-spam farm-click-spam ads-track-network track-ads-popup popup-ads-clicks clicks-ads-network ads-popup-clicks live-adult-cams cams-adult-free
+adult-escort-live adult-dating-escort cash-loans-fast payday-cash-fast payday-loans-fast replica-watches-online cheap-watches-replica fake-replica-watches serial-keys-warez warez-crack-keys crack-serial-free
+torrent-warez-crack free-warez-torrent""".split()
+ALLOWED_NAMES = """free-library free-books-online free-museum-day free-city-tours cheap-flights cheap-city-hotels cheap-books win-science-prize win-chess-cup city-win-news cash-museum cash-economy-news casino-history-museum
+royal-casino-theatre casino-hotel-history animal-farm farm-market farm-animal-news wind-farm-energy city-track-field race-track-sports track-field-news train-track-map spam-research anti-spam-research
+spam-law-news classified-ads-city ads-standards-law city-ads-archive network-research city-network-map sports-live-news live-science sports-odds-research bonus-chapter-books best-bets-science safe-bets-economy
+pills-safety-health health-pills-research diet-health-guide diet-research online-health-guide online-library link-archive-map click-chemistry-research popup-city-market popup-books lottery-history
+jackpot-history-museum adult-education-city adult-literacy-library dating-fossils-research carbon-dating-science escort-ship-history student-loans-guide loans-economy-law fast-train-map watches-museum
+serial-novel-books keys-music-library crack-rock-climbing torrent-river-map order-law-news big-science weather-map recipe-guide wiki-guide school-story blog-travel bonus-tracks-music bonus-lesson-guide link-road-map missing-link-fossils link-bridge-news click-beetle-fossils click-consonants-guide lottery-law-economy
+lottery-story-archive jackpot-story-news spins-physics-science odds-ratio-research spam-museum-history network-news-archive cash-crop-farm cash-flow-economy popup-theatre-city watches-history fake-news-research
+replica-ship-museum serial-music-archive keys-piano-music crack-climbing-guide meds-history-health order-birds-science escort-fleet-history dating-rocks-science live-birds-map adult-birds-guide fast-food-research
+payday-history-law torrent-river-guide casino-film-story clicks-heels-dance spins-dance-music cams-engine-guide warez-word-history""".split()
+
+#: About how many distinct labelled URLs rules are mined from at most (those with the least hashes).
 LABELLED_URLS = 200_000
-#: Most tokens of a URL that are mined: those that go most often with a block. A URL then has at most 2 ** 9 item sets with
-#: its label, so there are at most 2 ** 9 / support frequent ones, whatever the URLs are.
-MOST_ITEMS = 8
-#: A token that more than this share of all URLs have says nothing and is not mined.
-EVERYWHERE = 0.8
-#: What rules from examples and rules from pages must reach. A rule from pages stands out if most pages with its tokens are
-#: blocked by the base rules, counting those that no base rule judges as not blocked.
-EXAMPLE_CONFIDENCE = 0.9
-PAGE_CONFIDENCE = 0.75
+#: What rules must reach. Each example name is several URLs: a rule from examples must hold for two names at least.
+LEAST_CONFIDENCE = 0.9
+LEAST_SUPPORT = 0.004
+EXAMPLE_SUPPORT = 0.0105
+#: How many times the least support a rule of one word needs: alone a word tells less than with another.
+ONE_WORD = 3
 
 
 def host_of(url: Column) -> Column:
@@ -60,48 +72,58 @@ def base_rule(host: Column, path: Column, rules=BASE_RULES) -> Column:
     return out
 
 
-def example_labels(spark: SparkSession) -> DataFrame:
-    """Labelled URLs (url, label) made from the fixed words: each as host, host part and path part."""
-    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(label).alias("label")) for own, label in ((BLOCKED_WORDS, "block"), (ALLOWED_WORDS, "allow")) for w in own])
-    words = spark.range(1).select(F.explode(words).alias("x")).select("x.*")
-    shapes = ["concat('http://', word, '.example.com/en/1')", "concat('https://www.', word, '.example.org/', 'item/22')", "concat('https://', word, '-site.example.com/')", "concat('http://blog.', word, '.example.net/es/7')"]
-    return words.select(F.explode(F.array(*map(F.expr, shapes))).alias("url"), "label")
+def example_labels(spark: SparkSession, blocked=BLOCKED_NAMES, allowed=ALLOWED_NAMES) -> DataFrame:
+    """Labelled URLs (url, label) made from the fixed names, each in several places and with several tails."""
+    named = F.array(*[F.struct(F.lit(w).alias("name"), F.lit(label).alias("label")) for own, label in ((blocked, "block"), (allowed, "allow")) for w in own])
+    named = spark.range(1).select(F.explode(named).alias("x")).select("x.*")
+    shapes = ["concat('http://', name, '.example.com/en/1')", "concat('https://www.', name, '.example.org/', 'item/22')", "concat('https://m.', name, '.example.net/de/3.html')", "concat('http://blog.', name, '.example.com/es/7')"]
+    return named.select(F.explode(F.array(*map(F.expr, shapes))).alias("url"), "label")
 
 
-def page_labels(rows: DataFrame, sample: int = LABELLED_URLS) -> DataFrame:
-    """(host, path, label) of distinct URLs among rows (host, path, base): block if a base rule says so, else other.
+def page_labels(rows: DataFrame) -> DataFrame:
+    """(url, label) of pages (url): block if a base rule says so, else other. For those who want rules that carry on what the
+    base rules do; not used unless given."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    return rows.filter(host != "").select("url", F.when(base_rule(host, path)["verdict"] == "block", "block").otherwise("other").alias("label"))
 
-    Of more than `sample` distinct URLs, those whose hashes are in its share of all hashes.
-    """
-    rows = rows.filter("host <> ''").select("host", "path", F.when(F.col("base.verdict") == "block", "block").otherwise("other").alias("label"), F.xxhash64("host", "path").alias("key"))
-    number = rows.agg(F.approx_count_distinct("key")).first()[0]
-    share = min(1.0, sample / max(1, number))
-    return rows.filter(F.col("key") <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).select("host", "path", "label").distinct()
 
+def sampled(labelled: DataFrame, most: int = LABELLED_URLS) -> DataFrame:
+    """Distinct rows of labelled (host, path, label): of more than `most`, those whose hashes are in its share of all hashes."""
+    labelled = labelled.withColumn("key", F.xxhash64("host", "path"))
+    share = min(1.0, most / max(1, labelled.agg(F.approx_count_distinct("key")).first()[0]))
+    return labelled.filter(F.col("key") <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).select("host", "path", "label").distinct()
 
-def _items(labelled: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each URL's label and those of its counted tokens that go most often with a block."""
-    own = labelled.select("uid", F.explode("tokens").alias("token")).join(small_or_shuffled(counts), "token")
-    best = own.groupBy("uid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("blocked") / F.col("number")).alias("rate"), "number", "token"))), 1, MOST_ITEMS).alias("best"))
-    return labelled.join(best, "uid").select(F.array_append(F.transform("best", lambda x: x["token"]), F.concat(F.lit("label="), F.col("label"))).alias("items"))
 
+def _alike(labelled: DataFrame, least: float) -> DataFrame:
+    """(token, number, as_one) of the tokens of labelled (uid, tokens) that at least `least` and not all of them have. as_one
+    is the first of the tokens that the very same URLs have: mined for all of them, which changes no rule's figures, and keeps
+    a URL of many tokens that always go together from having a power of two of combinations."""
+    total = labelled.count()
+    own = labelled.select("uid", F.explode("tokens").alias("token"))
+    marked = own.groupBy("token").agg(F.count("*").alias("number"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("xor"))
+    marked = marked.filter((F.col("number") >= least) & (F.col("number") < total))
+    return marked.withColumn("as_one", F.min("token").over(Window.partitionBy("number", "sum", "xor"))).select("token", "number", "as_one")
 
-def mine_rules(labelled: DataFrame, least_support: float = 0.004, least_confidence: float = EXAMPLE_CONFIDENCE, most_tokens: int = 3) -> DataFrame:
+
+def mine_rules(labelled: DataFrame, least_support: float = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE, most_tokens: int = 3) -> DataFrame:
     """(rule, tokens, listed, confidence, support) from labelled URLs (host, path, label); rules are for the label block.
 
-    listed is the rarest of a rule's tokens. Rows with a null in any of the three are left out. No labels, or none of
-    block, give no rules.
+    listed is the rarest of a rule's tokens. A rule of one token needs ONE_WORD times the least support. Where several tokens have the very same URLs, a rule names the first of them. Of
+    more than LABELLED_URLS distinct URLs a share is mined. Rows with a null in any of the three are left out. No labels, or
+    none of block, give no rules. Rules of equal figures are all kept; url_filter() then names the last by its tokens.
     """
-    labelled = labelled.filter("host is not null and path is not null and label is not null")
+    labelled = sampled(labelled.filter("host is not null and path is not null and label is not null"))
     labelled = cut(labelled.select(tokens_of(F.col("host"), F.col("path")).alias("tokens"), "label")).withColumn("uid", F.monotonically_increasing_id())
-    total = labelled.count()
-    counts = labelled.select(F.explode("tokens").alias("token"), (F.col("label") == "block").cast("long").alias("blocked"))
-    counts = counts.groupBy("token").agg(F.count("*").alias("number"), F.sum("blocked").alias("blocked"))
-    counts = cut(counts.filter((F.col("number") >= least_support * total) & (F.col("number") <= EVERYWHERE * total)))
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(_items(labelled, counts))
+    counts = cut(_alike(labelled, least_support * labelled.count()))
+    own = labelled.select("uid", "label", F.explode("tokens").alias("token")).join(small_or_shuffled(counts.select("token", "as_one")), "token")
+    items = own.groupBy("uid", "label").agg(F.collect_set("as_one").alias("items")).select(F.array_append("items", F.concat(F.lit("label="), F.col("label"))).alias("items"))
+    bare = labelled.join(own.select("uid").distinct(), "uid", "left_anti").select(F.array(F.concat(F.lit("label="), F.col("label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(items.unionByName(bare))
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit("label=block")))
+    enough = (F.size("tokens") > 1) | (F.col("support") >= ONE_WORD * least_support)
     rules = rules.filter((F.size("antecedent") <= most_tokens) & (F.col("lift") > 1) & ~F.exists("antecedent", lambda t: t.startswith("label=")))
-    rules = _pruned(cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")))
+    # first what a shorter rule implies goes, so that no word is added only to be two
+    rules = _pruned(cut(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))).filter(enough)
     rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(small_or_shuffled(counts.select("token", "number")), "token")
     rarest = rarest.groupBy("tokens").agg(F.min_by("token", F.struct("number", "token")).alias("listed"))
     return rules.join(rarest, "tokens").select(F.array_join("tokens", " ").alias("rule"), "tokens", "listed", "confidence", "support")
@@ -116,31 +138,29 @@ def _pruned(rules: DataFrame) -> DataFrame:
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(uid, learned): the URLs (uid, tokens) that a rule fits, and the strongest such rule. rules are those of mine_rules(),
-    of which there can't be many (see MOST_ITEMS), so they are broadcast."""
+    """(uid, learned): the URLs (uid, tokens) that a rule fits, and the strongest such rule: by confidence, then support, then
+    name. Rules are broadcast after their number has been counted."""
     rules = rules.select("rule", F.col("tokens").alias("needed"), "confidence", "support", F.col("listed").alias("token"))
     own = urls.select("uid", "tokens", F.explode("tokens").alias("token"))
-    met = own.join(F.broadcast(rules), "token").filter(F.size(F.array_except("needed", "tokens")) == 0)
+    met = own.join(small_or_shuffled(rules), "token").filter(F.size(F.array_except("needed", "tokens")) == 0)
     return met.groupBy("uid").agg(F.max(F.struct("confidence", "support", "rule"))["rule"].alias("learned"))
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame | None = None, url_col: str = "url", base_rules=BASE_RULES) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None, url_col: str = "url", base_rules=BASE_RULES, least_support: float | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, learned) for each row of pages (page_id and a url).
 
     host and path are empty for a null url or one without "://". rule is the longest base rule that fits, else null;
     without one, verdict is block if a learned rule fits (learned names the strongest), else allow. Rules are learned from
-    labelled (url, label: block or another), or without it from the pages' base verdicts and from examples. Repeated rows
-    come back once each; other columns are ignored; an empty table gives no rows.
+    labelled (url, label: block or another), or without it from examples. Repeated rows come back once each; other columns,
+    of whatever name, are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     url = F.col(url_col)
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     rows = cut(rows.withColumn("base", base_rule(F.col("host"), F.col("path"), base_rules))).withColumn("uid", F.monotonically_increasing_id())
-    split = lambda df: df.filter("url is not null").select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
-    if labelled is None:
-        rules = mine_rules(split(example_labels(spark))).union(mine_rules(page_labels(rows), least_confidence=PAGE_CONFIDENCE))
-    else:
-        rules = mine_rules(split(labelled))
+    least_support = least_support or (EXAMPLE_SUPPORT if labelled is None else LEAST_SUPPORT)
+    labelled = (example_labels(spark) if labelled is None else labelled).filter("url is not null")
+    rules = mine_rules(labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label"), least_support)
     # what a base rule judges, or has no host, meets no learned rule
     is_open = F.col("base").isNull() & (F.col("host") != "")
     open_rows = rows.filter(is_open)
