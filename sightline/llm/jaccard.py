@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
 from .components import connected_components
-from .tables import bit_filter, cut, in_filter, in_small_batches, joined_by_key, small_or_shuffled
+from .tables import bit_filter, cut, giving_back, in_filter, in_small_batches, joined_by_key, small_or_shuffled
 
 _U = np.uint64
 #: Places of the shingle frequency sketch: 512 KB on the driver and on each executor, whatever the input.
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = cut(docs.mapInArrow(_summaries(k), "doc_id long, n long, node long, least array<long>, sketch array<long>"))
+    read = cut(docs.mapInArrow(giving_back(_summaries(k)), "doc_id long, n long, node long, least array<long>, sketch array<long>"))
     counts = np.zeros(SKETCH, np.int64)
     places = read.filter("n = -1").select(F.posexplode("sketch").alias("place", "number")).groupBy("place").agg(F.sum("number").alias("number")).filter("number > 0")
     places = places.toArrow()
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return bit_filter(ids.mapInArrow(_hashed, "id long"), "id"), bit_filter(needed, "node")
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        return docs.mapInArrow(_set_rows(k, *filters(needed)), "node long, tokens binary").dropDuplicates(["node"])
+        return docs.mapInArrow(giving_back(_set_rows(k, *filters(needed))), "node long, tokens binary").dropDuplicates(["node"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) that are linked; sets are worked out again for the nodes concerned alone.
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = turned.filter("commons = 0").join(left(sets), "u").join(right(sets), "v")
             rows = rows.unionByName(turned.filter("commons = 1").join(left(sets), "u").join(right(known), "v"))
             rows = rows.unionByName(turned.filter("commons = 2").join(left(known), "u").join(right(known), "v"))
-        return cut(rows.select("u", "v", "left_tokens", "right_tokens").mapInArrow(_verify(threshold), "u long, v long"))
+        return cut(rows.select("u", "v", "left_tokens", "right_tokens").mapInArrow(giving_back(_verify(threshold)), "u long, v long"))
 
     # Ties: sets with an equal minimum hash and the most ordinary one of them. Copies differ from their source by shingles
     # of their own, so the set with the fewest uncommon shingles is near the middle of its group and ties most of it.
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     keys = cut(joined_by_key(keys, sizes, "key", "size").select("node", "key"))
     grouped = keys.select("node").distinct()
-    uncommon = docs.mapInArrow(_uncommon_rows(k, sketch, *filters(grouped)), "node long, uncommon long").groupBy("node").agg(F.min("uncommon").alias("uncommon"))
+    uncommon = docs.mapInArrow(giving_back(_uncommon_rows(k, sketch, *filters(grouped))), "node long, uncommon long").groupBy("node").agg(F.min("uncommon").alias("uncommon"))
     leaders = keys.join(uncommon, "node").groupBy("key").agg(F.min_by("node", F.struct("uncommon", "node")).alias("leader"), F.count("*").alias("size"))
     ties = joined_by_key(keys, cut(leaders), "key", "size").filter("node <> leader")
     ties = ties.groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).count().filter(f"count >= {TIE_HASHES}").select("u", "v")
@@ -300,11 +300,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # The prefix join over pairs that are not connected yet.
     rows = "token long, node long, n int, place int, shared int"
-    entries = docs.mapInArrow(_prefix_rows(k, threshold, sketch), rows).select("token", "node")
+    entries = docs.mapInArrow(giving_back(_prefix_rows(k, threshold, sketch)), rows).select("token", "node")
     label = _label_of(entries, labels)
     mixed = label.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
     token_filter = spark.sparkContext.broadcast(bit_filter(mixed, "token", bits=25))
-    entries = docs.mapInArrow(_prefix_rows(k, threshold, sketch, token_filter), rows).dropDuplicates(["token", "node"])
+    entries = docs.mapInArrow(giving_back(_prefix_rows(k, threshold, sketch, token_filter)), rows).dropDuplicates(["token", "node"])
     entries = cut(_label_of(entries, labels, "n", "place", "shared"))
     sizes = entries.groupBy("token", "label").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("labels"), F.sum("size").alias("size")).filter("labels > 1").select("token", "largest", "size")
@@ -329,9 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(ties.union(links))
 
     # The least id of each component, then of each document.
-    named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    answer = cut(named.join(least, "component").select("node", "component_id"))
+    named = cut(nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")))
+    answer = cut(joined_by_key(named, least, "component", "size").select("node", "component_id"))
     many = own.filter("n > 0").select("doc_id", "n", "node").join(answer, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return many.union(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

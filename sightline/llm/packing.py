@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, in_small_batches
+from .tables import cut, giving_back, in_small_batches
 
 CAPACITY = 1024
 #: Largest piece of what is left after whole windows: small enough for near-equal sums.
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | N
     files = docs.sparkSession.sparkContext.broadcast(tuple(files))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = cut(in_small_batches(docs).select("doc_id", "text").mapInArrow(_pieces(files, pattern or public_tokenizers.PATTERN, end_id, capacity, piece), rows))
+    pieces = cut(in_small_batches(docs).select("doc_id", "text").mapInArrow(giving_back(_pieces(files, pattern or public_tokenizers.PATTERN, end_id, capacity, piece)), rows))
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id())
     # whole windows stay where they are; a group holds only pieces that are to be divided
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", 2 * F.col("uid") + 1).withColumn("offset", F.lit(0).cast("long")).drop("uid")

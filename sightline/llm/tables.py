@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -9,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def giving_back(run):
+    """A task's function over Arrow batches that returns its memory to the machine at its end: the worker outlives the task, and
+    what it keeps for later counts against the executor."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 #: Most rows of keys that are broadcast (some 50 MB in memory); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 19
 

@@ -15,11 +15,12 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import in_small_batches
+from .tables import giving_back, in_small_batches
 
 END = 256
-#: Words that a task remembers the counts of.
+#: Words that a task remembers the counts of, and characters of the longest of them.
 REMEMBERED = 500_000
+LONGEST = 64
 
 # The tokenizer's split of lower-case text into words, in full and for letters up to U+024F.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,7 +119,7 @@ class _Counts(dict):
 
     def __missing__(self, word: str) -> int:
         found = self.automaton.count(word)
-        if len(self) < REMEMBERED:
+        if len(word) <= LONGEST and len(self) < REMEMBERED:
             self[word] = found
         return found
 
@@ -148,4 +149,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     pieces = read_vocabulary(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs).select("doc_id", "text").mapInArrow(_run(automaton), f"doc_id {kind}, n_words long, n_tokens long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(giving_back(_run(automaton)), f"doc_id {kind}, n_words long, n_tokens long")
