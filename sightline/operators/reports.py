@@ -65,6 +65,44 @@ def result_document(settings: dict, rows: DataFrame, total: DataFrame) -> DataFr
     return own(said, "settings").union(own(rows, "video")).union(own(total, "total"))
 
 
+def report_lines(results: DataFrame) -> DataFrame:
+    """(section, variant, place, line): the lines of a Markdown report on repeated runs, from results (variant, run, video, matched,
+    truth, produced, error) with a row for each variant, run and video.
+
+    Section compared has a line for each variant: mean matched of the first run's truth, the least and most, errors of
+    results, mean events produced. Section stability has three, the recordings that are the same in all runs, that are
+    not, and that never gave a report; false_alarms one for each recording without events; runs one for each recording.
+    A line is as long as a variant has recordings.
+    """
+    ok = F.when(~F.col("error"), F.col("matched"))
+    text = lambda c: F.col(c).cast("string")
+    one = lambda c: F.round(c, 1).cast("decimal(18,1)").cast("string")
+    runs = results.groupBy("variant", "run").agg(F.sum(F.coalesce(ok, F.lit(0))).alias("matched"), F.sum("truth").alias("truth"), F.sum("produced").alias("produced"), F.count_if("error").alias("errors"), F.count("*").alias("n"))
+    by = runs.groupBy("variant").agg(F.avg("matched").alias("mean"), F.min_by("truth", "run").alias("truth"), F.min("matched").alias("low"), F.max("matched").alias("high"), F.sum("errors").alias("errors"), F.sum("n").alias("n"), F.avg("produced").alias("produced"))
+    line = F.concat(F.lit("| `"), "variant", F.lit("` | "), one("mean"), F.lit("/"), text("truth"), F.lit(" | "), text("low"), F.lit("–"), text("high"), F.lit(" | "), text("errors"), F.lit("/"), text("n"), F.lit(" | "), one("produced"), F.lit(" |"))
+    compared = by.select(F.lit("compared").alias("section"), "variant", F.lit("").alias("place"), line.alias("line"))
+
+    state = F.coalesce(ok, F.lit(-1))
+    videos = results.groupBy("variant", "video").agg((F.count_if("error") == F.count("*")).alias("never"), (F.min(state) == F.max(state)).alias("same"), F.min(ok).alias("low"), F.max(ok).alias("high"))
+    kind = F.when(F.col("never"), "always an error").when(F.col("same"), "stable").otherwise("volatile")
+    told = F.concat("video", F.when(kind == "volatile", F.concat(F.lit(" ("), text("low"), F.lit("–"), text("high"), F.lit(")"))).otherwise(""))
+    found = videos.groupBy("variant", kind.alias("kind")).agg(F.array_sort(F.collect_list(F.struct("video", told.alias("told")))).alias("l"))
+    kinds = results.select("variant").distinct().withColumn("kind", F.explode(F.array(*map(F.lit, ("stable", "volatile", "always an error")))))
+    names = F.array_join(F.transform("l", lambda x: x["told"]), ", ")
+    line = F.concat(F.lit("- "), "kind", F.lit(" ("), F.coalesce(F.size("l"), F.lit(0)).cast("string"), F.lit("): "), F.coalesce(names, F.lit("none")))
+    stability = kinds.join(found, ["variant", "kind"], "left").select(F.lit("stability").alias("section"), "variant", F.col("kind").alias("place"), line.alias("line"))
+
+    def rows(df: DataFrame, section: str, cell: Column, between: str) -> DataFrame:
+        cells = df.groupBy("variant", "video").agg(F.array_sort(F.collect_list(F.struct("run", cell.alias("cell")))).alias("l"))
+        line = F.concat(F.lit("| "), "video", F.lit(" | "), F.array_join(F.transform("l", lambda x: x["cell"]), between), F.lit(" |"))
+        return cells.select(F.lit(section).alias("section"), "variant", F.col("video").alias("place"), line.alias("line"))
+
+    quiet = results.join(results.groupBy("variant", "video").agg(F.min_by("truth", "run").alias("_first")).filter("_first = 0").drop("_first"), ["variant", "video"], "left_semi")
+    alarms = rows(quiet, "false_alarms", F.when(F.col("error"), "error").otherwise(text("produced")), ", ")
+    cell = F.when(F.col("error"), "**error**").otherwise(F.concat(text("matched"), F.lit("/"), text("truth"), F.lit(" ("), text("produced"), F.lit(")")))
+    return compared.unionByName(stability).unionByName(alarms).unionByName(rows(results, "runs", cell, " | "))
+
+
 def merged_reports(reports: DataFrame, action: str | None = None) -> DataFrame:
     """(video_id, summary, risk, actions) of reports (video_id, seq, summary, risk, actions) in order of seq.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +32,19 @@ def translated_labels(labels: DataFrame, translations: DataFrame, safety: DataFr
 
 
 def ground_truth(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """(video, duration_ms, t_ms, event, severity) from a folder of JSON files, one a recording, in order of file names; with a
-    limit, of the first so many. A folder that is not there, or holds no such file, raises."""
+    """(video, duration_ms, t_ms, event, severity) from a folder of JSON files, one a recording, in order of the recordings'
+    names; with a limit, of the first so many. A folder that is not there, or holds no such file, raises."""
     rows = spark.read.schema(schemas.GROUND_TRUTH).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    rows = rows.withColumn("_file", F.input_file_name()).orderBy("_file")
+    rows = rows.withColumn("_file", F.input_file_name()).orderBy("video", "_file")
     if rows.isEmpty():
         raise FileNotFoundError(f"no JSON file in {folder}")
     rows = rows if limit is None else rows.limit(limit)
     return rows.select("video", "duration_ms", F.explode_outer("events").alias("e")).select("video", "duration_ms", "e.t_ms", "e.event", "e.severity")
 
 
-def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalog records, newest first; files that cannot be read as one are left out."""
-    rows = spark.read.schema(schemas.CATALOG).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+def catalog(spark: SparkSession, folder: str, one_a_file: bool = True) -> DataFrame:
+    """Catalog records, newest first; files (or lines, if one_a_file is false) that cannot be read as one are left out."""
+    rows = spark.read.schema(schemas.CATALOG).option("multiLine", one_a_file).option("mode", "DROPMALFORMED").json(folder)
     return rows.filter("id is not null").orderBy(F.col("uploaded_at").desc(), "id")
 
 
@@ -89,14 +91,37 @@ def labelled_images(spark: SparkSession, folder: str, normal: str = "normal_ops"
     return files.select("path", category.alias("category"), F.when(category == normal, 0).otherwise(1).alias("label"))
 
 
-def prompt_fragments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(agent, fragment, editable, text, names) from TOML files of [fragment] tables, read on the driver: a catalog is a few files."""
-    rows = []
+#: The variable that names a folder of prompt catalogs, which then counts instead of the paths given.
+PROMPT_FOLDER = "SIGHTLINE_PROMPTS"
+
+
+def prompt_paths(given: list[str], variable: str = PROMPT_FOLDER) -> list[str]:
+    """The paths of the folder that the environment names, else those given. A folder without a TOML file raises."""
+    folder = os.environ.get(variable)
+    if not folder:
+        return given
+    found = sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".toml"))
+    if not found:
+        raise FileNotFoundError(f"no TOML file in {folder}")
+    return found
+
+
+def prompt_fragments(spark: SparkSession, paths: list[str], known: set[str] | None = None) -> DataFrame:
+    """(agent, fragment, editable, text, names) from TOML files of [fragment] tables, read on the driver: a catalog is a few files.
+
+    With known, the names that a context can fill in, a text with any other placeholder raises ValueError, so that a broken
+    catalog is found when it is read. Of one agent's several files the last counts.
+    """
+    agents = {}
     for path in paths:
         with open(path, "rb") as file:
             data = tomllib.load(file)
         agent = data.get("agent", "")
-        rows += [(agent, k, bool(v.get("editable", False)), v["text"]) for k, v in sorted(data.items()) if isinstance(v, dict) and "text" in v]
+        agents[agent] = [(agent, k, bool(v.get("editable", False)), v["text"]) for k, v in sorted(data.items()) if isinstance(v, dict) and "text" in v]
+    rows = [r for own in agents.values() for r in own]
+    for agent, fragment, _, text in rows if known is not None else ():
+        if unknown := set(re.findall(PLACEHOLDER, text)) - known:
+            raise ValueError(f"{agent}/{fragment} has placeholders that nothing fills in: {', '.join(sorted(unknown))}")
     out = spark.createDataFrame(rows, "agent string, fragment string, editable boolean, text string")
     return out.withColumn("names", F.array_distinct(F.regexp_extract_all("text", F.lit(PLACEHOLDER), 1)))
 
