@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
+#: Links that one task of a round holds at least.
+LINKS_A_TASK = 20_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,7 +37,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        current = cut(_small_star(_large_star(current)))
+        # a round has several shuffles, whose files are as many as the tasks that write them: few rows, few tasks
+        parts = -(-state[0] // LINKS_A_TASK)
+        current = cut(_small_star(_large_star(current.coalesce(parts))).coalesce(parts))
     else:
         raise RuntimeError("components are not settled")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
