@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
-
-#: Links that one task of a round holds at least.
-LINKS_A_TASK = 20_000
+from .tables import cut, few_tasks
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,8 +35,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = state
         # a round has several shuffles, whose files are as many as the tasks that write them: few rows, few tasks
-        parts = -(-state[0] // LINKS_A_TASK)
-        current = cut(_small_star(_large_star(current.coalesce(parts))).coalesce(parts))
+        current = few_tasks(cut(few_tasks(_small_star(_large_star(current)), state[0])), state[0])
     else:
         raise RuntimeError("components are not settled")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

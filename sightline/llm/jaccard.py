@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, Words, mix, ngrams, signed, text_chunks
 from .components import connected_components
-from .tables import bit_filter, cut, giving_back, in_filter, in_small_batches, joined_by_key, small_or_shuffled
+from .tables import bit_filter, cut, few_tasks, giving_back, in_filter, in_small_batches, joined_by_key, settle, small_or_shuffled
 
 _U = np.uint64
 #: Places of the shingle frequency sketch: 512 KB on the driver and on each executor, whatever the input.
@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         in one task. All others are joined by shuffles.
         """
         pairs = cut(pairs)
+        pairs = few_tasks(pairs, pairs.count())
         common = _common_sets(pairs, nodes)
         sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         left = lambda s: s.select(F.col("node").alias("u"), F.col("tokens").alias("left_tokens"))
@@ -296,7 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = joined_by_key(keys, cut(leaders), "key", "size").filter("node <> leader")
     ties = ties.groupBy(F.col("node").alias("u"), F.col("leader").alias("v")).count().filter(f"count >= {TIE_HASHES}").select("u", "v")
     ties = verified(ties)
+    settle(spark)
     labels = cut(connected_components(ties))
+    settle(spark)
 
     # The prefix join over pairs that are not connected yet.
     rows = "token long, node long, n int, place int, shared int"
@@ -326,7 +329,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.select(F.least("o_node", "node").alias("u"), F.greatest("o_node", "node").alias("v"), F.least("o_shared", "shared").alias("asked"))
     pairs = pairs.groupBy("u", "v", "asked").agg(F.count("*").alias("found")).filter("found >= asked").select("u", "v")
     links = verified(pairs)
-    found = connected_components(ties.union(links))
+    settle(spark)
+    found = cut(connected_components(ties.union(links)))
+    settle(spark)
 
     # The least id of each component, then of each document.
     named = cut(nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")))

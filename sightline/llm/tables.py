@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -42,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of steps that nothing refers to any more: it finds them when the
+    driver collects its garbage, which a long row of steps on little memory may put off until their files fill the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Narrow rows that one task of a step over few rows holds at least.
+ROWS_A_TASK = 20_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has been cut and has so many rows, in as many partitions as they need: each shuffle writes files by task."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 _shipped: set[str] = set()
 
 
