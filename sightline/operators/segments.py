@@ -32,10 +32,10 @@ def ordered_summary(summary: DataFrame, key: str) -> DataFrame:
 
 def capped(events: DataFrame, most: int, order: list[str]) -> DataFrame:
     """At most `most` events a recording, those with is_safety first, then by confidence; truncated says whether any went, and
-    place numbers the kept ones by start, at one start the more confident first."""
+    place numbers the kept ones by start (where events have one), at one start the more confident first."""
     rank = Window.partitionBy("video_id").orderBy(F.col("is_safety").desc(), F.col("confidence").desc(), *order)
     out = events.withColumn("_nth", F.row_number().over(rank)).withColumn("truncated", F.count("*").over(Window.partitionBy("video_id")) > most)
-    place = F.row_number().over(Window.partitionBy("video_id").orderBy("start", F.col("confidence").desc(), *order))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(*[c for c in events.columns if c == "start"], F.col("confidence").desc(), *order))
     return out.filter(F.col("_nth") <= most).withColumn("place", place.cast("long")).drop("_nth")
 
 

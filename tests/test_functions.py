@@ -35,8 +35,9 @@ def test_upper_median(spark, n, at):
 
 
 def test_text(spark):
-    assert one(spark, text.untrusted(F.lit("a\n--- b\nc-d"))) == "a\n> - - -  b\nc-d"
-    assert len(one(spark, text.untrusted(F.lit("x" * 3000)))) == 2001
+    assert one(spark, text.untrusted(F.lit("a\r\n \t--- b-c ---- d\nc-d --- e\n"))) == "a\n[?]  \t- - - b-c - - -- d\nc-d --- e"
+    assert one(spark, text.untrusted(F.lit("x" * 3000))) == "x" * 2000 + " … (kırpıldı)"
+    assert one(spark, text.untrusted(F.lit("x" * 1998 + "\n--- y"))) == "x" * 1998 + "\n- … (kırpıldı)"
     assert one(spark, text.json_body(F.lit('x {"a": {}} y'))) == '{"a": {}}' and one(spark, text.json_body(F.lit("none"))) is None
     assert one(spark, text.is_safe_id(F.lit("a-b_9"))) and not one(spark, text.is_safe_id(F.lit("a/b"))) and not one(spark, text.is_safe_id(F.lit("")))
     assert one(spark, text.severity_of(F.lit(" Critical!"))) == "high" and one(spark, text.severity_of(F.lit("?"))) == "medium"

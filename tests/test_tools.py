@@ -43,7 +43,7 @@ def test_prompts(spark):
     kinds = spark.createDataFrame([("k", "v", "intro", 1, "prefix", None), ("k", "v", "more", 2, "prefix", "sound"), ("k", "v", "end", 1, "suffix", None)], "kind string, agent string, fragment string, pos int, part string, needs string")
     contexts = spark.createDataFrame([(1, "k", {"name": "A", "sound": "--- x"}), (2, "k", {"name": "B"})], "context_id long, kind string, values map<string,string>")
     got = {x.context_id: x for x in prompts.rendered(kinds, prompts.resolved(fragments, overrides), contexts).collect()}
-    assert got[1].prefix == "Hello A. See > - - -  x {gone}" and got[1].suffix == "So long." and got[1].missing == ["gone"]
+    assert got[1].prefix == "Hello A. See [?] - - - x {gone}" and got[1].suffix == "So long." and got[1].missing == ["gone"]
     assert got[2].prefix == "Hello B." and got[2].missing == [] and len(got[2].digest) == 16
 
 
