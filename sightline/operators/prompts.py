@@ -25,11 +25,14 @@ def resolved(fragments: DataFrame, overrides: DataFrame, candidates: DataFrame |
 def glued(parts: Column) -> Column:
     """Texts joined by a blank line; one that begins with a blank or a line end follows directly. Null ones are left out.
 
-    Separators are put before the texts and all is joined at once; a fold would copy the growing text at each step.
+    Separators are put before the texts and all is joined at once; a fold would copy the growing text at each step. Empty
+    texts before the first with characters are left out beforehand, so that no text has to look for it among the others.
     """
     told = F.filter(parts, lambda x: x.isNotNull())
     first = F.array_position(F.transform(told, lambda x: F.length(x) > 0), True)
-    return F.array_join(F.transform(told, lambda x, i: F.when((first == 0) | (i < first) | x.rlike("^[ \n]"), x).otherwise(F.concat(F.lit("\n\n"), x))), "")
+    said = F.slice(told, F.greatest(first, F.lit(1)).cast("int"), F.size(told))
+    joined = F.array_join(F.transform(said, lambda x, i: F.when((i == 0) | x.rlike("^[ \n]"), x).otherwise(F.concat(F.lit("\n\n"), x))), "")
+    return F.when(first == 0, "").otherwise(joined)
 
 
 def rendered(kinds: DataFrame, fragments: DataFrame, contexts: DataFrame) -> DataFrame:

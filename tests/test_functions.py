@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,16 @@ def test_cases_of_the_specification(spark):
     assert picked == {1: 1, 100: 100, 101: 100, 200: 199}
     glued = lambda *parts: one(spark, prompts.glued(F.array(*[F.lit(p) for p in parts])))
     assert (glued("a", "b", "\nc", " d"), glued("", "a", "b"), glued(" a", None, "b")) == ("a\n\nb\nc d", "a\n\nb", " a\n\nb")
+    assert (glued(None, "", "a", "", "b"), glued("", ""), glued("", " a", "")) == ("a\n\n\n\nb", "", " a\n\n")
+
+
+def test_many_fragments(spark):
+    """Thirty thousand texts of one prompt: none of them looks through all the others."""
+    texts = ["", ""] + [("", "\n", " ", "")[k % 4] + f"part {k}" if k % 9 else "" for k in range(1, 30_000)]
+    want = "".join(texts[:3]) + "".join(t if t[:1] in (" ", "\n") else f"\n\n{t}" for t in texts[3:])
+    start = time.monotonic()
+    got = spark.createDataFrame([(texts,)], "l array<string>").select(prompts.glued(F.col("l")).alias("prompt")).first()[0]
+    assert got == want and time.monotonic() - start < 60
 
 
 def test_alignment(spark):
