@@ -1,5 +1,9 @@
 """Queries over whole tables: as many rows as the tables have, and sampling against a fold in Python."""
 
+import itertools
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +35,24 @@ def test_near_duplicates_of_the_chosen_frames(spark):
     assert any(i >= 40 for _, i in got)
 
 
+def test_targets_that_fall_on_a_row(spark):
+    """Recordings that are still in their first and last eighth: targets 0 and 15 fall on the ends of these, so rounding decides;
+    weights are added one by one, in order, as the reference does."""
+    r, rows, want, ties = random.Random(3), [], set(), 0
+    for v in range(60):
+        n = r.choice((48, 56, 64, 120))
+        scores = [0.0] * (n // 8) + [float(np.float32(r.random())) for _ in range(n - n // 4)] + [0.0] * (n // 8)
+        eff = [max(s - sorted(scores)[n // 2], 0.0) for s in scores]
+        rows += [(v, i, s) for i, s in enumerate(scores)]
+        cum = list(itertools.accumulate(0.75 * (e / sum(eff)) + 0.25 / n for e in eff))
+        want |= {(v, j, next((i for i in range(n) if cum[i] >= (j + 0.5) / 16 * cum[-1]), n - 1)) for j in range(16)}
+        ties += sum(any(abs(c - (j + 0.5) / 16 * cum[-1]) < 1e-12 for c in cum) for j in (0, 15))
+    profile = spark.createDataFrame(rows, "video_id long, idx long, score float")
+    targets = profile.select("video_id").distinct().withColumn("n_targets", F.lit(16))
+    got = {tuple(x) for x in sampling.inverse_cdf_picks(sampling.weighted(profile, 0.25), targets).collect()}
+    assert ties == 120 and got == want
+
+
 def test_whole_selection(spark):
     how = sampling.Sampling(16, 0.25, 24)
     rows = views.fingerprinted_profile(spark, FOLDER)
