@@ -5,7 +5,8 @@ are linked. An id pair is one int64. Tasks count the documents of their pairs wi
 over the whole cluster by ranges of the key, and each range's runs are summed and written as one file of sorted keys and
 counts to the shared folder. Documents look their pairs up in these files, which are mapped into memory, by bisection.
 
-Each text is encoded once: ids are written to the shared folder in 16 bits each, where the vocabularies allow it.
+Each text is encoded once: ids are written to the shared folder in 16 bits each, where the vocabularies allow it. No token of
+either side goes on behind a letter or sign and the blank after it, so words are encoded apart, each once for many texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import os
 import re
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,13 @@ LINKS = 4_000_000
 HELD = 4_000_000
 #: Texts that are encoded at once: characters.
 TEXTS = 1 << 20
+#: Words, and characters of a word, that a worker remembers the ids of.
+WORDS, LONGEST = 1 << 17, 32
+#: A pattern by which a blank between two other characters begins a token, and the blanks that are taken to do so: those between
+#: letters or signs that no character beside them is composed with.
+BY_BLANKS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BETWEEN = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+_PLAIN = re.compile("[!-~À-ɏ]+(?:\n+[!-~À-ɏ]+)*")
 
 _ENCODED = "a binary, b binary"
 _SHARD = "path string, rows long, first long, a int, best long"
@@ -59,15 +68,14 @@ class Pair:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) > _LOW:
             raise ValueError(f"more than {_LOW} ids")
-
-    @property
-    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(x) for x in self.bytes_a], np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+        self.lengths = tuple(np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.by_words = pattern == BY_BLANKS and not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
 
     def kind(self) -> type:
         return np.uint16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.uint32
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """The ids of each text by both; none where the joined bytes of a side are not a space and the text."""
         out, kind = [], self.kind()
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
@@ -77,6 +85,48 @@ class Pair:
             out.append((a.astype(kind).tobytes(), np.array(b, kind).tobytes()) if same else (b"", b""))
         return out
 
+    def _apart(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """whole() of plain words, encoded together and cut where the words end."""
+        spaced = [b" " + w.encode() for w in words]
+        text, ends = b"".join(spaced), np.cumsum([len(w) for w in spaced])
+        sides = []
+        for ids, known, lengths in zip((np.frombuffer(self.a(text.decode()), "<u4"), np.fromiter(chain.from_iterable(self.b.encode(words, num_threads=1)), np.uint32)), (self.bytes_a, self.bytes_b), self.lengths):
+            if b"".join(map(known.__getitem__, ids.tolist())) != text:
+                return self.whole(words)
+            told = np.cumsum(lengths[ids])
+            at = np.searchsorted(told, ends)
+            if not np.array_equal(told[at], ends):
+                return self.whole(words)
+            size, all_ids = np.dtype(self.kind()).itemsize, ids.astype(self.kind()).tobytes()
+            cuts = [0, *((at + 1) * size).tolist()]
+            sides.append([all_ids[i:j] for i, j in zip(cuts, cuts[1:])])
+        return list(zip(*sides))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """whole(), by words where both sides cut there. A text with a word that is not what it was goes through as a whole."""
+        if not self.by_words:
+            return self.whole(texts)
+        cut, words = [_BETWEEN.split(t) for t in texts], self.words
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in words]
+        room = WORDS - len(words)
+        plain = dict.fromkeys(filter(_PLAIN.fullmatch, new))
+        others = [w for w in new if w not in plain]
+        words.update(zip(plain, self._apart(list(plain)) if plain else ()))
+        words.update(zip(others, self.whole(others)))
+        out = []
+        for own in cut:
+            a, b = zip(*map(words.__getitem__, own))
+            out.append((b"".join(a), b"".join(b)) if all(a) else None)
+        for w in new:
+            if len(w) > LONGEST or room <= 0:
+                del words[w]
+            else:
+                room -= 1
+        odd = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(odd, self.whole([texts[i] for i in odd])):
+            out[i] = x
+        return out
+
 
 _pairs: dict[str, Pair] = {}
 

@@ -92,6 +92,21 @@ def test_against_brute_force(spark, monkeypatch, limits):
     assert sorted((tuple(x) for x in alignment.align(df).collect()), key=str) == brute(rows)
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """By words as by whole texts, with little room for words; what is remembered is not encoded again."""
+    monkeypatch.setattr(alignment, "WORDS", 50)
+    pair = alignment.Pair(*(open(public_tokenizers.path(x), "rb").read() for x in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    texts = [t or "" for _, t in made()] + ["x \u0301y z", "a\n\n b", " lead", "trail ", "two  blanks", "w" * 99 + " v", "a\u200b b", "ﬁ ﬁ", "\n", "a \nb\n c"]
+    whole = pair.whole(texts)
+    for size in (1, 7, len(texts)):
+        assert [x for i in range(0, len(texts), size) for x in pair.encode(texts[i : i + size])] == whole
+    assert pair.by_words and len(pair.words) == 50 and max(map(len, pair.words)) <= alignment.LONGEST
+    monkeypatch.setattr(alignment, "WORDS", 1 << 17)
+    first, asked = pair.encode(["alpha beta gamma " * 9]), []
+    monkeypatch.setattr(pair, "_apart", lambda words: asked.append(words))
+    assert pair.encode(["alpha beta gamma " * 9]) == first and not asked
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id string, text string")
     assert alignment.align(df).collect() == []
