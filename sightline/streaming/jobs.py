@@ -7,6 +7,8 @@ Event time and late data are an extension: what comes later than the watermark i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -36,27 +38,35 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("video_id", w).agg(F.count("*").alias("n")).select("video_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+#: Groups that keys are dealt to by hash, so that a call of the state's function takes many keys and not one.
+DEALT = 4096
+
+
 class LimitedCounter(StatefulProcessor):
-    """Allows a key `limit` times until a reset; a key that is forgotten leaves no state behind."""
+    """Allows a key `limit` times until a reset; a key that is forgotten leaves no state behind. Keys come many at a time."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", "used long")
+        self.used = handle.getMapState("used", "none boolean, video_id long", "used long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        out = []
-        used = self.used.get()[0] if self.used.exists() else 0
-        for pdf in rows:
-            for request, reset, forget in pdf.sort_values("request")[["request", "reset", "forget"]].itertuples(index=False):
+        pdf = pd.concat(rows, ignore_index=True).sort_values(["none", "video_id", "request"], kind="stable")
+        videos, requests, allowed = [], pdf["request"].tolist(), []
+        own = zip(zip(pdf["none"].tolist(), pdf["video_id"].tolist()), pdf["reset"].tolist(), pdf["forget"].tolist())
+        for video, asked in groupby(own, key=itemgetter(0)):
+            told = self.used.getValue(video)
+            used = told[0] if told else 0
+            for _, reset, forget in asked:
                 used = -1 if forget else 0 if reset else max(used, 0) + 1
-                out.append((key[0], int(request), bool(reset or forget or used <= self.limit)))
-        if used < 0:
-            self.used.clear()
-        else:
-            self.used.update((int(used),))
-        yield pd.DataFrame(out, columns=["video_id", "request", "allowed"])
+                videos.append(None if video[0] else video[1])
+                allowed.append(bool(reset or forget or used <= self.limit))
+            if used >= 0:
+                self.used.updateValue(video, (used,))
+            elif told:
+                self.used.removeKey(video)
+        yield pd.DataFrame({"video_id": pd.array(videos, "Int64"), "request": requests, "allowed": allowed})
 
     def close(self) -> None:
         pass
@@ -65,7 +75,9 @@ class LimitedCounter(StatefulProcessor):
 def limited(requests: DataFrame, limit: int = 2) -> DataFrame:
     """(video_id, request, allowed) for requests (video_id, request, reset and, if wanted, forget)."""
     requests = requests if "forget" in requests.columns else requests.withColumn("forget", F.lit(False))
-    return requests.groupBy("video_id").transformWithStateInPandas(LimitedCounter(limit), "video_id long, request long, allowed boolean", "Append", "None")
+    dealt = F.pmod(F.xxhash64("video_id"), F.lit(DEALT)).alias("dealt")
+    rows = requests.select(dealt, F.col("video_id").isNull().alias("none"), F.coalesce(F.col("video_id").cast("long"), F.lit(0)).alias("video_id"), "request", "reset", "forget")
+    return rows.groupBy("dealt").transformWithStateInPandas(LimitedCounter(limit), "video_id long, request long, allowed boolean", "Append", "None")
 
 
 class HysteresisRuns(StatefulProcessor):

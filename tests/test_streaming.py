@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -105,3 +106,28 @@ def test_stateful(spark, tmp_path):
     asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
     got = run(jobs.limited(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), 2), tmp_path, "limited")
     assert [x.allowed for x in sorted(got, key=lambda x: x.request)] == [True, True, False, True, True, True]
+
+
+def test_many_keys_of_a_limit(spark, tmp_path):
+    """Keys share calls of the state's function, whatever chunks their rows come in; one is null, some are forgotten."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    calls = []
+
+    class Kept(dict):
+        getValue, updateValue, removeKey = dict.get, dict.__setitem__, dict.__delitem__
+
+    class Handle:
+        def getMapState(self, *_):
+            return calls
+
+    counter, kept = jobs.LimitedCounter(2), Kept()
+    counter.init(Handle())
+    counter.used = kept
+    chunk = lambda r: pd.DataFrame([(False, v, i, False, v % 3 == 0 and i == 5) for i in r for v in range(100)], columns=["none", "video_id", "request", "reset", "forget"])
+    out, = counter.handleInputRows((0,), iter([chunk([4, 5]), chunk([0, 3])]), None)
+    assert {(v, i): a for v, i, a in out.itertuples(index=False)} == {(v, i): i < 4 or (i == 5 and v % 3 == 0) for v in range(100) for i in (0, 3, 4, 5)}
+    assert kept == {(False, v): (4,) for v in range(100) if v % 3}
+    asked = spark.createDataFrame([(v, i, i == 3) for v in [None, *range(50)] for i in range(6)], "video_id long, request long, reset boolean")
+    asked.write.parquet(str(tmp_path / "asked"))
+    got = run(jobs.limited(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), 2), tmp_path, "limits")
+    assert {(x.video_id, x.request, x.allowed) for x in got} == {(v, i, i != 2) for v in [None, *range(50)] for i in range(6)} and len(got) == 306
